@@ -1,0 +1,15 @@
+"""Registered queries and the SQL each must agree with."""
+
+from __future__ import annotations
+
+from workloads import extraction
+
+_MODULES = (extraction,)
+
+
+def queries() -> dict:
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
