@@ -40,8 +40,9 @@ OTHER_DIGITS = (
     r"\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff"
     r"\u2776-\u277e\u2780-\u2788\u278a-\u2792"
 )
-_DIGITS = rf"[\p{{Nd}}{OTHER_DIGITS}]+"
-_AMOUNT = rf"\A(?:\({_DIGITS}\)|{_DIGITS})\z"
+_DIGIT = rf"\p{{Nd}}{OTHER_DIGITS}"
+_NUMBER = rf"[{_DIGIT}][{_DIGIT},. ]*+"
+_AMOUNT = rf"\A[,. ]*+(?:\([,. ]*+{_NUMBER}\)|{_NUMBER})[,. ]*+\z"
 
 
 def strip(c: Column) -> Column:
@@ -54,7 +55,12 @@ def squeeze(c: Column) -> Column:
 
 
 def unify_line_breaks(c: Column) -> Column:
-    return F.regexp_replace(c, LINE_BREAKS, "\n")
+    # Searching for a few characters is much cheaper than a replacing pass,
+    # which only unusual texts need.
+    unusual = F.lit(False)
+    for ch in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":
+        unusual = unusual | c.contains(ch)
+    return F.when(unusual, F.regexp_replace(c, LINE_BREAKS, "\n")).otherwise(c)
 
 
 def split_lines(c: Column) -> Column:
@@ -67,8 +73,7 @@ def split_lines(c: Column) -> Column:
 def is_value(c: Column) -> Column:
     """True for an amount: digits with ``, .`` and spaces, optionally in ( )."""
     s = strip(c)
-    bare = F.translate(s, ",. ", "")
-    return bare.rlike(_AMOUNT) & ~s.rlike(LABEL_PREFIX)
+    return s.rlike(_AMOUNT) & ~s.rlike(LABEL_PREFIX)
 
 
 def clean_label(c: Column) -> Column:
@@ -105,3 +110,16 @@ def json_string(c: Column) -> Column:
     """The JSON literal of one string."""
     wrapped = F.to_json(F.array(c))
     return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+
+
+# JSON as the standard has it.
+STRICT_JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+
+
+def single_object(json: Column, element: str) -> Column:
+    """Parse one JSON object; NULL if it is malformed or followed by more."""
+    # inside [ ] anything behind the object makes the array malformed or longer
+    wrapped = F.from_json(
+        F.concat(F.lit("["), json, F.lit("]")), f"array<{element}>", STRICT_JSON
+    )
+    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))

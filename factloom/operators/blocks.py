@@ -26,9 +26,9 @@ NULL_CELLS = (
     "nan", "null",
 )
 
-# Line-break characters that cannot occur once line breaks are unified; they
-# tag the segments of a document.
-_HEADING, _TITLED_BLOCK, _BLOCK = "\x1c", "\x1d", "\x1e"
+# Line-break characters that cannot occur once line breaks are unified: the
+# first opens a section of a document, the second a table block within it.
+_SECTION, _BLOCK = "\x1c", "\x1e"
 
 _TABLE_LINE = rf"{INLINE_WS}*+\|[^\n]*+"
 # Possessive, so that the longest table needs no regex stack.
@@ -87,36 +87,37 @@ def _blocks_with_headings(text: Column, markers: Sequence[str]) -> Column:
     segments = F.regexp_extract_all(
         unify_line_breaks(text), F.lit(rf"(?dm){_TABLE_BLOCK}|{heading_line}"), F.lit(0)
     )
-    # Tag each segment, then cut again where a new heading comes into force: at
-    # a heading line, or at a block that has a heading among its own rows.
-    tagged = F.transform(
-        segments,
-        lambda s: F.concat(
-            F.when(~is_table_line(s), _HEADING)
-            .when(s.rlike(titled_row), _TITLED_BLOCK)
+
+    def tagged(segment: Column) -> Column:
+        # A section starts where a heading comes into force: at a heading line,
+        # or at a block that has a heading among its own rows.
+        may_be_titled = segment.contains(":")
+        for m in markers:
+            may_be_titled = may_be_titled | segment.contains(m)
+        return F.concat(
+            F.when(~is_table_line(segment), _SECTION)
+            .when(may_be_titled & segment.rlike(titled_row), _SECTION + _BLOCK)
             .otherwise(_BLOCK),
-            s,
-        ),
-    )
-    sections = F.split(F.array_join(tagged, ""), f"(?=[{_HEADING}{_TITLED_BLOCK}])")
-
-    def blocks_of(section: Column) -> Column:
-        title_line = F.substring_index(section, _BLOCK, 1)
-        own_rows = F.regexp_extract_all(section, F.lit(titled_row), F.lit(0))
-        title = F.when(
-            section.startswith(_HEADING), heading_text(title_line)
-        ).when(
-            section.startswith(_TITLED_BLOCK),
-            # the heading in force at the last line of the block
-            heading_text(F.translate(F.element_at(own_rows, -1), _TITLED_BLOCK, "")),
+            segment,
+        )
+
+    sections = F.split(F.array_join(F.transform(segments, tagged), ""), _SECTION)
+
+    def blocks_of(parts: Column, i: Column) -> Column:
+        # parts: the heading line (empty for a titled block and for the part
+        # of the document before any heading), then the blocks
+        own_rows = F.regexp_extract_all(F.get(parts, F.lit(1)), F.lit(titled_row), F.lit(0))
+        heading = F.when(parts[0] != "", heading_text(parts[0])).when(
+            i > 0, heading_text(F.element_at(own_rows, -1))  # in force at the last line
         )
-        parts = F.split(section, f"[{_HEADING}{_TITLED_BLOCK}{_BLOCK}]")
         return F.transform(
-            F.filter(parts, is_table_line),
-            lambda b: F.struct(title.alias("heading"), F.rtrim(b, F.lit("\n")).alias("block")),
+            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+            lambda b: F.struct(heading.alias("heading"), F.rtrim(b, F.lit("\n")).alias("block")),
         )
 
-    return F.flatten(F.transform(sections, blocks_of))
+    return F.flatten(
+        F.transform(F.transform(sections, lambda s: F.split(s, _BLOCK)), blocks_of)
+    )
 
 
 def table_blocks(

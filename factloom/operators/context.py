@@ -13,7 +13,7 @@ from factloom.defaults import (
     OBSERVATION_CHARS,
     RETRIEVAL_SOURCE,
 )
-from factloom.functions.text import strip
+from factloom.functions.text import json_string, single_object, strip
 from factloom.operators.skew import flag_repeats, salted_lookup
 
 
@@ -91,28 +91,42 @@ def result_history(made: DataFrame) -> DataFrame:
     )
 
 
-def call_signature(agent: Column, tool: Column, args: Column) -> Column:
-    """Same for calls with the same agent, tool and arguments in any order."""
-    ordered = F.map_from_entries(
-        F.array_sort(F.map_entries(F.coalesce(args, F.map_from_arrays(
-            F.array().cast("array<string>"), F.array().cast("array<string>")))))
-    )
-    return F.sha2(
-        F.to_json(F.struct(agent.alias("agent"), ordered.alias("args"), tool.alias("tool"))), 256
+def arguments_json(json: Column) -> Column:
+    """One spelling for equal JSON objects: sorted keys, ', ' and ': ' between
+    the parts; NULL if the text is not a single object.  Values keep their JSON
+    type, so 1 and "1" differ."""
+    values = single_object(json, "map<string,variant>")
+    entries = F.map_entries(values)
+    parts = F.transform(
+        F.array_sort(F.array_distinct(F.map_keys(values))),
+        lambda k: F.concat(
+            json_string(k),
+            F.lit(": "),
+            # a key given twice counts with its last value
+            F.to_json(F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]),
+        ),
     )
+    return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+
+
+def call_signature(agent: Column, tool: Column, args_json: Column) -> Column:
+    """Same for calls with the same agent, tool and arguments."""
+    call = F.struct(agent.alias("agent"), args_json.alias("args"), tool.alias("tool"))
+    return F.sha2(F.to_json(call), 256)
 
 
 def blocked_repeats(calls: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Adds ``signature``, ``blocked`` and ``note`` to calls(run_id, agent,
-    seq, tool, args): a call already made in the same run is blocked."""
+    seq, tool, args_json): a call already made in the same run is blocked.
+    ``args_json`` comes from :func:`arguments_json`."""
     signed = calls.withColumn(
-        "signature", call_signature(F.col("agent"), F.col("tool"), F.col("args"))
+        "signature", call_signature(F.col("agent"), F.col("tool"), F.col("args_json"))
     )
     limit = {} if hot_rows is None else {"hot_rows": hot_rows}
     flagged = flag_repeats(signed, ["run_id", "agent", "signature"], "seq", "blocked", **limit)
     note = F.concat(
         F.lit("[Tool call blocked: repeated identical call: "), "tool",
-        F.lit(" args="), F.to_json("args"), F.lit("]"),
+        F.lit(" args="), "args_json", F.lit("]"),
     )
     return flagged.withColumn("note", F.when(F.col("blocked"), note))
 

@@ -18,7 +18,8 @@ from factloom.defaults import (
     TABLE_WORKERS,
     WORKERS,
 )
-from factloom.functions.text import WS, json_string, strip
+from factloom.functions.text import WS, json_string, single_object, strip
+from factloom.operators.context import arguments_json
 from factloom.operators.targets import canonical_name, string_map
 from factloom.schemas import DECISION
 
@@ -28,9 +29,6 @@ _ARGUMENTS = rf"(?dmisu)^{WS}*ARGUMENTS:{WS}*(\{{.*\}}){WS}*$"
 _ANSWER = rf"(?dms)^{WS}*ANSWER:{WS}*(.*)$"
 _OBJECT = r"(?s)\{.*\}"
 
-# JSON as the standard has it.
-_STRICT_JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
-
 
 def action_name(text: Column) -> Column:
     """Tool named in an ACTION line, else NULL."""
@@ -54,17 +52,9 @@ def json_block(text: Column) -> Column:
     return F.when(s.startswith("{") & s.endswith("}"), s).when(found != "", found)
 
 
-def single_object(json: Column, element: str) -> Column:
-    """Parse one JSON object; NULL if it is malformed or followed by more."""
-    # inside [ ] anything behind the object makes the array malformed or longer
-    wrapped = F.from_json(
-        F.concat(F.lit("["), json, F.lit("]")), f"array<{element}>", _STRICT_JSON
-    )
-    return F.when(F.size(wrapped) == 1, F.get(wrapped, F.lit(0)))
-
-
 def turn_actions(turns: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``tool``, ``args`` map<string,string> and ``error`` to every turn."""
+    """Adds ``tool``, ``args`` map<string,string>, ``args_json`` and ``error``
+    to every turn."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = arguments_text(text)
     parsed = turns.withColumn("tool", action_name(text)).withColumn(
@@ -83,6 +73,7 @@ def turn_actions(turns: DataFrame, text_col: str = "text") -> DataFrame:
             ),
         )
         .withColumn("args", F.coalesce("_args", no_args))
+        .withColumn("args_json", F.coalesce(arguments_json(F.col("_raw")), F.lit("{}")))
         .drop("_raw", "_args")
     )
 

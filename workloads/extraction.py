@@ -10,6 +10,8 @@ from factloom.functions.text import clean_label, is_value
 from factloom.operators import blocks, facts, metrics, records
 from factloom.schemas import FACTS
 from factloom.sources import store
+from factloom.sources.documents import load_documents
+from workloads.registry import Registry
 from workloads.render import (
     ANNOTATED_TEXT_SQL,
     STATEMENT_FACTS_SQL,
@@ -18,32 +20,24 @@ from workloads.render import (
     table,
 )
 
-QUERIES = {}
-SQL = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+query = Registry()
 
 
 # ------------------------------------------------------------------ documents
 
 
-@query("""SELECT doc_id, source, length(text) AS chars, md5(text) AS digest FROM documents""")
+@query("src_documents", """
+SELECT source, 'A company' AS company, sum(length(text) + 1) AS chars FROM documents GROUP BY source""")
 def src_documents(spark: SparkSession, sf: str) -> DataFrame:
-    from factloom.sources.documents import stamp
-
-    docs = stamp(table(spark, sf, "documents"), company="x")
-    return docs.select("doc_id", "source", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
+    """Write every text to files, read each file back as one document."""
+    path = store.shared_folder(spark)
+    table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path)
+    docs = load_documents(spark, path, company="A company")
+    folder = F.regexp_extract("source", "source=([^/]+)", 1).alias("source")
+    return docs.groupBy(folder, "company").agg(F.sum(F.length("text")).alias("chars"))
 
 
-@query("""
+@query("doc_lines", """
 SELECT doc_id, CAST(ln - 1 AS INTEGER) AS ln, line
 FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ln
       FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l
@@ -52,7 +46,7 @@ def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.doc_lines(table(spark, sf, "documents"))
 
 
-@query(f"""
+@query("headings", f"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS ln
   FROM (SELECT doc_id, string_split({ANNOTATED_TEXT_SQL}, chr(10)) AS l FROM documents)
@@ -63,7 +57,7 @@ def headings(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.headings(annotated_documents(spark, sf))
 
 
-@query("""
+@query("table_blocks", """
 SELECT doc_id, table_id, n_lines, first_line
 FROM (SELECT doc_id, lang FROM documents) d
 CROSS JOIN (VALUES (0, 3), (1, 4), (2, 3), (3, 4), (4, 3)) t(table_id, n_lines)
@@ -78,7 +72,7 @@ def table_blocks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("""
+@query("table_context", """
 SELECT doc_id, table_id, CASE table_id
   WHEN 1 THEN '3   HỒ SƠ TÀI LIỆU' WHEN 2 THEN '3   HỒ SƠ TÀI LIỆU'
   WHEN 3 THEN '| BẢNG ' || lang || ' | ' || n_chars || ' |'
@@ -88,7 +82,7 @@ def table_context(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.table_blocks(annotated_documents(spark, sf)).select("doc_id", "table_id", "heading")
 
 
-@query("""
+@query("table_cells", """
 SELECT doc_id, t.table_id, t.row_id, t.col_idx,
        CASE WHEN t.col = '$lang' THEN lang ELSE t.col END AS col,
        replace(replace(replace(t.cell, '$doc', CAST(doc_id AS VARCHAR)),
@@ -110,7 +104,7 @@ def table_cells(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.table_cells(rows).drop("heading")
 
 
-@query("""
+@query("dup_headers", """
 SELECT doc_id, t.table_id, t.col_idx, CASE WHEN t.col = '$lang' THEN lang ELSE t.col END AS col
 FROM documents CROSS JOIN (VALUES
   (1, 1, 'Mục'), (1, 2, 'Giá trị'), (1, 3, 'Giá trị .1'), (1, 4, 'Ghi chú'),
@@ -122,7 +116,7 @@ def dup_headers(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.table_cells(rows).select("doc_id", "table_id", "col_idx", "col")
 
 
-@query("""
+@query("rejected_rows", """
 SELECT doc_id, 0 AS table_id, 1 AS row_id, 4 AS expected_fields, 5 AS found_fields,
        '| wide | ' || quality || ' | ' || toxic || ' |' AS line FROM labels""")
 def rejected_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +136,7 @@ _VALUES = (
 )
 
 
-@query("""
+@query("value_classify", """
 WITH raw AS (
   SELECT o_orderkey, replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '.') AS p,
          strftime(o_orderdate, '%d/%m/%Y') AS d, o_orderpriority AS o FROM orders
@@ -183,7 +177,7 @@ def value_classify(spark: SparkSession, sf: str) -> DataFrame:
 _PREFIXES = ("", "1 ", "1.1 ", "1.2.3.  ", "IV. ", "x ", "A. ", "b. ", "  ", "- ", "12.a ", "1. 2. ", "AB. ")
 
 
-@query("""
+@query("label_clean", """
 WITH strings AS (
   SELECT p_partkey, unnest(l) || p_name || ' ' AS text, generate_subscripts(l, 1) - 1 AS pos
   FROM (SELECT p_partkey, p_name, ['', '1 ', '1.1 ', '1.2.3.  ', 'IV. ', 'x ', 'A. ', 'b.' || chr(160),
@@ -209,16 +203,12 @@ def statement_facts(spark: SparkSession, sf: str) -> DataFrame:
 _FACT_COLUMNS = "doc_id, table_id, row_id, col_id, company, heading, item_code, item_name, value, source"
 
 
-@query(f"{STATEMENT_FACTS_SQL} SELECT {_FACT_COLUMNS} FROM facts")
+@query("facts", f"{STATEMENT_FACTS_SQL} SELECT {_FACT_COLUMNS} FROM facts")
 def facts_all(spark: SparkSession, sf: str) -> DataFrame:
     return statement_facts(spark, sf)
 
 
-QUERIES["facts"] = QUERIES.pop("facts_all")
-SQL["facts"] = SQL.pop("facts_all")
-
-
-@query("""
+@query("row_labels", """
 SELECT c_custkey AS doc_id, t.table_id, t.row_id, t.label FROM customer CROSS JOIN (VALUES
   (0, 0, 'TỔNG CỘNG TÀI SẢN'), (0, 1, 'URGENT'), (0, 2, 'HIGH'), (0, 3, '- MEDIUM'),
   (0, 4, 'NOT SPECIFIED'), (0, 5, 'LOW'), (1, 0, 'Doanh thu O'), (1, 1, 'Doanh thu F'),
@@ -229,7 +219,7 @@ def row_labels(spark: SparkSession, sf: str) -> DataFrame:
     return facts.row_labels(rows)
 
 
-@query("""
+@query("prose_facts", """
 SELECT doc_id, 0 AS table_id, 0 AS row_id, 2 AS col_id, NULL AS heading, 'tài liệu | Số' AS item_name,
        CAST(doc_id AS VARCHAR) AS value FROM documents
 UNION ALL SELECT doc_id, 1, 0, 2, 'HỒ SƠ TÀI LIỆU', 'Số ký tự | Giá trị', CAST(n_chars AS VARCHAR) FROM documents
@@ -246,7 +236,7 @@ def prose_facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts.extract_facts(annotated_documents(spark, sf)).drop("company", "source", "item_code")
 
 
-@query(f"""{STATEMENT_FACTS_SQL}
+@query("fact_numeric", f"""{STATEMENT_FACTS_SQL}
 SELECT doc_id, table_id, row_id, col_id, value,
        round(CAST(replace(replace(replace(replace(value, '(', ''), ')', ''), '.', ''), ',', '.') AS DOUBLE)
        * CASE WHEN value LIKE '(%' THEN -1 ELSE 1 END, 2) AS value_num FROM facts""")
@@ -257,12 +247,12 @@ def fact_numeric(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"{STATEMENT_FACTS_SQL} SELECT company, heading, item_name, value, source FROM facts")
+@query("fact_projection", f"{STATEMENT_FACTS_SQL} SELECT company, heading, item_name, value, source FROM facts")
 def fact_projection(spark: SparkSession, sf: str) -> DataFrame:
     return store.fact_projection(statement_facts(spark, sf))
 
 
-@query(f"""{STATEMENT_FACTS_SQL}
+@query("facts_by_statement", f"""{STATEMENT_FACTS_SQL}
 SELECT company, heading, item_name, value FROM facts WHERE heading IN
 ('BẢNG CÂN ĐỐI KẾ TOÁN', 'BÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH', 'BÁO CÁO LƯU CHUYỂN TIỀN TỆ')""")
 def facts_by_statement(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,7 +268,7 @@ def _balance_sheet_facts(spark: SparkSession, sf: str) -> DataFrame:
     return facts.statement_facts(statement_facts(spark, sf), [BALANCE_SHEET])
 
 
-@query(f"{STATEMENT_FACTS_SQL} SELECT {_FACT_COLUMNS} FROM facts")
+@query("fact_append", f"{STATEMENT_FACTS_SQL} SELECT {_FACT_COLUMNS} FROM facts")
 def fact_append(spark: SparkSession, sf: str) -> DataFrame:
     """Store one statement's facts, then append all: none is stored twice."""
     path = store.shared_folder(spark)
@@ -287,7 +277,7 @@ def fact_append(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(FACTS).parquet(path)
 
 
-@query(f"""{STATEMENT_FACTS_SQL}
+@query("fact_presence", f"""{STATEMENT_FACTS_SQL}
 SELECT 'statements/' || c_name || '.md' AS source, count(f.doc_id) AS n_facts, count(f.doc_id) > 0 AS present
 FROM customer LEFT JOIN (SELECT doc_id FROM facts WHERE table_id = 0) f ON f.doc_id = c_custkey
 GROUP BY ALL""")
@@ -295,7 +285,7 @@ def fact_presence(spark: SparkSession, sf: str) -> DataFrame:
     return store.fact_presence(statement_documents(spark, sf), _balance_sheet_facts(spark, sf))
 
 
-@query("""
+@query("incremental_docs", """
 SELECT c_custkey AS doc_id, 'statements/' || c_name || '.md' AS source FROM customer
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) IN (1999, 2000))""")
 def incremental_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -309,7 +299,7 @@ def incremental_docs(spark: SparkSession, sf: str) -> DataFrame:
 _TEXT_SQL = "'Công ty ' || company || '. Bảng ' || heading || '. ' || item_name || '. Giá trị ' || value || '.'"
 
 
-@query(f"""{STATEMENT_FACTS_SQL}
+@query("combined_text", f"""{STATEMENT_FACTS_SQL}
 SELECT concat_ws(':', doc_id, table_id, row_id, col_id) AS id, heading, {_TEXT_SQL} AS document,
        company AS meta_company, item_name AS meta_item_name, source AS meta_source FROM facts""")
 def combined_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,7 +311,7 @@ def combined_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"""{STATEMENT_FACTS_SQL}
+@query("doc_ids", f"""{STATEMENT_FACTS_SQL}
 SELECT doc_id, table_id, row_id, col_id,
        CAST(row_number() OVER (ORDER BY doc_id, table_id, row_id, col_id) - 1 AS VARCHAR) AS id FROM facts""")
 def doc_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +319,7 @@ def doc_ids(spark: SparkSession, sf: str) -> DataFrame:
     return numbered.select("doc_id", "table_id", "row_id", "col_id", "id")
 
 
-@query(f"""{STATEMENT_FACTS_SQL}
+@query("index_consistency", f"""{STATEMENT_FACTS_SQL}
 SELECT count(*) AS n_facts, count(*) FILTER (WHERE table_id = 0) AS n_records,
        count(*) FILTER (WHERE table_id <> 0) AS facts_without_record, 0 AS records_without_fact FROM facts""")
 def index_consistency(spark: SparkSession, sf: str) -> DataFrame:
@@ -337,7 +327,7 @@ def index_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return store.index_consistency(with_id, records.retrieval_records(_balance_sheet_facts(spark, sf)))
 
 
-@query()
+@query("embed_text")
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return records.embed_text(docs, text_col="text").drop("text")
@@ -368,14 +358,14 @@ def _concept_rows(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.concept_facts(statement_facts(spark, sf), concepts)
 
 
-@query(f"{_CONCEPT_SQL} SELECT doc_id, concept, role, year, v AS value FROM items")
+@query("concept_items", f"{_CONCEPT_SQL} SELECT doc_id, concept, role, year, v AS value FROM items")
 def concept_items(spark: SparkSession, sf: str) -> DataFrame:
     return _concept_rows(spark, sf).select(
         "doc_id", "concept", "role", "year", F.col("value_num").cast("double").alias("value")
     )
 
 
-@query(f"""{_CONCEPT_SQL}, wide AS (
+@query("ratio_metrics", f"""{_CONCEPT_SQL}, wide AS (
   SELECT doc_id, concept, year, max(v) FILTER (WHERE role = 'numerator') AS num,
          max(v) FILTER (WHERE role = 'denominator') AS den FROM items GROUP BY ALL)
 SELECT doc_id, concept, year, round(num / den, 6) AS ratio,
