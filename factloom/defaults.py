@@ -7,6 +7,7 @@ the reports and in the requests, or lookups would not meet their rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BALANCE_SHEET = "BẢNG CÂN ĐỐI KẾ TOÁN"
 INCOME_STATEMENT = "BÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH"
@@ -176,25 +177,35 @@ CONCEPTS = (
 )
 
 
+def literal_table(spark: SparkSession, names: str, rows) -> DataFrame:
+    """A short list as a table whose size Spark knows, so that it can decide
+    to broadcast it before anything is shuffled."""
+
+    def value(v):
+        return F.lit(v).cast("bigint") if isinstance(v, int) else F.lit(v)
+
+    columns = names.split()
+    structs = [F.struct(*[value(v).alias(n) for n, v in zip(columns, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def keyword_dictionary(spark: SparkSession) -> DataFrame:
     rows = [(t, k) for t, ks in KEYWORDS.items() for k in ks]
-    return spark.createDataFrame(rows, "tbl string, keyword string")
+    return literal_table(spark, "tbl keyword", rows)
 
 
 def keyword_aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ALIASES.items()), "variant string, canonical string")
+    return literal_table(spark, "variant canonical", ALIASES.items())
 
 
 def table_canon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TABLE_CANON.items()), "key string, canonical string")
+    return literal_table(spark, "key canonical", TABLE_CANON.items())
 
 
 def allowed_tools(spark: SparkSession) -> DataFrame:
     rows = [(a, t) for a, ts in ALLOWED_TOOLS.items() for t in ts]
-    return spark.createDataFrame(rows, "agent string, tool string")
+    return literal_table(spark, "agent tool", rows)
 
 
 def concept_items(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(CONCEPTS), "concept string, role string, tbl string, keyword string"
-    )
+    return literal_table(spark, "concept role tbl keyword", CONCEPTS)

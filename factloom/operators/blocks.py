@@ -180,7 +180,9 @@ def _gridded(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
         ).alias("grid"),
     )
     # A rule line with more fields than the header shifts the columns right.
-    shifted = parsed.withColumn("shift", F.greatest(F.size("rule") - F.size("header"), F.lit(0)))
+    shifted = parsed.withColumn("width", F.greatest(F.size("rule"), F.size("header"))).withColumn(
+        "shift", F.col("width") - F.size("header")
+    )
     # Columns without any value (the outer edges of "| a | b |") are dropped.
     return shifted.withColumn(
         "columns",
@@ -193,15 +195,18 @@ def _gridded(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
                 ),
             ),
             lambda c: ~_is_blank(F.get(F.col("rule"), c["i"] + F.col("shift")))
-            | F.exists("grid", lambda g: ~_is_blank(F.get(g, c["i"] + F.col("shift")))),
+            | F.exists(
+                "grid",
+                lambda g: (F.size(g) <= F.col("width"))
+                & ~_is_blank(F.get(g, c["i"] + F.col("shift"))),
+            ),
         ),
     )
 
 
 def _exploded(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
     return _gridded(blocks, keep).select(
-        "doc_id", *keep, "table_id", "heading", "columns", "shift",
-        (F.size("header") + F.col("shift")).alias("width"),
+        "doc_id", *keep, "table_id", "heading", "columns", "shift", "width",
         F.posexplode("grid").alias("row_id", "raw"),
     )
 

@@ -159,7 +159,7 @@ def _scan_blocks(
 
     def meet(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if vectors.empty or asked.empty:
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame([], columns=columns, dtype=object)
         found = nearest_in_block(
             asked["request_id"].to_numpy(), to_matrix(asked["embedding"]),
             vectors["id"].to_numpy(), to_matrix(vectors["embedding"]), k,

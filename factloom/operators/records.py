@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.defaults import COMPANY_WORD, TABLE_WORD, VALUE_WORD
+from factloom.defaults import COMPANY_WORD, TABLE_WORD, VALUE_WORD, literal_table
 
 DIMENSION = 384
 
@@ -68,21 +68,21 @@ def positional_ids(
     spark = facts.sparkSession
     per_doc = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     edges = per_doc.agg(
-        F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10_000)
+        F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets + 1)], 10_000)
     ).first()[0]
-    if not edges:
-        return facts.withColumn("id", F.lit("0")).limit(0)
+    if not edges:  # no facts at all
+        return facts.withColumn("id", F.lit("")).limit(0)
     edges = sorted(set(edges))
     bounds = F.array(*[F.lit(e) for e in edges])
     per_doc = per_doc.withColumn(
         "_bucket", F.size(F.filter(bounds, lambda e: e < F.col("doc_id")))
     )
-    totals = {r["_bucket"]: r["n"] for r in per_doc.groupBy("_bucket").agg(F.sum("n").alias("n")).collect()}
+    totals = per_doc.groupBy("_bucket").agg(F.sum("n").alias("n")).orderBy("_bucket").collect()
     starts, at = [], 0
-    for b in range(len(edges) + 1):
-        starts.append((b, at))
-        at += totals.get(b, 0)
-    start_of = spark.createDataFrame(starts, "_bucket int, _start bigint")
+    for bucket, n in totals:  # one row per key range
+        starts.append((bucket, at))
+        at += n
+    start_of = literal_table(spark, "_bucket _start", starts)
     running = Window.partitionBy("_bucket").orderBy("doc_id").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.defaults import BALANCE_SHEET, STATEMENTS
+from factloom.defaults import BALANCE_SHEET, STATEMENTS, literal_table
 from factloom.functions.text import clean_label, is_value
 from factloom.operators import blocks, facts, metrics, records
 from factloom.schemas import FACTS
@@ -27,7 +27,7 @@ query = Registry()
 
 
 @query("src_documents", """
-SELECT source, 'A company' AS company, sum(length(text) + 1) AS chars FROM documents GROUP BY source""")
+SELECT source, 'A company' AS company, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY source""")
 def src_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Write every text to files, read each file back as one document."""
     path = store.shared_folder(spark)
@@ -354,7 +354,7 @@ items AS (
 
 
 def _concept_rows(spark: SparkSession, sf: str) -> DataFrame:
-    concepts = spark.createDataFrame(list(_CONCEPTS), "concept string, role string, tbl string, keyword string")
+    concepts = literal_table(spark, "concept role tbl keyword", _CONCEPTS)
     return metrics.concept_facts(statement_facts(spark, sf), concepts)
 
 

@@ -200,6 +200,6 @@ def tool_policy(spark: SparkSession, sf: str) -> DataFrame:
     calls = table(spark, sf, "events").select(
         F.col("event_id").alias("seq"), F.expr(_AGENT_SQL).alias("agent"), F.expr(_TOOL_SQL).alias("tool")
     ).withColumn("error", F.when(F.col("tool").isNull(), "No ACTION block found"))
-    extra = spark.createDataFrame([("agent_cf", "send_mail")], "agent string, tool string")
+    extra = defaults.literal_table(spark, "agent tool", [("agent_cf", "send_mail")])
     allowed = defaults.allowed_tools(spark).unionByName(extra)
     return context.checked_calls(calls, allowed, row_id=["seq"]).drop("error")
