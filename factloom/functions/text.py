@@ -72,7 +72,10 @@ def split_lines(c: Column) -> Column:
 
 def is_value(c: Column) -> Column:
     """True for an amount: digits with ``, .`` and spaces, optionally in ( )."""
-    s = strip(c)
+    return is_stripped_value(strip(c))
+
+
+def is_stripped_value(s: Column) -> Column:
     return s.rlike(_AMOUNT) & ~s.rlike(LABEL_PREFIX)
 
 

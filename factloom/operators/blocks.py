@@ -17,7 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.defaults import HEADING_MARKERS
-from factloom.functions.text import INLINE_WS, split_lines, strip, unify_line_breaks
+from factloom.functions.text import (
+    INLINE_WS,
+    WHITESPACE,
+    split_lines,
+    strip,
+    unify_line_breaks,
+)
 
 # Unpadded cell texts that count as "no value" in a pipe table.
 NULL_CELLS = (
@@ -45,7 +51,7 @@ def _heading_rest(markers: Sequence[str]) -> str:
 
 
 def is_table_line(line: Column) -> Column:
-    return strip(line).startswith("|")
+    return F.ltrim(line, F.lit(WHITESPACE)).startswith("|")
 
 
 def is_heading(line: Column, markers: Sequence[str] = HEADING_MARKERS) -> Column:
@@ -165,8 +171,10 @@ def _column_name(header: Column, name: Column, i: Column) -> Column:
     )
 
 
-def _gridded(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per block with its header fields, column offset and data rows."""
+def gridded(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per block: (doc_id, *keep, table_id, heading, columns, shift,
+    width, grid).  ``columns`` is array<struct<i, col>>, ``grid`` the raw
+    fields of the data rows, where column i is field i + shift."""
     lines = F.split("block", "\n")
     parsed = blocks.select(
         "doc_id",
@@ -184,31 +192,27 @@ def _gridded(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
         "shift", F.col("width") - F.size("header")
     )
     # Columns without any value (the outer edges of "| a | b |") are dropped.
-    return shifted.withColumn(
-        "columns",
-        F.filter(
-            F.transform(
-                "header",
-                lambda name, i: F.struct(
-                    i.alias("i"),
-                    _column_name(F.col("header"), name, i).alias("col"),
-                ),
-            ),
-            lambda c: ~_is_blank(F.get(F.col("rule"), c["i"] + F.col("shift")))
-            | F.exists(
-                "grid",
-                lambda g: (F.size(g) <= F.col("width"))
-                & ~_is_blank(F.get(g, c["i"] + F.col("shift"))),
+    columns = F.filter(
+        F.transform(
+            "header",
+            lambda name, i: F.struct(
+                i.alias("i"), _column_name(F.col("header"), name, i).alias("col")
             ),
         ),
+        lambda c: ~_is_blank(F.get(F.col("rule"), c["i"] + F.col("shift")))
+        | F.exists(
+            "grid",
+            lambda g: (F.size(g) <= F.col("width"))
+            & ~_is_blank(F.get(g, c["i"] + F.col("shift"))),
+        ),
     )
+    return shifted.withColumn("columns", columns).drop("header", "rule")
 
 
-def _exploded(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return _gridded(blocks, keep).select(
-        "doc_id", *keep, "table_id", "heading", "columns", "shift", "width",
-        F.posexplode("grid").alias("row_id", "raw"),
-    )
+def cell_text(raw: Column, field: Column) -> Column:
+    """Stripped text of one field of a raw row; missing and null cells empty."""
+    cell = F.get(raw, field)
+    return F.when(_is_blank(cell), "").otherwise(strip(cell))
 
 
 def table_rows(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -221,24 +225,28 @@ def table_rows(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         lambda c: F.struct(
             c["i"].alias("col_idx"),
             c["col"].alias("col"),
-            _cell(F.get(F.col("raw"), c["i"] + F.col("shift"))).alias("cell"),
+            cell_text(F.col("raw"), c["i"] + F.col("shift")).alias("cell"),
         ),
     )
     return (
-        _exploded(blocks, keep)
+        gridded(blocks, keep)
+        .select(
+            "doc_id", *keep, "table_id", "heading", "columns", "shift", "width",
+            F.posexplode("grid").alias("row_id", "raw"),
+        )
         .where(F.size("raw") <= F.col("width"))
         .select("doc_id", *keep, "table_id", "heading", "row_id", cells.alias("cells"))
     )
 
 
-def _cell(raw: Column) -> Column:
-    return F.when(_is_blank(raw), "").otherwise(strip(raw))
-
-
 def rejected_rows(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Data rows with more fields than their table has columns."""
     return (
-        _exploded(blocks, keep)
+        gridded(blocks, keep)
+        .select(
+            "doc_id", *keep, "table_id", "heading", "width",
+            F.posexplode("grid").alias("row_id", "raw"),
+        )
         .where(F.size("raw") > F.col("width"))
         .select(
             "doc_id", *keep, "table_id", "heading", "row_id",

@@ -1,4 +1,4 @@
-"""Table rows -> fact rows (company, heading, item code, item name, value)."""
+"""Table blocks -> fact rows (company, heading, item code, item name, value)."""
 
 from __future__ import annotations
 
@@ -8,24 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.defaults import CODE_COLUMN, HEADING_MARKERS, IGNORED_COLUMNS
-from factloom.functions.text import clean_label, is_value, numeric_value
-from factloom.operators.blocks import table_blocks, table_rows
+from factloom.functions.text import clean_label, is_stripped_value, numeric_value
+from factloom.operators.blocks import cell_text, gridded, table_blocks
 
 LINEAGE = ("doc_id", "table_id", "row_id", "col_id")
 
 
-def _with_label(
-    rows: DataFrame, keep: Sequence[str], ignored_columns: Sequence[str]
+def _labelled_rows(
+    blocks: DataFrame,
+    keep: Sequence[str],
+    ignored_columns: Sequence[str],
+    code_column: str = CODE_COLUMN,
 ) -> DataFrame:
-    """Adds ``used``, the cells that may carry a label or an amount, and
-    ``label``, which is empty or NULL for a row without one."""
+    """One row per data row: ``used``, its non-empty cells outside the ignored
+    columns, ``label`` (empty or NULL if none) and ``item_code``.
+
+    What depends on the header alone is settled once per block, before the
+    rows are exploded.
+    """
+    named = F.filter("columns", lambda c: c["col"] == code_column)
+    tables = gridded(blocks, keep).select(
+        "doc_id", *keep, "table_id", "heading", "width", "grid", "shift",
+        F.filter("columns", lambda c: ~F.lower(c["col"]).isin(*ignored_columns)).alias("columns"),
+        (F.get(named, F.lit(0))["i"] + F.col("shift")).alias("code_field"),
+    )
+    rows = tables.select(
+        "doc_id", *keep, "table_id", "heading", "width", "shift", "columns", "code_field",
+        F.posexplode("grid").alias("row_id", "raw"),
+    ).where(F.size("raw") <= F.col("width"))
+    cells = F.transform(
+        "columns",
+        lambda c: F.struct(
+            c["i"].alias("col_idx"),
+            c["col"].alias("col"),
+            cell_text(F.col("raw"), c["i"] + F.col("shift")).alias("cell"),
+        ),
+    )
     used = F.transform(
-        F.filter("cells", lambda x: ~F.lower(x["col"]).isin(*ignored_columns) & (x["cell"] != "")),
-        lambda x: F.struct(x["col_idx"], x["col"], x["cell"], is_value(x["cell"]).alias("amount")),
+        F.filter(cells, lambda x: x["cell"] != ""),
+        lambda x: F.struct(x.alias("x"), is_stripped_value(x["cell"]).alias("amount")),
     )
-    first_text = F.get(F.filter("used", lambda x: ~x["amount"]), F.lit(0))["cell"]
+    code = F.when(F.col("code_field").isNotNull(), cell_text(F.col("raw"), F.col("code_field")))
+    first_text = F.get(F.filter("used", lambda x: ~x["amount"]), F.lit(0))["x"]["cell"]
     return rows.select(
-        "doc_id", *keep, "table_id", "heading", "row_id", "cells", used.alias("used")
+        "doc_id", *keep, "table_id", "heading", "row_id",
+        used.alias("used"), code.alias("item_code"),
     ).withColumn("label", clean_label(first_text))
 
 
@@ -35,7 +62,7 @@ def _is_label(label: Column, strict_labels: bool) -> Column:
 
 
 def row_labels(
-    rows: DataFrame,
+    blocks: DataFrame,
     keep: Sequence[str] = (),
     ignored_columns: Sequence[str] = IGNORED_COLUMNS,
     strict_labels: bool = False,
@@ -44,46 +71,45 @@ def row_labels(
     # explode() of an empty array drops the row; a where() would be pushed
     # below the projection and evaluate the label expression twice.
     label = F.explode(F.filter(F.array("label"), lambda x: _is_label(x, strict_labels)))
-    return _with_label(rows, keep, ignored_columns).select(
+    return _labelled_rows(blocks, keep, ignored_columns).select(
         "doc_id", *keep, "table_id", "row_id", label.alias("label")
     )
 
 
-def facts_from_rows(
-    rows: DataFrame,
+def facts_from_blocks(
+    blocks: DataFrame,
     ignored_columns: Sequence[str] = IGNORED_COLUMNS,
     code_column: str = CODE_COLUMN,
     strict_labels: bool = False,
 ) -> DataFrame:
-    """Unpivot: one fact per amount of a labelled row; ``heading`` is kept.
+    """Unpivot: one fact per amount of a labelled row of blocks(doc_id,
+    company, source, table_id, heading, block).
 
     ``strict_labels`` leaves out rows whose label is just a dash.
     """
-    keep = ("company", "source")
-    code = F.get(F.filter("cells", lambda x: x["col"] == code_column), F.lit(0))["cell"]
+    cleaned = blocks.withColumn("heading", clean_label(F.col("heading")))
     amounts = F.filter(
         "used",
         lambda x: x["amount"]
-        & (x["cell"] != F.col("label"))
+        & (x["x"]["cell"] != F.col("label"))
         & _is_label(F.col("label"), strict_labels),
     )
     return (
-        _with_label(rows, keep, ignored_columns)
+        _labelled_rows(cleaned, ("company", "source"), ignored_columns, code_column)
         .select(
-            "doc_id", "table_id", "row_id", "company", "heading", "source", "label",
-            code.alias("item_code"),
+            "doc_id", "table_id", "row_id", "company", "heading", "source", "label", "item_code",
             F.explode(amounts).alias("a"),
         )
         .select(
             "doc_id",
             "table_id",
             "row_id",
-            F.col("a.col_idx").alias("col_id"),
+            F.col("a.x.col_idx").alias("col_id"),
             "company",
             "heading",
             "item_code",
-            F.concat("label", F.lit(" | "), "a.col").alias("item_name"),
-            F.col("a.cell").alias("value"),
+            F.concat("label", F.lit(" | "), "a.x.col").alias("item_name"),
+            F.col("a.x.cell").alias("value"),
             "source",
         )
     )
@@ -100,10 +126,8 @@ def extract_facts(
 
     Works on batch and on streaming documents alike: nothing here keeps state.
     """
-    keep = ("company", "source")
-    blocks = table_blocks(documents, markers, keep=keep)
-    blocks = blocks.withColumn("heading", clean_label(F.col("heading")))
-    return facts_from_rows(table_rows(blocks, keep), ignored_columns, code_column, strict_labels)
+    blocks = table_blocks(documents, markers, keep=("company", "source"))
+    return facts_from_blocks(blocks, ignored_columns, code_column, strict_labels)
 
 
 def with_numeric_value(facts: DataFrame, thousands: str = ".", decimal: str = ",") -> DataFrame:

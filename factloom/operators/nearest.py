@@ -116,10 +116,9 @@ def _scan_with_requests(
     def scan(batches):
         best = {}
         for batch in batches:
+            batch = batch[batch["heading"].isin(shared.value.keys())]
             for heading, part in batch.groupby("heading", sort=False):
-                asked = shared.value.get(heading)
-                if asked is None:
-                    continue
+                asked = shared.value[heading]
                 found = nearest_in_block(
                     asked[0], asked[1], part["id"].to_numpy(), to_matrix(part["embedding"]), k
                 )

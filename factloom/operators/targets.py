@@ -7,7 +7,7 @@ array functions inside its row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,10 +158,13 @@ def worker_query(table: Column, keywords: Column, company: Column, time_hint: Co
 
 
 def dispatch_rows(
-    plans: DataFrame, workers: Mapping[str, str] = TABLE_WORKERS, web_worker: str = WEB_WORKER
+    plans: DataFrame,
+    workers: Mapping[str, str] = TABLE_WORKERS,
+    web_worker: str = WEB_WORKER,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(run_id, pos, worker, table, keywords, worker_query): the jobs of every
-    plan.  Targets of the same table are merged, tables without a worker
+    """(run_id, *keep, pos, worker, table, keywords, worker_query): the jobs of
+    every plan.  Targets of the same table are merged, tables without a worker
     dropped, and ``need_web`` adds one job with the question itself.
 
     Plans need run_id, targets, company, time_hint, need_web, user_query.
@@ -200,11 +203,11 @@ def dispatch_rows(
     )
     return (
         plans.select(
-            "run_id", "company", "time_hint", "user_query",
+            "run_id", *keep, "company", "time_hint", "user_query",
             F.posexplode(all_jobs).alias("pos", "j"),
         )
-        .select("run_id", "pos", "company", "time_hint", "user_query", "j.*")
-        .select("run_id", "pos", "worker", "table", "keywords", query.alias("worker_query"))
+        .select("run_id", *keep, "pos", "company", "time_hint", "user_query", "j.*")
+        .select("run_id", *keep, "pos", "worker", "table", "keywords", query.alias("worker_query"))
     )
 
 

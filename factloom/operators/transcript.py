@@ -21,7 +21,7 @@ from factloom.defaults import (
 from factloom.functions.text import WS, json_string, single_object, strip
 from factloom.operators.context import arguments_json
 from factloom.operators.targets import canonical_name, string_map
-from factloom.schemas import DECISION
+from factloom.schemas import DECISION, KEYWORD_PLAN
 
 # How a turn names a tool, its arguments and an answer.
 _ACTION = rf"(?dmiu)^{WS}*ACTION:{WS}*([^\n]+?){WS}*$"
@@ -132,6 +132,76 @@ def parsed_decisions(
     )
 
 
+def parsed_table_plans(
+    replies: DataFrame,
+    text_col: str = "text",
+    canon: Mapping[str, str] = TABLE_CANON,
+    tables: Sequence[str] = STATEMENTS,
+) -> DataFrame:
+    """Adds ``plan`` (tables, company, time_hint, need_web) and ``error``.
+
+    A table may be given by name or as an object with a ``table`` field.  A
+    reply that cannot be read, or names an unknown table, gives the empty plan.
+    """
+    read = "struct<tables:array<variant>,company:string,time_hint:string,need_web:boolean>"
+
+    def name(v: Column) -> Column:
+        given = F.coalesce(
+            F.try_variant_get(v, "$.table", "string"),
+            F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")),
+        )
+        return canonical_name(given, canon)
+
+    out = replies.withColumn("_d", single_object(json_block(F.col(text_col)), read))
+    out = out.withColumn(
+        "_tables",
+        F.transform(F.coalesce("_d.tables", F.array().cast("array<variant>")), name),
+    )
+    refused = F.exists("_tables", lambda t: ~F.coalesce(t.isin(*tables), F.lit(False)))
+    out = out.withColumn(
+        "error",
+        F.when(F.col("_d").isNull(), "Malformed JSON").when(refused, "Value not allowed"),
+    )
+    good = F.col("error").isNull()
+    plan = F.struct(
+        F.when(good, F.col("_tables")).otherwise(F.array().cast("array<string>")).alias("tables"),
+        F.coalesce(F.when(good, F.col("_d.company")), F.lit("")).alias("company"),
+        F.coalesce(F.when(good, F.col("_d.time_hint")), F.lit("")).alias("time_hint"),
+        F.coalesce(F.when(good, F.col("_d.need_web")), F.lit(False)).alias("need_web"),
+    )
+    return out.withColumn("plan", plan).drop("_d", "_tables")
+
+
+def parsed_keyword_plans(
+    replies: DataFrame,
+    text_col: str = "text",
+    canon: Mapping[str, str] = TABLE_CANON,
+    tables: Sequence[str] = STATEMENTS,
+) -> DataFrame:
+    """Adds ``targets`` array<struct<table, keywords>> and ``error``; NULL
+    targets if the reply cannot be read or names an unknown table."""
+    out = replies.withColumn(
+        "_d", single_object(json_block(F.col(text_col)), KEYWORD_PLAN.simpleString())
+    )
+    targets = F.transform(
+        F.coalesce("_d.targets", F.array().cast(KEYWORD_PLAN["targets"].dataType)),
+        lambda t: F.struct(
+            canonical_name(t["table"], canon).alias("table"),
+            F.coalesce(t["keywords"], F.array().cast("array<string>")).alias("keywords"),
+        ),
+    )
+    refused = F.exists("_t", lambda t: ~F.coalesce(t["table"].isin(*tables), F.lit(False)))
+    return (
+        out.withColumn("_t", targets)
+        .withColumn(
+            "error",
+            F.when(F.col("_d").isNull(), "Malformed JSON").when(refused, "Value not allowed"),
+        )
+        .withColumn("targets", F.when(F.col("error").isNull(), F.col("_t")))
+        .drop("_d", "_t")
+    )
+
+
 def decision_from_text(text: Column) -> Column:
     """Decision for a reply without JSON: its ANSWER part, or all of it."""
     return F.struct(

@@ -14,11 +14,10 @@ from factloom.operators.targets import dispatch_rows, lookup_requests
 
 def plan_lookups(plans: DataFrame) -> DataFrame:
     """Lookups of every job of every plan, with a ``request_id`` each."""
-    jobs = dispatch_rows(plans).where(F.col("table").isNotNull())
-    per_job = jobs.join(plans.select("run_id", "targets"), "run_id").select(
-        "run_id", F.col("worker").alias("agent"), "table", "targets"
+    jobs = dispatch_rows(plans, keep=["targets"]).where(F.col("table").isNotNull())
+    lookups = lookup_requests(
+        jobs.select("run_id", F.col("worker").alias("agent"), "table", "targets")
     )
-    lookups = lookup_requests(per_job)
     return lookups.withColumn("request_id", F.concat_ws("/", "run_id", "agent", "seq"))
 
 

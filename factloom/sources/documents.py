@@ -48,3 +48,16 @@ def stamp(
     if source is not None:
         out = out.withColumn("source", F.lit(source))
     return out
+
+
+def spread_over_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a *scan* over all cores if it comes in fewer tasks than that.
+
+    A few files with one large row group each would keep most cores idle while
+    every row costs much work.  A scan that already has enough tasks is left
+    as it is, so at scale no text is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -10,7 +10,7 @@ from factloom.functions.text import clean_label, is_value
 from factloom.operators import blocks, facts, metrics, records
 from factloom.schemas import FACTS
 from factloom.sources import store
-from factloom.sources.documents import load_documents
+from factloom.sources.documents import load_documents, spread_over_cores
 from workloads.registry import Registry
 from workloads.render import (
     ANNOTATED_TEXT_SQL,
@@ -43,7 +43,7 @@ FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ln
       FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l
             FROM documents WHERE text <> ''))""")
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return blocks.doc_lines(table(spark, sf, "documents"))
+    return blocks.doc_lines(spread_over_cores(table(spark, sf, "documents"), "doc_id"))
 
 
 @query("headings", f"""
@@ -168,7 +168,7 @@ def value_classify(spark: SparkSession, sf: str) -> DataFrame:
 
     texts = F.posexplode(F.array(*[filled(p) for p in _VALUES])).alias("pos", "text")
     return (
-        table(spark, sf, "orders")
+        spread_over_cores(table(spark, sf, "orders"), "o_orderkey")
         .select("o_orderkey", texts)
         .withColumn("is_value", is_value(F.col("text")))
     )
@@ -215,8 +215,7 @@ SELECT c_custkey AS doc_id, t.table_id, t.row_id, t.label FROM customer CROSS JO
   (1, 2, 'Doanh thu P'), (2, 0, 'Số dư tài khoản'), (3, 1, 'Số đơn hàng'), (4, 0, 'Tổng'),
   (4, 1, '**Tổng cộng**')) t(table_id, row_id, label)""")
 def row_labels(spark: SparkSession, sf: str) -> DataFrame:
-    rows = blocks.table_rows(blocks.table_blocks(statement_documents(spark, sf)))
-    return facts.row_labels(rows)
+    return facts.row_labels(blocks.table_blocks(statement_documents(spark, sf)))
 
 
 @query("prose_facts", """
@@ -315,7 +314,9 @@ def combined_text(spark: SparkSession, sf: str) -> DataFrame:
 SELECT doc_id, table_id, row_id, col_id,
        CAST(row_number() OVER (ORDER BY doc_id, table_id, row_id, col_id) - 1 AS VARCHAR) AS id FROM facts""")
 def doc_ids(spark: SparkSession, sf: str) -> DataFrame:
-    numbered = records.positional_ids(statement_facts(spark, sf))
+    path = store.shared_folder(spark)
+    store.reset_facts(statement_facts(spark, sf), path)
+    numbered = records.positional_ids(spark.read.schema(FACTS).parquet(path))
     return numbered.select("doc_id", "table_id", "row_id", "col_id", "id")
 
 
@@ -329,7 +330,7 @@ def index_consistency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("embed_text")
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread_over_cores(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return records.embed_text(docs, text_col="text").drop("text")
 
 

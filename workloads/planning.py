@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import defaults
-from factloom.operators import keywords, targets
+from factloom.operators import keywords, targets, transcript
 from workloads.registry import Registry
 from workloads.render import table
 
@@ -362,3 +362,54 @@ def default_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
         asked, defaults.keyword_dictionary(spark), defaults.keyword_aliases(spark), row_id=["run_id"]
     )
     return checked.select("run_id", "raw", "resolved")
+
+
+# ------------------------------------------------------------- planner replies
+
+
+def _replies(spark: SparkSession, sf: str, *cases: str) -> DataFrame:
+    """A reply per part, in one of several shapes by the part's size."""
+    made = [F.replace(F.lit(c), F.lit("$"), F.col("p_name")) for c in cases]
+    pick = (F.col("p_size") % len(cases)).cast("int")
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("run_id"), F.get(F.array(*made), pick).alias("text")
+    )
+
+
+@query("plan_parse", """
+SELECT p_partkey AS run_id,
+  CASE p_size % 4 WHEN 0 THEN 'BẢNG CÂN ĐỐI KẾ TOÁN;BÁO CÁO LƯU CHUYỂN TIỀN TỆ' ELSE '' END AS tables,
+  CASE p_size % 4 WHEN 0 THEN p_name ELSE '' END AS company, '' AS time_hint, p_size % 4 = 0 AS need_web,
+  CASE p_size % 4 WHEN 1 THEN 'Value not allowed' WHEN 2 THEN 'Malformed JSON' END AS error FROM part""")
+def plan_parse(spark: SparkSession, sf: str) -> DataFrame:
+    replies = _replies(
+        spark, sf,
+        'ok: {"tables": ["BCDKT ", {"table": "lctt"}], "company": "$", "need_web": true}',
+        '{"tables": ["BCDKT", "$"]}',
+        '{"tables": ["BCDKT"], $}',
+        '{"tables": null, "time_hint": null}',
+    )
+    return transcript.parsed_table_plans(replies).select(
+        "run_id", F.array_join("plan.tables", ";").alias("tables"),
+        "plan.company", "plan.time_hint", "plan.need_web", "error",
+    )
+
+
+@query("keyword_plan_parse", """
+SELECT p_partkey AS run_id, CASE p_size % 4
+    WHEN 0 THEN 'BÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH:' || p_name || ',b;BẢNG CÂN ĐỐI KẾ TOÁN:' WHEN 3 THEN '' END AS targets,
+  CASE p_size % 4 WHEN 1 THEN 'Value not allowed' WHEN 2 THEN 'Malformed JSON' END AS error FROM part""")
+def keyword_plan_parse(spark: SparkSession, sf: str) -> DataFrame:
+    replies = _replies(
+        spark, sf,
+        '{"targets": [{"table": " kqhdkd", "keywords": ["$", "b"]}, {"table": "bcđkt"}]}',
+        '{"targets": [{"table": "$", "keywords": []}]}',
+        "no JSON here, $",
+        "{}",
+    )
+    shown = F.transform(
+        "targets", lambda t: F.concat(t["table"], F.lit(":"), F.array_join(t["keywords"], ","))
+    )
+    return transcript.parsed_keyword_plans(replies).select(
+        "run_id", F.array_join(shown, ";").alias("targets"), "error"
+    )

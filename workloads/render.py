@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.sources.documents import spread_over_cores
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -63,7 +65,8 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             hit = (year == y) & (F.col("o_orderstatus") == key)
             sums.append(F.sum(F.when(hit, price)).alias(f"{key}_{y}"))
     totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(*sums)
-    df = table(spark, sf_dir, "customer").join(totals, "c_custkey", "left")
+    customers = spread_over_cores(table(spark, sf_dir, "customer"), "c_custkey")
+    df = customers.join(totals, "c_custkey", "left")
 
     def of(key: str, negative: bool = False) -> list[Column]:
         return [amount(F.col(f"`{key}_{y}`"), negative) for y in YEARS]
@@ -232,7 +235,8 @@ def annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("| II. dòng "), doc, F.lit(" | "), n, F.lit(" |")),
     ]
     text = F.concat_ws("\n", *[x if isinstance(x, Column) else F.lit(x) for x in lines])
-    return table(spark, sf_dir, "documents").select(
+    documents = spread_over_cores(table(spark, sf_dir, "documents"), "doc_id")
+    return documents.select(
         "doc_id", "source", F.lit(None).cast("string").alias("company"), text.alias("text")
     )
 
