@@ -134,15 +134,14 @@ def table_blocks(
 ) -> DataFrame:
     """(doc_id, *keep, table_id, heading, block): every maximal run of pipe
     lines with the heading in force at its last line (NULL if none yet)."""
-    return (
-        documents.where(F.col(text_col).contains("|"))
-        .select(
-            "doc_id",
-            *keep,
-            F.posexplode(_blocks_with_headings(F.col(text_col), markers)).alias("table_id", "b"),
-        )
-        .select("doc_id", *keep, "table_id", "b.heading", "b.block")
+    # A text without a pipe is passed over inside the expression: as a filter
+    # this would be pushed down and compute a derived text twice.
+    found = F.when(
+        F.col(text_col).contains("|"), _blocks_with_headings(F.col(text_col), markers)
     )
+    return documents.select(
+        "doc_id", *keep, F.posexplode(found).alias("table_id", "b")
+    ).select("doc_id", *keep, "table_id", "b.heading", "b.block")
 
 
 def _cells_raw(line: Column) -> Column:

@@ -33,17 +33,27 @@ ASSETS = (
 REVENUES = (("O", "01", "1. Doanh thu O"), ("F", "02", "B. Doanh thu F"), ("P", "03", "Doanh thu P"))
 
 
-def amount(x: Column, negative: bool = False) -> Column:
-    """Dotted thousands; parentheses for negatives; a dash for nothing."""
-    whole = F.floor(x).cast("bigint")
-    digits = F.translate(F.format_number(F.abs(whole), 0), ",", ".")
-    shown = F.when((whole < 0) | F.lit(negative), F.concat(F.lit("("), digits, F.lit(")")))
-    return F.when(whole.isNull(), "-").otherwise(F.coalesce(shown, digits))
+def amount(x: str, negative: bool = False) -> str:
+    """SQL text: dotted thousands; parentheses for negatives; a dash for nothing."""
+    digits = f"translate(format_number(abs(floor({x})), 0), ',', '.')"
+    boxed = f"'(' || {digits} || ')'"
+    plain = boxed if negative else f"if(floor({x}) < 0, {boxed}, {digits})"
+    return f"coalesce({plain}, '-')"
 
 
-def pipe_row(*cells: Column | str) -> Column:
-    parts = [c if isinstance(c, Column) else F.lit(c) for c in cells]
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
+
+
+def pipe_row(*cells: str) -> str:
+    """SQL text of one table row; cells are SQL texts too."""
+    return "concat('| ', " + ", ' | ', ".join(cells) + ", ' |')"
+
+
+def lines_of(*lines: str) -> Column:
+    """One text from lines given as SQL texts; built in one call, because a
+    report has many."""
+    return F.expr("concat_ws('\\n', " + ", ".join(lines) + ")")
 
 
 def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,79 +62,79 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Orders are summed per customer map-side; a report has a fixed number of
     lines, so no group of rows is ever collected.
     """
-    price = F.col("o_totalprice").cast("decimal(18,2)")
-    year = F.year("o_orderdate")
+    price, year = "CAST(o_totalprice AS DECIMAL(18,2))", "year(o_orderdate)"
     sums = []
     for y in YEARS:
-        sums.append(F.sum(F.when(year == y, price)).alias(f"all_{y}"))
-        sums.append(F.count_if(year == y).alias(f"n_{y}"))
-        for key, *_ in ASSETS:
-            hit = (year == y) & (F.col("o_orderpriority") == key)
-            sums.append(F.sum(F.when(hit, price)).alias(f"{key}_{y}"))
-        for key, *_ in REVENUES:
-            hit = (year == y) & (F.col("o_orderstatus") == key)
-            sums.append(F.sum(F.when(hit, price)).alias(f"{key}_{y}"))
-    totals = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(*sums)
+        sums.append(f"sum(CASE WHEN {year} = {y} THEN {price} END) AS all_{y}")
+        sums.append(f"count_if({year} = {y}) AS n_{y}")
+        for column, keys in (("o_orderpriority", ASSETS), ("o_orderstatus", REVENUES)):
+            for key, *_ in keys:
+                hit = f"{year} = {y} AND {column} = '{key}'"
+                sums.append(f"sum(CASE WHEN {hit} THEN {price} END) AS `{key}_{y}`")
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
+    totals = orders.agg(*[F.expr(x) for x in sums])
     customers = spread_over_cores(table(spark, sf_dir, "customer"), "c_custkey")
     df = customers.join(totals, "c_custkey", "left")
 
-    def of(key: str, negative: bool = False) -> list[Column]:
-        return [amount(F.col(f"`{key}_{y}`"), negative) for y in YEARS]
-
-    balance = amount(F.col("c_acctbal").cast("decimal(18,2)"))
-    orders = [F.coalesce(F.col(f"n_{y}"), F.lit(0)).cast("string") for y in YEARS]
-    lines = [
-        F.concat(F.lit("# BÁO CÁO TÀI CHÍNH "), "c_name"),
-        "",
-        F.concat(F.lit("Khách hàng "), "c_name", F.lit(", phân khúc "), "c_mktsegment"),
-        "",
-        "-----------Page 1",
-        "",
-        "# 1. BẢNG CÂN ĐỐI KẾ TOÁN",
-        "Tại ngày 31 tháng 12 năm 2000",
-        "",
-        "| Mã số | TÀI SẢN | Thuyết minh | 31/12/2000VND | 31/12/1999VND |",
-        "| ----- | ------- | ----------- | ------------- | ------------- |",
-        pipe_row("100", "A. TỔNG CỘNG TÀI SẢN", "", *of("all")),
-        *[pipe_row(code, label, "3", *of(key, neg)) for key, code, label, neg in ASSETS],
-        "",
-        "-----------Page 2",
-        "",
-        "BÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH",
-        "Năm 2000",
-        "",
-        "| Mã số | CHỈ TIÊU | Thuyết minh | Năm 2000VND | Năm 1999VND |",
-        "| ----- | -------- | ----------- | ----------- | ----------- |",
-        *[pipe_row(code, label, "", *of(key)) for key, code, label in REVENUES],
-        "",
-        "-----------Page 3",
-        "(Tiếp theo)",
-        "",
-        "| Mã số | CHỈ TIÊU | Thuyết minh | Năm 2000VND | Năm 1999VND |",
-        "| ----- | -------- | ----------- | ----------- | ----------- |",
-        pipe_row("50", "13. Số dư tài khoản", "7", balance, balance),
-        "",
-        "## BÁO CÁO LƯU CHUYỂN TIỀN TỆ",
-        "",
-        "| Mã số | CHỈ TIÊU | Thuyết minh | Năm 2000VND | Năm 1999VND |",
-        "| ----- | -------- | ----------- | ----------- | ----------- |",
-        "| **I. LƯU CHUYỂN** | | | | |",
-        pipe_row("01", "1. Số đơn hàng", "", *orders),
-        "",
-        "Ghi chú theo năm:",
-        "",
-        "|  | VND | Tỷ lệ% | VND | Tỷ lệ% |",
-        "| --- | --- | --- | --- | --- |",
+    def of(key: str, negative: bool = False) -> list[str]:
+        return [amount(f"`{key}_{y}`", negative) for y in YEARS]
+
+    def heads(label: str, *periods: str) -> list[str]:
+        names = ["Mã số", label, "Thuyết minh", *periods]
+        return [quoted("| " + " | ".join(names) + " |"), quoted("|" + " ----- |" * len(names))]
+
+    balance = amount("CAST(c_acctbal AS DECIMAL(18,2))")
+    counts = [f"CAST(coalesce(n_{y}, 0) AS STRING)" for y in YEARS]
+    flows = heads("CHỈ TIÊU", "Năm 2000VND", "Năm 1999VND")
+    text = lines_of(
+        "'# BÁO CÁO TÀI CHÍNH ' || c_name",
+        "''",
+        "'Khách hàng ' || c_name || ', phân khúc ' || c_mktsegment",
+        "''",
+        "'-----------Page 1'",
+        "''",
+        "'# 1. BẢNG CÂN ĐỐI KẾ TOÁN'",
+        "'Tại ngày 31 tháng 12 năm 2000'",
+        "''",
+        *heads("TÀI SẢN", "31/12/2000VND", "31/12/1999VND"),
+        pipe_row("'100'", "'A. TỔNG CỘNG TÀI SẢN'", "''", *of("all")),
+        *[
+            pipe_row(quoted(code), quoted(label), "'3'", *of(key, neg))
+            for key, code, label, neg in ASSETS
+        ],
+        "''",
+        "'-----------Page 2'",
+        "''",
+        "'BÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH'",
+        "'Năm 2000'",
+        "''",
+        *flows,
+        *[pipe_row(quoted(code), quoted(label), "''", *of(key)) for key, code, label in REVENUES],
+        "''",
+        "'-----------Page 3'",
+        "'(Tiếp theo)'",
+        "''",
+        *flows,
+        pipe_row("'50'", "'13. Số dư tài khoản'", "'7'", balance, balance),
+        "''",
+        "'## BÁO CÁO LƯU CHUYỂN TIỀN TỆ'",
+        "''",
+        *flows,
+        "'| **I. LƯU CHUYỂN** | | | | |'",
+        pipe_row("'01'", "'1. Số đơn hàng'", "''", *counts),
+        "''",
+        "'Ghi chú theo năm:'",
+        "''",
+        "'|  | VND | Tỷ lệ% | VND | Tỷ lệ% |'",
+        "'| --- | --- | --- | --- | --- |'",
         pipe_row(
-            "Tổng", amount(F.col("all_2000")), "20,29%", amount(F.col("all_1999")),
-            F.concat(F.col("c_nationkey").cast("string"), F.lit(",50")),
+            "'Tổng'", amount("all_2000"), "'20,29%'", amount("all_1999"), "c_nationkey || ',50'"
         ),
-        "| **Tổng cộng** | **1.000** | | - | |",
-    ]
-    text = F.concat_ws("\n", *[x if isinstance(x, Column) else F.lit(x) for x in lines])
+        "'| **Tổng cộng** | **1.000** | | - | |'",
+    )
     return df.select(
         F.col("c_custkey").alias("doc_id"),
-        F.concat(F.lit("statements/"), "c_name", F.lit(".md")).alias("source"),
+        F.expr("'statements/' || c_name || '.md'").alias("source"),
         F.col("c_name").alias("company"),
         text.alias("text"),
     )
@@ -200,41 +210,22 @@ facts AS (
 
 def annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's whole prose with five tables around it."""
-    n, doc, lang, source = (F.col(c).cast("string") for c in ("n_chars", "doc_id", "lang", "source"))
-    lines = [
-        "| id | Số |",
-        "|---|---|",
-        F.concat(F.lit("| tài liệu | "), doc, F.lit(" |")),
-        "",
-        F.col("text"),
-        "",
-        "## 3   HỒ SƠ TÀI LIỆU",
-        "",
-        "| Mục | Giá trị | Giá trị | Ghi chú |",
-        "| --- | --- | --- | --- |",
-        F.concat(F.lit("| 1. Số ký tự | "), n, F.lit(" |  | "), lang, F.lit(" |")),
-        F.concat(F.lit("| 2. Mã | "), doc, F.lit(" |")),
-        "",
-        "-----------Page 1",
-        "",
-        F.concat(F.lit("|"), lang, F.lit("|a|a|a.1||")),
-        "|-|-|-|-|-|",
-        "|x|1|NA|3|4|",
-        "",
-        F.concat(F.lit("Nguồn "), source, F.lit(":")),
-        "",
-        "| Nguồn | Số |",
-        "| --- | --- |",
-        F.concat(F.lit("| BẢNG "), lang, F.lit(" | "), n, F.lit(" |")),
-        "| cuối | (1.000) |",
-        "",
-        "một dòng",
-        "",
-        "  | Nhãn | Giá trị |  ",
-        "| bad rule | text |",
-        F.concat(F.lit("| II. dòng "), doc, F.lit(" | "), n, F.lit(" |")),
-    ]
-    text = F.concat_ws("\n", *[x if isinstance(x, Column) else F.lit(x) for x in lines])
+    text = lines_of(
+        "'| id | Số |'", "'|---|---|'", "'| tài liệu | ' || doc_id || ' |'", "''",
+        "text", "''",
+        "'## 3   HỒ SƠ TÀI LIỆU'", "''",
+        "'| Mục | Giá trị | Giá trị | Ghi chú |'", "'| --- | --- | --- | --- |'",
+        "'| 1. Số ký tự | ' || n_chars || ' |  | ' || lang || ' |'",
+        "'| 2. Mã | ' || doc_id || ' |'", "''",
+        "'-----------Page 1'", "''",
+        "'|' || lang || '|a|a|a.1||'", "'|-|-|-|-|-|'", "'|x|1|NA|3|4|'", "''",
+        "'Nguồn ' || source || ':'", "''",
+        "'| Nguồn | Số |'", "'| --- | --- |'",
+        "'| BẢNG ' || lang || ' | ' || n_chars || ' |'", "'| cuối | (1.000) |'", "''",
+        "'một dòng'", "''",
+        "'  | Nhãn | Giá trị |  '", "'| bad rule | text |'",
+        "'| II. dòng ' || doc_id || ' | ' || n_chars || ' |'",
+    )
     documents = spread_over_cores(table(spark, sf_dir, "documents"), "doc_id")
     return documents.select(
         "doc_id", "source", F.lit(None).cast("string").alias("company"), text.alias("text")
