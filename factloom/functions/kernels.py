@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,8 +23,20 @@ _VECTOR_CHUNK = 2048
 _EXACT_ELEMENTS = 4_000_000
 
 
-def to_matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+def to_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, dimensions) of a list column without NULLs."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), -1)
+
+
+def to_numpy(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return column.to_pandas().to_numpy()
+
+
+def to_batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame[schema.names], schema=schema, preserve_index=False)
 
 
 def keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:

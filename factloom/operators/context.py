@@ -112,7 +112,9 @@ def arguments_json(json: Column) -> Column:
 def call_signature(agent: Column, tool: Column, args_json: Column) -> Column:
     """Same for calls with the same agent, tool and arguments."""
     call = F.struct(agent.alias("agent"), args_json.alias("args"), tool.alias("tool"))
-    return F.sha2(F.to_json(call), 256)
+    # never NULL, and known to be: a join on it needs no IS NOT NULL filter,
+    # which would compute the signature once more
+    return F.coalesce(F.sha2(F.to_json(call), 256), F.lit(""))
 
 
 def blocked_repeats(calls: DataFrame, hot_rows: int | None = None) -> DataFrame:

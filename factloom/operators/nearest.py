@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.defaults import TOP_K
 from factloom.functions import kernels
@@ -23,7 +26,7 @@ from factloom.operators.skew import in_blocks
 # Above this many requests the request side is partitioned instead of sent to
 # every task (20,000 requests of 384 floats are 60 MB).
 MAX_BROADCAST_REQUESTS = 20_000
-BLOCK_VECTORS = 32_768
+BLOCK_VECTORS = 16_384
 BLOCK_REQUESTS = 4_096
 
 
@@ -101,40 +104,46 @@ def _scan_with_requests(
     rows: DataFrame, few: pd.DataFrame, k: int, payload: list[str], schema: T.StructType
 ) -> DataFrame:
     spark = rows.sparkSession
+    if few.empty:
+        return spark.createDataFrame([], schema)
     by_heading = {
-        heading: (part["request_id"].to_numpy(), kernels.to_matrix(part["embedding"]))
+        heading: (
+            part["request_id"].to_numpy(),
+            np.stack(part["embedding"].to_numpy()).astype(np.float64),
+        )
         for heading, part in few.groupby("heading", sort=False)
     }
     shared = spark.sparkContext.broadcast(by_heading)
-    if not by_heading:
-        return spark.createDataFrame([], schema)
-
-    nearest_in_block, keep_best, to_matrix = (
-        kernels.nearest_in_block, kernels.keep_best, kernels.to_matrix,
-    )
+    arrow_schema = to_arrow_schema(schema)
+    kernel = kernels
 
     def scan(batches):
         best = {}
         for batch in batches:
-            batch = batch[batch["heading"].isin(shared.value.keys())]
-            for heading, part in batch.groupby("heading", sort=False):
-                asked = shared.value[heading]
-                found = nearest_in_block(
-                    asked[0], asked[1], part["id"].to_numpy(), to_matrix(part["embedding"]), k
-                )
+            headings = batch.column("heading").to_pandas()
+            asked_for = headings[headings.isin(shared.value.keys())]
+            if asked_for.empty:
+                continue
+            ids = kernel.to_numpy(batch.column("id"))
+            vectors = kernel.to_matrix(batch.column("embedding"))
+            carried = {p: kernel.to_numpy(batch.column(p)) for p in payload}
+            for heading, labels in asked_for.groupby(asked_for, sort=False).groups.items():
+                at = labels.to_numpy()
+                request_ids, queries = shared.value[heading]
+                found = kernel.nearest_in_block(request_ids, queries, ids[at], vectors[at], k)
+                found_at = at[found.pop("row").to_numpy(dtype=int)]
                 for p in payload:
-                    found[p] = part[p].to_numpy()[found["row"].to_numpy(dtype=int)]
-                found = found.drop(columns="row")
+                    found[p] = carried[p][found_at]
                 if heading in best:
-                    found = keep_best(pd.concat([best[heading], found]), k)
+                    found = kernel.keep_best(pd.concat([best[heading], found]), k)
                 best[heading] = found
         for found in best.values():
-            yield found[["request_id", "id", "dist", *payload]]
+            yield kernel.to_batch(found, arrow_schema)
 
     headings = list(by_heading)
     if len(headings) <= 1_000:  # short enough to prune the scan itself
         rows = rows.where(F.col("heading").isin(*[_plain(h) for h in headings]))
-    return rows.mapInPandas(scan, schema)
+    return rows.mapInArrow(scan, schema)
 
 
 def _plain(x):
@@ -153,22 +162,23 @@ def _scan_blocks(
     left, right = in_blocks(
         rows, wanted, "heading", "id", "request_id", block_vectors, block_requests
     )
-    nearest_in_block, to_matrix = kernels.nearest_in_block, kernels.to_matrix
-    columns = ["request_id", "id", "dist", *payload]
-
-    def meet(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if vectors.empty or asked.empty:
-            return pd.DataFrame([], columns=columns, dtype=object)
-        found = nearest_in_block(
-            asked["request_id"].to_numpy(), to_matrix(asked["embedding"]),
-            vectors["id"].to_numpy(), to_matrix(vectors["embedding"]), k,
+    arrow_schema = to_arrow_schema(schema)
+    kernel = kernels
+
+    def meet(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        if vectors.num_rows == 0 or asked.num_rows == 0:
+            return arrow_schema.empty_table()
+        found = kernel.nearest_in_block(
+            kernel.to_numpy(asked.column("request_id")), kernel.to_matrix(asked.column("embedding")),
+            kernel.to_numpy(vectors.column("id")), kernel.to_matrix(vectors.column("embedding")), k,
         )
+        found_at = found.pop("row").to_numpy(dtype=int)
         for p in payload:
-            found[p] = vectors[p].to_numpy()[found["row"].to_numpy(dtype=int)]
-        return found[columns]
+            found[p] = kernel.to_numpy(vectors.column(p))[found_at]
+        return pa.Table.from_batches([kernel.to_batch(found, arrow_schema)])
 
     keys = ["heading", "left_block", "right_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
 
 
 def nearest_approximate(

@@ -55,24 +55,35 @@ def in_blocks(
     Adds ``left_block`` and ``right_block`` to both sides: a row of a hot key
     is in one block of its own side and is repeated for every block of the
     other, so grouping by (key, left_block, right_block) brings each pair of
-    rows together exactly once and no group outgrows the block sizes.
+    rows together exactly once and no group outgrows the block sizes.  The
+    result is partitioned by (key, left_block, right_block).
     """
 
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         n = F.ceil(F.col("n") / rows).cast("int")
         return F.broadcast(hot_groups(df, [key], rows).select(key, n.alias(name)))
 
+    spark = left.sparkSession
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        4 * spark.sparkContext.defaultParallelism,
+    )
     left_n, right_n = blocks(left, left_rows, "_ln"), blocks(right, right_rows, "_rn")
 
     def place(df: DataFrame, own: str, other: str, row_id: str, own_out: str, other_out: str):
         n_own, n_other = (F.coalesce(F.col(c), F.lit(1)) for c in (own, other))
-        return (
+        names = [*df.columns, own_out, other_out]
+        # fresh column identities: the two sides may stem from the same table
+        df = df.toDF(*df.columns)
+        placed = (
             df.join(left_n, key, "left")
             .join(right_n, key, "left")
             .withColumn(own_out, F.pmod(F.xxhash64(row_id), n_own).cast("int"))
             .withColumn(other_out, F.explode(F.sequence(F.lit(0), n_other - 1)))
-            .drop("_ln", "_rn")
         )
+        # a fixed number of tasks: merging small shuffle partitions would put
+        # many costly pairs of blocks into one task
+        return placed.select(*names).toDF(*names).repartition(tasks, key, "left_block", "right_block")
 
     return (
         place(left, "_ln", "_rn", left_id, "left_block", "right_block"),

@@ -79,7 +79,7 @@ def test_partial_results_stay_small(spark):
     """k rows per request leave each task; the merge limits before shuffling."""
     index, asked, _ = fixture(spark)
     plan = nearest.nearest_batch(asked, index)._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("WindowGroupLimit") < plan.rindex("MapInPandas")
+    assert plan.index("WindowGroupLimit") < plan.rindex("MapInArrow")
     assert plan.count("WindowGroupLimit") == 2
     blocked = nearest.nearest_batch(asked, index, max_broadcast_requests=0)
     assert "CartesianProduct" not in blocked._jdf.queryExecution().executedPlan().toString()

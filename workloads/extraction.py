@@ -10,12 +10,13 @@ from factloom.functions.text import clean_label, is_value
 from factloom.operators import blocks, facts, metrics, records
 from factloom.schemas import FACTS
 from factloom.sources import store
-from factloom.sources.documents import load_documents, spread_over_cores
+from factloom.sources.documents import load_documents
 from workloads.registry import Registry
 from workloads.render import (
     ANNOTATED_TEXT_SQL,
     STATEMENT_FACTS_SQL,
     annotated_documents,
+    spread_table,
     statement_documents,
     table,
 )
@@ -43,7 +44,7 @@ FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS ln
       FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l
             FROM documents WHERE text <> ''))""")
 def doc_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return blocks.doc_lines(spread_over_cores(table(spark, sf, "documents"), "doc_id"))
+    return blocks.doc_lines(spread_table(spark, sf, "documents", "doc_id"))
 
 
 @query("headings", f"""
@@ -168,7 +169,7 @@ def value_classify(spark: SparkSession, sf: str) -> DataFrame:
 
     texts = F.posexplode(F.array(*[filled(p) for p in _VALUES])).alias("pos", "text")
     return (
-        spread_over_cores(table(spark, sf, "orders"), "o_orderkey")
+        spread_table(spark, sf, "orders", "o_orderkey")
         .select("o_orderkey", texts)
         .withColumn("is_value", is_value(F.col("text")))
     )
@@ -330,7 +331,7 @@ def index_consistency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("embed_text")
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spread_over_cores(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = spread_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
     return records.embed_text(docs, text_col="text").drop("text")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import defaults
 from factloom.operators import keywords, targets, transcript
 from workloads.registry import Registry
-from workloads.render import table
+from workloads.render import spread_table, table
 
 query = Registry()
 
@@ -54,7 +54,7 @@ def keyword_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
     tables = F.array(F.col("p_type"), F.concat(F.lit("X-"), "p_type"))
     return (
-        table(spark, sf, "part")
+        spread_table(spark, sf, "part", "p_partkey")
         .select(F.col("p_partkey").alias("run_id"), F.posexplode(tables).alias("tbl_pos", "tbl"), raw.alias("r"))
         .select("run_id", "tbl_pos", "tbl", F.posexplode("r").alias("pos", "raw"))
     )
@@ -195,7 +195,7 @@ def type_plans(spark: SparkSession, sf: str) -> DataFrame:
         _target(F.concat(F.lit(" "), kind), F.translate(name, " ", "-"), name, F.translate(name, " ", "0")),
     )
     hopeless = F.array(_target(kind, F.lit("?"), F.lit("??")))
-    return table(spark, sf, "part").select(
+    return spread_table(spark, sf, "part", "p_partkey").select(
         F.col("p_partkey").alias("run_id"),
         F.array(kind, F.concat(kind, F.lit(" ")), F.lit(""), F.lit("nowhere")).alias("tables"),
         F.when(F.col("p_size") % 2 == 1, hopeless).otherwise(usual).alias("targets"),
@@ -245,7 +245,7 @@ def statement_plans(spark: SparkSession, sf: str) -> DataFrame:
     """A plan per part over the three statements, under varying spellings."""
     spelling = F.get(F.array(*[F.lit(s) for s in _SPELLINGS]), (F.col("p_size") % 4).cast("int"))
     name = F.col("p_name")
-    plans = table(spark, sf, "part").select(
+    plans = spread_table(spark, sf, "part", "p_partkey").select(
         F.col("p_partkey").alias("run_id"),
         F.array(spelling).alias("tables"),
         F.array(
@@ -371,7 +371,7 @@ def _replies(spark: SparkSession, sf: str, *cases: str) -> DataFrame:
     """A reply per part, in one of several shapes by the part's size."""
     made = [F.replace(F.lit(c), F.lit("$"), F.col("p_name")) for c in cases]
     pick = (F.col("p_size") % len(cases)).cast("int")
-    return table(spark, sf, "part").select(
+    return spread_table(spark, sf, "part", "p_partkey").select(
         F.col("p_partkey").alias("run_id"), F.get(F.array(*made), pick).alias("text")
     )
 

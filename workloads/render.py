@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are about to cost much work each."""
+    return spread_over_cores(table(spark, sf_dir, name), key)
+
+
 # ---------------------------------------------------------------- statements
 
 YEARS = (2000, 1999)
@@ -73,7 +78,7 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 sums.append(f"sum(CASE WHEN {hit} THEN {price} END) AS `{key}_{y}`")
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
     totals = orders.agg(*[F.expr(x) for x in sums])
-    customers = spread_over_cores(table(spark, sf_dir, "customer"), "c_custkey")
+    customers = spread_table(spark, sf_dir, "customer", "c_custkey")
     df = customers.join(totals, "c_custkey", "left")
 
     def of(key: str, negative: bool = False) -> list[str]:
@@ -226,7 +231,7 @@ def annotated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'  | Nhãn | Giá trị |  '", "'| bad rule | text |'",
         "'| II. dòng ' || doc_id || ' | ' || n_chars || ' |'",
     )
-    documents = spread_over_cores(table(spark, sf_dir, "documents"), "doc_id")
+    documents = spread_table(spark, sf_dir, "documents", "doc_id")
     return documents.select(
         "doc_id", "source", F.lit(None).cast("string").alias("company"), text.alias("text")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom import defaults
 from factloom.operators import context, nearest
 from workloads.registry import Registry
-from workloads.render import table
+from workloads.render import spread_table, table
 
 query = Registry()
 
@@ -151,7 +151,7 @@ def result_history(spark: SparkSession, sf: str) -> DataFrame:
 
 def event_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Every event is a tool call of its user's run."""
-    return table(spark, sf, "events").select(
+    return spread_table(spark, sf, "events", "event_id").select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("seq"),
         F.lit("agent_bs").alias("agent"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import transcript
 from workloads.registry import Registry
-from workloads.render import table
+from workloads.render import spread_table, table
 
 query = Registry()
 
@@ -24,7 +24,7 @@ TURN_DUCK = _TURN_SQL.format(nl="chr(10)")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select(
+    return spread_table(spark, sf, "conversations", "conv_id").select(
         "conv_id", "turn", "role", F.col("text").alias("said"), F.expr(TURN_SPARK).alias("text")
     )
 
