@@ -57,10 +57,23 @@ def _exact(queries: np.ndarray, vectors: np.ndarray, r: np.ndarray, c: np.ndarra
     return out
 
 
+def kth_distances(best: pd.DataFrame, request_ids: np.ndarray, k: int) -> np.ndarray:
+    """Distance of each request's k-th neighbour so far; infinite if fewer."""
+    kth = best.groupby("request_id", sort=False)["dist"].agg(["size", "max"])
+    full = kth.loc[kth["size"] >= k, "max"]
+    return full.reindex(request_ids).fillna(np.inf).to_numpy()
+
+
 def nearest_in_block(
-    request_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
+    request_ids: np.ndarray,
+    queries: np.ndarray,
+    ids: np.ndarray,
+    vectors: np.ndarray,
+    k: int,
+    limits: np.ndarray | None = None,
 ) -> pd.DataFrame:
-    """(request_id, id, dist, row): the k nearest vectors of each query.
+    """(request_id, id, dist, row): the k nearest vectors of each query, as far
+    as they are within ``limits``, the distances known to be reached already.
 
     A matrix product bounds the distances; the survivors, every tie included,
     are measured again term by term so that equal vectors get equal distances.
@@ -68,27 +81,31 @@ def nearest_in_block(
     results = []
     for q0 in range(0, len(queries), _QUERY_CHUNK):
         q = queries[q0 : q0 + _QUERY_CHUNK]
+        asked = request_ids[q0 : q0 + _QUERY_CHUNK]
+        reach = np.full(len(q), np.inf) if limits is None else limits[q0 : q0 + _QUERY_CHUNK]
         q_norm = (q * q).sum(axis=1)
         best: pd.DataFrame | None = None
         for v0 in range(0, len(vectors), _VECTOR_CHUNK):
             v = vectors[v0 : v0 + _VECTOR_CHUNK]
             v_norm = (v * v).sum(axis=1)
             rough = q_norm[:, None] + v_norm[None, :] - 2.0 * (q @ v.T)
-            if len(v) > k:
-                slack = 1e-9 * (1.0 + q_norm + v_norm.max())
-                limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
-                r, c = np.nonzero(rough <= limit[:, None])
-            else:
-                r, c = (x.ravel() for x in np.indices(rough.shape))
+            slack = 1e-9 * (1.0 + q_norm + v_norm.max())
+            limit = reach
+            if len(v) > k and np.isinf(reach).any():
+                limit = np.minimum(reach, np.partition(rough, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero(rough <= (limit + slack)[:, None])
+            if len(r) == 0:
+                continue
             found = pd.DataFrame(
                 {
-                    "request_id": request_ids[q0 + r],
+                    "request_id": asked[r],
                     "id": ids[v0 + c],
                     "dist": _exact(q, v, r, c),
                     "row": v0 + c,
                 }
             )
             best = keep_best(found if best is None else pd.concat([best, found]), k)
+            reach = np.minimum(reach, kth_distances(best, asked, k))
         if best is not None:
             results.append(best)
     if not results:

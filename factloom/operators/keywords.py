@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.defaults import FUZZY_CUTOFF
 from factloom.functions import kernels
 from factloom.functions.text import normalize_keyword, table_compare_form, table_key
-from factloom.operators.skew import in_blocks, salted_lookup
+from factloom.operators.skew import costly_tasks, in_blocks, salted_lookup
 
 # Above this many entries the dictionary is partitioned instead of sent to
 # every task.
@@ -92,7 +92,8 @@ def closest_keywords(
                     rows += matches(tbl, ready[tbl], part["normalized"])
                 yield pd.DataFrame(rows, columns=columns)
 
-        return wanted.mapInPandas(scan, schema)
+        spread = wanted.repartition(costly_tasks(words.sparkSession), "tbl", "normalized")
+        return spread.mapInPandas(scan, schema)
 
     left, right = in_blocks(
         wanted, entries, "tbl", "normalized", "keyword", block_keywords, block_dictionary

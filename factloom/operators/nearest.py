@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -92,8 +91,8 @@ def nearest_batch(
         "id", "heading", "embedding", *payload
     )
     schema = _result_schema(requests, index, payload)
-    few = wanted.limit(max_broadcast_requests + 1).toPandas()
-    if len(few) <= max_broadcast_requests:
+    few = wanted.limit(max_broadcast_requests + 1).toArrow()
+    if few.num_rows <= max_broadcast_requests:
         return _ranked(_scan_with_requests(rows, few, k, list(payload), schema), k)
     return _ranked(
         _scan_blocks(wanted, rows, k, list(payload), schema, block_vectors, block_requests), k
@@ -101,24 +100,24 @@ def nearest_batch(
 
 
 def _scan_with_requests(
-    rows: DataFrame, few: pd.DataFrame, k: int, payload: list[str], schema: T.StructType
+    rows: DataFrame, few: pa.Table, k: int, payload: list[str], schema: T.StructType
 ) -> DataFrame:
     spark = rows.sparkSession
-    if few.empty:
+    if few.num_rows == 0:
         return spark.createDataFrame([], schema)
+    request_ids = kernels.to_numpy(few.column("request_id"))
+    queries = kernels.to_matrix(few.column("embedding"))
+    headings = few.column("heading").to_pandas()
     by_heading = {
-        heading: (
-            part["request_id"].to_numpy(),
-            np.stack(part["embedding"].to_numpy()).astype(np.float64),
-        )
-        for heading, part in few.groupby("heading", sort=False)
+        heading: (request_ids[at], queries[at])
+        for heading, at in headings.groupby(headings, sort=False).indices.items()
     }
     shared = spark.sparkContext.broadcast(by_heading)
     arrow_schema = to_arrow_schema(schema)
     kernel = kernels
 
     def scan(batches):
-        best = {}
+        best, limits = {}, {}
         for batch in batches:
             headings = batch.column("heading").to_pandas()
             asked_for = headings[headings.isin(shared.value.keys())]
@@ -130,13 +129,18 @@ def _scan_with_requests(
             for heading, labels in asked_for.groupby(asked_for, sort=False).groups.items():
                 at = labels.to_numpy()
                 request_ids, queries = shared.value[heading]
-                found = kernel.nearest_in_block(request_ids, queries, ids[at], vectors[at], k)
+                found = kernel.nearest_in_block(
+                    request_ids, queries, ids[at], vectors[at], k, limits.get(heading)
+                )
+                if found.empty:
+                    continue
                 found_at = at[found.pop("row").to_numpy(dtype=int)]
                 for p in payload:
                     found[p] = carried[p][found_at]
                 if heading in best:
                     found = kernel.keep_best(pd.concat([best[heading], found]), k)
                 best[heading] = found
+                limits[heading] = kernel.kth_distances(found, request_ids, k)
         for found in best.values():
             yield kernel.to_batch(found, arrow_schema)
 

@@ -56,24 +56,24 @@ def retrieval_records(
     )
 
 
-def positional_ids(
-    facts: DataFrame, inner: Sequence[str] = ("table_id", "row_id", "col_id"), buckets: int = 256
-) -> DataFrame:
+def positional_ids(facts: DataFrame, buckets: int = 256) -> DataFrame:
     """Adds ``id``: the fact's position, counted over all documents in order.
 
-    Numbers within a document come from a window per document, the offset of
-    a document from two prefix sums: over the documents of a key range, and
-    over the at most ``buckets`` ranges.  No task sees all rows.
+    A position is the sum of three: within the table, of the table within its
+    document, and of the document.  The last comes from prefix sums over the
+    documents of a key range and over the at most ``buckets`` ranges, so the
+    windows see one table's facts, one document's tables, and one range's
+    documents; no task sees all rows.
     """
     spark = facts.sparkSession
-    per_doc = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    per_table = facts.groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).alias("n"))
+    per_doc = per_table.groupBy("doc_id").agg(F.sum("n").alias("n"))
     edges = per_doc.agg(
         F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets + 1)], 10_000)
     ).first()[0]
     if not edges:  # no facts at all
         return facts.withColumn("id", F.lit("")).limit(0)
-    edges = sorted(set(edges))
-    bounds = F.array(*[F.lit(e) for e in edges])
+    bounds = F.array(*[F.lit(e) for e in sorted(set(edges))])
     per_doc = per_doc.withColumn(
         "_bucket", F.size(F.filter(bounds, lambda e: e < F.col("doc_id")))
     )
@@ -83,17 +83,25 @@ def positional_ids(
         starts.append((bucket, at))
         at += n
     start_of = literal_table(spark, "_bucket _start", starts)
-    running = Window.partitionBy("_bucket").orderBy("doc_id").rowsBetween(
-        Window.unboundedPreceding, -1
+
+    def before(group: str, order: str) -> Column:
+        rows = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(rows), F.lit(0))
+
+    doc_offsets = per_doc.join(F.broadcast(start_of), "_bucket").select(
+        "doc_id", (F.col("_start") + before("_bucket", "doc_id")).alias("_doc")
+    )
+    offsets = (
+        per_table.withColumn("_table", before("doc_id", "table_id"))
+        .join(doc_offsets, "doc_id")
+        .select("doc_id", "table_id", (F.col("_doc") + F.col("_table")).alias("_offset"))
     )
-    offsets = per_doc.join(F.broadcast(start_of), "_bucket").select(
-        "doc_id",
-        (F.col("_start") + F.coalesce(F.sum("n").over(running), F.lit(0))).alias("_offset"),
+    place = F.row_number().over(
+        Window.partitionBy("doc_id", "table_id").orderBy("row_id", "col_id")
     )
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*inner)) - 1
     return (
-        facts.withColumn("_place", place)
-        .join(offsets, "doc_id")
+        facts.withColumn("_place", place - 1)
+        .join(offsets, ["doc_id", "table_id"])
         .withColumn("id", (F.col("_offset") + F.col("_place")).cast("string"))
         .drop("_offset", "_place")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows of one key handled together before the key is split.
@@ -12,6 +12,13 @@ HOT_ROWS = 100_000
 LOOKUP_SALTS = 16
 
 
+def costly_tasks(spark: SparkSession) -> int:
+    """Number of tasks for few bytes that cost much work: enough for all cores,
+    where Spark would merge small shuffle partitions into fewer."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(wanted, 4 * spark.sparkContext.defaultParallelism)
+
+
 def salted_lookup(
     df: DataFrame,
     table: DataFrame,
@@ -63,11 +70,7 @@ def in_blocks(
         n = F.ceil(F.col("n") / rows).cast("int")
         return F.broadcast(hot_groups(df, [key], rows).select(key, n.alias(name)))
 
-    spark = left.sparkSession
-    tasks = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        4 * spark.sparkContext.defaultParallelism,
-    )
+    tasks = costly_tasks(left.sparkSession)
     left_n, right_n = blocks(left, left_rows, "_ln"), blocks(right, right_rows, "_rn")
 
     def place(df: DataFrame, own: str, other: str, row_id: str, own_out: str, other_out: str):
