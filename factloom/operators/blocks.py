@@ -20,6 +20,7 @@ from factloom.defaults import HEADING_MARKERS
 from factloom.functions.text import (
     INLINE_WS,
     WHITESPACE,
+    has_any,
     split_lines,
     strip,
     unify_line_breaks,
@@ -36,6 +37,9 @@ NULL_CELLS = (
 # first opens a section of a document, the second a table block within it.
 _SECTION, _BLOCK = "\x1c", "\x1e"
 
+# White space within a line other than the blank.
+_RARE_WS = "".join(ch for ch in WHITESPACE if ch != " " and len(f"a{ch}a".splitlines()) == 1)
+
 _TABLE_LINE = rf"{INLINE_WS}*+\|[^\n]*+"
 # Possessive, so that the longest table needs no regex stack.
 _TABLE_BLOCK = rf"(?:^{_TABLE_LINE}\n?+)++"
@@ -172,14 +176,16 @@ def _column_name(header: Column, name: Column, i: Column) -> Column:
 
 def gridded(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per block: (doc_id, *keep, table_id, heading, columns, shift,
-    width, grid).  ``columns`` is array<struct<i, col>>, ``grid`` the raw
-    fields of the data rows, where column i is field i + shift."""
+    width, plain, grid).  ``columns`` is array<struct<i, col>>, ``grid`` the
+    raw fields of the data rows, where column i is field i + shift; ``plain``
+    says that blanks are the only white space."""
     lines = F.split("block", "\n")
     parsed = blocks.select(
         "doc_id",
         *keep,
         "table_id",
         "heading",
+        (~has_any(F.col("block"), _RARE_WS)).alias("plain"),
         _cells_raw(F.get(lines, F.lit(0))).alias("header"),
         _cells_raw(F.get(lines, F.lit(1))).alias("rule"),
         F.transform(
@@ -208,10 +214,11 @@ def gridded(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return shifted.withColumn("columns", columns).drop("header", "rule")
 
 
-def cell_text(raw: Column, field: Column) -> Column:
-    """Stripped text of one field of a raw row; missing and null cells empty."""
+def cell_text(raw: Column, field: Column, plain: Column) -> Column:
+    """Stripped text of one field of a raw row; missing and null cells empty.
+    Most tables are ``plain`` and need only the fast trim."""
     cell = F.get(raw, field)
-    return F.when(_is_blank(cell), "").otherwise(strip(cell))
+    return F.when(_is_blank(cell), "").when(plain, F.trim(cell)).otherwise(strip(cell))
 
 
 def table_rows(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -224,13 +231,13 @@ def table_rows(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         lambda c: F.struct(
             c["i"].alias("col_idx"),
             c["col"].alias("col"),
-            cell_text(F.col("raw"), c["i"] + F.col("shift")).alias("cell"),
+            cell_text(F.col("raw"), c["i"] + F.col("shift"), F.col("plain")).alias("cell"),
         ),
     )
     return (
         gridded(blocks, keep)
         .select(
-            "doc_id", *keep, "table_id", "heading", "columns", "shift", "width",
+            "doc_id", *keep, "table_id", "heading", "columns", "shift", "width", "plain",
             F.posexplode("grid").alias("row_id", "raw"),
         )
         .where(F.size("raw") <= F.col("width"))

@@ -28,12 +28,12 @@ def _labelled_rows(
     """
     named = F.filter("columns", lambda c: c["col"] == code_column)
     tables = gridded(blocks, keep).select(
-        "doc_id", *keep, "table_id", "heading", "width", "grid", "shift",
+        "doc_id", *keep, "table_id", "heading", "width", "grid", "shift", "plain",
         F.filter("columns", lambda c: ~F.lower(c["col"]).isin(*ignored_columns)).alias("columns"),
         (F.get(named, F.lit(0))["i"] + F.col("shift")).alias("code_field"),
     )
     rows = tables.select(
-        "doc_id", *keep, "table_id", "heading", "width", "shift", "columns", "code_field",
+        "doc_id", *keep, "table_id", "heading", "width", "shift", "plain", "columns", "code_field",
         F.posexplode("grid").alias("row_id", "raw"),
     ).where(F.size("raw") <= F.col("width"))
     cells = F.transform(
@@ -41,14 +41,17 @@ def _labelled_rows(
         lambda c: F.struct(
             c["i"].alias("col_idx"),
             c["col"].alias("col"),
-            cell_text(F.col("raw"), c["i"] + F.col("shift")).alias("cell"),
+            cell_text(F.col("raw"), c["i"] + F.col("shift"), F.col("plain")).alias("cell"),
         ),
     )
     used = F.transform(
         F.filter(cells, lambda x: x["cell"] != ""),
         lambda x: F.struct(x.alias("x"), is_stripped_value(x["cell"]).alias("amount")),
     )
-    code = F.when(F.col("code_field").isNotNull(), cell_text(F.col("raw"), F.col("code_field")))
+    code = F.when(
+        F.col("code_field").isNotNull(),
+        cell_text(F.col("raw"), F.col("code_field"), F.col("plain")),
+    )
     first_text = F.get(F.filter("used", lambda x: ~x["amount"]), F.lit(0))["x"]["cell"]
     return rows.select(
         "doc_id", *keep, "table_id", "heading", "row_id",

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from factloom.operators.facts import extract_facts
 from factloom.operators.records import embed_text, retrieval_records
-from factloom.sources.store import append_facts, pending_documents
+from factloom.schemas import FACTS
+from factloom.sources.store import append_facts, by_heading, pending_documents
 
 
 def build_facts(documents: DataFrame, path: str) -> None:
     """Add the facts of documents that have none yet to the folder ``path``."""
-    from pyspark.errors import AnalysisException
-
-    from factloom.schemas import FACTS
-
     spark = documents.sparkSession
     try:
         documents = pending_documents(documents, spark.read.schema(FACTS).parquet(path))
@@ -24,5 +22,9 @@ def build_facts(documents: DataFrame, path: str) -> None:
 
 
 def build_index(facts: DataFrame, **embedding) -> DataFrame:
-    """Index rows (id, heading, document, metadata, embedding) of all facts."""
-    return embed_text(retrieval_records(facts), **embedding)
+    """Index rows (id, heading, document, metadata, embedding) of all facts.
+
+    The texts are put in order before they are embedded, so that no embedding
+    is shuffled and none is computed for the sampling of the ranges.
+    """
+    return embed_text(by_heading(retrieval_records(facts)), **embedding)

@@ -121,20 +121,19 @@ def fact_projection(facts: DataFrame) -> DataFrame:
     return facts.select(*DOCUMENT_FIELDS)
 
 
-def write_index(records: DataFrame, path: str) -> None:
-    """Write the index clustered by heading.
+def by_heading(records: DataFrame) -> DataFrame:
+    """Records in the order in which the index is stored.
 
     Files hold a range of (heading, id): a filter on one heading skips the
     other files by their statistics, and a heading with very many records is
     spread over several of them.
     """
-    (
-        records.repartitionByRange("heading", "id")
-        .sortWithinPartitions("heading", "id")
-        .write.mode("overwrite")
-        .option("parquet.block.size", 64 * 1024 * 1024)
-        .parquet(path)
-    )
+    return records.repartitionByRange("heading", "id").sortWithinPartitions("heading", "id")
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    row_groups = 64 * 1024 * 1024
+    index.write.mode("overwrite").option("parquet.block.size", row_groups).parquet(path)
 
 
 def index_consistency(facts: DataFrame, index: DataFrame) -> DataFrame:
