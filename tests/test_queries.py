@@ -2,9 +2,10 @@ import pytest
 
 import __spark_entry__ as driver
 import oracle
+import workloads
 from conftest import SF_SMALL
 
-SQL = driver.oracle_sql()
+SQL = workloads.oracle_sql()
 # Without SQL: checked against brute force in test_store and test_nearest.
 NO_SQL = {"embed_text", "knn_lsh"}
 
@@ -15,12 +16,13 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) - set(SQL) == NO_SQL
+    assert set(workloads.queries()) - set(SQL) == NO_SQL
+    assert set(workloads.queries()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(workloads.queries()))
 def test_query(spark, duck, name):
-    df = driver.queries()[name](spark, SF_SMALL)
+    df = workloads.queries()[name](spark, SF_SMALL)
     if name in SQL:
         assert oracle.compare(df, duck, SQL[name]) is None
     else:
