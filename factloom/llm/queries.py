@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe
-from factloom.llm.tables import table
+from factloom.llm import bpe, language, quality, toxicity
+from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
 
 query = Registry()
@@ -22,3 +22,26 @@ def oracle_sql() -> dict[str, str]:
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf, "documents"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    part = crc_mod("doc_id", 3)
+    model = toxicity.fit_toxicity(docs, table(spark, sf, "labels"), part != 1)
+    return toxicity.score_toxicity(docs, model, part == 1)
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    part = crc_mod("doc_id", 5)
+    model = quality.fit_quality(docs, table(spark, sf, "labels"), part != 0)
+    return quality.score_quality(docs, model, part == 0)
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    part = crc_mod("doc_id", 4)
+    return language.predict_language(docs, language.fit_language_model(docs, part != 2), part == 2)

@@ -36,6 +36,8 @@ class Words(NamedTuple):
 
     hashes: np.ndarray
     first: np.ndarray
+    starts: np.ndarray  # first byte and number of bytes of each word
+    lengths: np.ndarray
 
 
 def texts_of(array: pa.Array) -> Texts:
@@ -81,7 +83,7 @@ def _powers(n: int) -> np.ndarray:
 def run_hashes(data: np.ndarray, member: np.ndarray, offsets: np.ndarray) -> Words:
     """Hashes of the maximal runs of member bytes, never across two texts."""
     if not member.any():
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *[np.zeros(0, np.int64)] * 2)
     begins = member.copy()
     begins[1:] &= ~member[:-1]
     inner = offsets[:-1][np.diff(offsets) > 0]
@@ -94,7 +96,20 @@ def run_hashes(data: np.ndarray, member: np.ndarray, offsets: np.ndarray) -> Wor
     powers = _powers(int(lengths.max()))
     with np.errstate(over="ignore"):
         h = np.add.reduceat(powers[places] * (data[kept].astype(np.uint64) + np.uint64(1)), at)
-    return Words(mix(h), np.searchsorted(starts, offsets))
+    return Words(mix(h), np.searchsorted(starts, offsets), starts, lengths)
+
+
+def stems(texts: Texts, words: Words, sizes: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the first bytes of each word, sizes x words; 0 for a shorter word."""
+    last = max(len(texts.data) - 1, 0)
+    code = np.zeros(len(words.starts), np.uint64)
+    out = np.zeros((len(sizes), len(code)), np.uint32)
+    for k in range(max(sizes)):
+        code |= texts.data[np.minimum(words.starts + k, last)].astype(np.uint64) << np.uint64(8 * k)
+        if k + 1 in sizes:
+            long = words.lengths > k
+            out[sizes.index(k + 1)] = np.where(long, (mix(code + np.uint64(k)) >> np.uint64(32)) | np.uint64(1), 0)
+    return out
 
 
 def words(texts: Texts) -> Words:
