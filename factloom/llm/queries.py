@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, language, quality, toxicity
+from factloom.llm import bpe, language, licenses, quality, toxicity
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
 
@@ -45,3 +45,8 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     part = crc_mod("doc_id", 4)
     return language.predict_language(docs, language.fit_language_model(docs, part != 2), part == 2)
+
+
+@query("op2_license_scan", licenses.scan_sql())
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf, "documents"))
