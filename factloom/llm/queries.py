@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, language, licenses, quality, toxicity
+from factloom.llm import bpe, jaccard, language, licenses, quality, toxicity
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
 
@@ -50,3 +50,8 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_license_scan", licenses.scan_sql())
 def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
+@query("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
