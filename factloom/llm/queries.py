@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import bpe, jaccard, language, licenses, quality, toxicity
+from factloom.llm import bpe, jaccard, language, licenses, lines, quality, toxicity
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
 
@@ -55,3 +56,9 @@ def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_ngram_jaccard")
 def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_line_dedup")
+def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = lines.dedupe_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
