@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, jaccard, language, licenses, lines, quality, toxicity
+from factloom.llm import bpe, jaccard, language, licenses, lines, neighbours, quality, toxicity
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
 
@@ -62,3 +62,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = lines.dedupe_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op9_nearest_vectors")
+def op9_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"))
