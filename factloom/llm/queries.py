@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, jaccard, language, licenses, lines, neighbours, quality, toxicity
+from factloom.llm import bpe, decontaminate, jaccard, language, licenses, lines, neighbours, quality, toxicity
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
 
@@ -67,3 +67,8 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_nearest_vectors")
 def op9_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf, "embeddings"))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
