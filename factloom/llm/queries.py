@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, decontaminate, jaccard, language, licenses, lines, neighbours, quality, toxicity
+from factloom.llm import (
+    bpe, decontaminate, jaccard, language, licenses, lines, neighbours, quality, suffixes, toxicity,
+)
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
 
@@ -72,3 +74,8 @@ def op9_nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_decontamination")
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf, "documents"))
