@@ -26,6 +26,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 # Pieces whose encoding is remembered by one worker.
 MEMO_PIECES = 400_000
 LONG_PIECE = 256
+OUT_ROWS = 256
 
 
 class BytePairEncoder:
@@ -172,59 +173,31 @@ def encode_documents(
     vocabulary: str = "byte_bpe_50k.tiktoken",
     pattern: str = public_tokenizers.PATTERN,
     path: str | None = None,
-) -> DataFrame:
-    """(doc_id, ids, decoded): token ids as array<int> and the decoded bytes.
-
-    One row per input row, in a narrow stage.  NULL and empty texts have no
-    ids and decode to no bytes; repeated rows and NULL ids are kept as they
-    are; other columns are ignored.  ``path`` replaces the packaged file.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path or public_tokenizers.path(vocabulary), pattern)
-        for doc_id, text in _rows(batches):
-            ids = bpe.encode(text)
-            yield pa.record_batch(
-                [pa.array([doc_id], pa.int64()), pa.array([np.frombuffer(ids, "<i4")], pa.list_(pa.int32())),
-                 pa.array([bpe.decode(ids)], pa.binary())],
-                names=["doc_id", "ids", "decoded"],
-            )
-
-    return _input(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
-
-
-def token_digests(
-    docs: DataFrame,
-    vocabulary: str = "byte_bpe_50k.tiktoken",
-    pattern: str = public_tokenizers.PATTERN,
-    path: str | None = None,
+    ids: bool = True,
 ) -> DataFrame:
     """Per document the number of tokens and SHA-256 of ids and of decoded bytes.
 
-    The same encoding as ``encode_documents``; the ids never leave the task.
+    With ``ids`` the token ids follow as array<int>.  One row per input row, in a
+    narrow stage.  NULL and empty texts have no ids and decode to no bytes;
+    repeated rows and NULL ids are kept as they are; other columns are ignored.
+    ``path`` replaces the packaged file of the vocabulary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path or public_tokenizers.path(vocabulary), pattern)
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                found.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            n, a, b = zip(*found) if found else ((), (), ())
-            yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return _input(docs).mapInArrow(run, SCHEMA)
-
-
-def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str]]:
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            yield doc_id.as_py(), text.as_py() or ""
+            for begin in range(0, len(batch), OUT_ROWS):
+                some = batch.slice(begin, OUT_ROWS)
+                codes = [bpe.encode(text.as_py() or "") for text in some.column(1)]
+                columns = {
+                    "doc_id": some.column(0),
+                    "n_tokens": pa.array([len(c) // 4 for c in codes], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in codes], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(c)).hexdigest() for c in codes], pa.string()),
+                }
+                if ids:
+                    columns["ids"] = pa.array([np.frombuffer(c, "<i4") for c in codes], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(columns)
+
+    rows = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if ids else ""))

@@ -32,6 +32,8 @@ BITS = 13
 ORDERS = (2, 3, 4)
 SCALE = 20.0
 UNDETERMINED = "und"
+# Below this no language fits: four equal guesses would score as much.
+MIN_SCORE = 0.25
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 # Families of ISO 639-1 codes; a code that is not listed is a family of its own.
@@ -222,27 +224,45 @@ def predict_language(docs: DataFrame, model: LanguageModel, held_out: Column | N
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*model.languages, UNDETERMINED], dtype=object)
-        for batch in batches:
-            for a, b in wordhash.pieces(batch.column("text")):
-                part = batch.slice(a, b - a)
-                text = wordhash.lowered(part.column("text"))
-                texts = wordhash.texts_of(text)
-                n = len(text)
-                best, score = (
-                    model.predict(texts) if model.languages else (np.zeros(n, np.int64), np.zeros(n))
-                )
-                plain = np.zeros(n, bool)
-                inside = (texts.data >= ord("a")) & (texts.data <= ord("z"))
-                plain[:] = wordhash.sums(inside, texts.offsets) > 0
-                for i in np.flatnonzero(~plain):
-                    plain[i] = bool(_any_letter(text[i].as_py()))
-                known = plain & bool(model.languages)
-                yield pa.record_batch(
-                    [part.column("doc_id"), part.column("held_out"),
-                     pa.array(np.where(known, names[np.where(known, best, -1)], UNDETERMINED), pa.string()),
-                     pa.array(np.where(known, np.clip(score, 0.0, 1.0), 0.0))],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
+        for part in _parts(batches):
+            names, score = _predictions(model, part.column("text"))
+            yield pa.record_batch(
+                [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(score)],
+                names=["doc_id", "held_out", "lang_pred", "score"],
+            )
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def identified(docs: DataFrame, model: LanguageModel, min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is told, in one narrow pass.
+
+    Rows go whose text is NULL or has no letter, or whose best language scores
+    less than ``min_score``.  A model without languages rejects every row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            names, score = _predictions(model, part.column("text"))
+            yield part.filter(pa.array((names != UNDETERMINED) & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in wordhash.pieces(batch.column("text")):
+            yield batch.slice(a, b - a)
+
+
+def _predictions(model: LanguageModel, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language names and scores of one piece."""
+    text = wordhash.lowered(text)
+    texts, n = wordhash.texts_of(text), len(text)
+    best, score = model.predict(texts) if model.languages else (np.zeros(n, np.int64), np.zeros(n))
+    letter = wordhash.sums((texts.data >= ord("a")) & (texts.data <= ord("z")), texts.offsets) > 0
+    for i in np.flatnonzero(~letter):
+        letter[i] = bool(_any_letter(text[i].as_py()))
+    known = letter & bool(model.languages)
+    names = np.array([*model.languages, UNDETERMINED], dtype=object)
+    return np.where(known, names[np.where(known, best, -1)], UNDETERMINED), np.where(known, np.clip(score, 0.0, 1.0), 0.0)

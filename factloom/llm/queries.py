@@ -24,7 +24,7 @@ def oracle_sql() -> dict[str, str]:
 
 @query("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.token_digests(table(spark, sf, "documents"))
+    return bpe.encode_documents(table(spark, sf, "documents"), ids=False)
 
 
 @query("op1_toxicity")
