@@ -8,6 +8,7 @@ pandas but not this package.
 from __future__ import annotations
 
 import difflib
+import json
 import sys
 from collections import Counter
 
@@ -113,6 +114,15 @@ def nearest_in_block(
     return pd.concat(results, ignore_index=True)
 
 
+def spelled_object(text: str | None) -> str | None:
+    """A JSON object in its one spelling; None for anything else."""
+    try:
+        found = json.loads(text)
+        return json.dumps(found, ensure_ascii=False, sort_keys=True) if isinstance(found, dict) else None
+    except (TypeError, ValueError, RecursionError):
+        return None
+
+
 class Vocabulary:
     """One table's keywords, ready to find the closest one to a word."""
 

@@ -156,21 +156,44 @@ def _is_blank(raw: Column) -> Column:
     return F.coalesce(raw.isin(*NULL_CELLS), F.lit(True))
 
 
-def _column_name(header: Column, name: Column, i: Column) -> Column:
+def _numbered(header: Column) -> Column:
+    """array<struct<i, name, before>>: before is how often the name came already.
+
+    Equal names stand together once the header is sorted, so one walk counts
+    them; a header without repeats needs none.
+    """
+    plain = F.transform(
+        header, lambda name, i: F.struct(i.alias("i"), name.alias("name"), F.lit(0).alias("before"))
+    )
+    by_name = F.array_sort(F.transform(header, lambda name, i: F.struct(name.alias("name"), i.alias("i"))))
+    none = F.array().cast("array<struct<i:int,name:string,before:int>>")
+
+    def count(done: Column, c: Column) -> Column:
+        before = F.when(done["name"] == c["name"], done["before"] + 1).otherwise(F.lit(0))
+        row = F.struct(c["i"].alias("i"), c["name"].alias("name"), before.alias("before"))
+        return F.struct(c["name"].alias("name"), before.alias("before"), F.concat(done["rows"], F.array(row)).alias("rows"))
+
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("before"), none.alias("rows"))
+    counted = F.aggregate(by_name, start, count, lambda done: F.array_sort(done["rows"]))
+    return F.when(F.size(F.array_distinct(header)) == F.size(header), plain).otherwise(counted)
+
+
+def _column_name(header: Column, name: Column, i: Column, before: Column) -> Column:
     """Name of column i; repeats get .1, .2, ... before padding is stripped,
     skipping a numbered name that the header already spells out."""
-    before = F.size(F.filter(F.slice(header, F.lit(1), i), lambda y: y == name))
-    numbered = F.filter(
+    spelled = F.filter(header, lambda y: F.startswith(y, F.concat(name, F.lit("."))))
+    free = F.filter(
         F.transform(
-            F.sequence(F.lit(1), F.size(header)),
+            F.sequence(F.lit(1), before + F.size(spelled)),
             lambda n: F.concat(name, F.lit("."), n.cast("string")),
         ),
-        lambda y: ~F.array_contains(header, y),
+        lambda y: ~F.array_contains(spelled, y),
     )
     return (
         F.when(name == "", F.concat(F.lit("Unnamed: "), i.cast("string")))
         .when(before == 0, strip(name))
-        .otherwise(strip(F.get(numbered, before - 1)))
+        .when(F.size(spelled) == 0, strip(F.concat(name, F.lit("."), before.cast("string"))))
+        .otherwise(strip(F.get(free, before - 1)))
     )
 
 
@@ -199,9 +222,9 @@ def gridded(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     # Columns without any value (the outer edges of "| a | b |") are dropped.
     columns = F.filter(
         F.transform(
-            "header",
-            lambda name, i: F.struct(
-                i.alias("i"), _column_name(F.col("header"), name, i).alias("col")
+            _numbered(F.col("header")),
+            lambda c: F.struct(
+                c["i"].alias("i"), _column_name(F.col("header"), c["name"], c["i"], c["before"]).alias("col")
             ),
         ),
         lambda c: ~_is_blank(F.get(F.col("rule"), c["i"] + F.col("shift")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from factloom.defaults import (
     OBSERVATION_CHARS,
     RETRIEVAL_SOURCE,
 )
-from factloom.functions.text import json_string, single_object, strip
+from factloom.functions import kernels
+from factloom.functions.text import strip
 from factloom.operators.skew import flag_repeats, salted_lookup
 
 
@@ -92,21 +94,16 @@ def result_history(made: DataFrame) -> DataFrame:
 
 
 def arguments_json(json: Column) -> Column:
-    """One spelling for equal JSON objects: sorted keys, ', ' and ': ' between
-    the parts; NULL if the text is not a single object.  Values keep their JSON
-    type, so 1 and "1" differ."""
-    values = single_object(json, "map<string,variant>")
-    entries = F.map_entries(values)
-    parts = F.transform(
-        F.array_sort(F.array_distinct(F.map_keys(values))),
-        lambda k: F.concat(
-            json_string(k),
-            F.lit(": "),
-            # a key given twice counts with its last value
-            F.to_json(F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]),
-        ),
-    )
-    return F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+    """One spelling for equal JSON objects: keys sorted and ', ' and ': ' between
+    the parts at every depth; NULL if the text is not a single object.  Numbers
+    keep their kind and all their digits, so 1, 1.0 and "1" differ."""
+    spelled = kernels.spelled_object
+
+    @F.pandas_udf("string")
+    def spell(texts: pd.Series) -> pd.Series:
+        return texts.map(spelled)
+
+    return spell(json)
 
 
 def call_signature(agent: Column, tool: Column, args_json: Column) -> Column:
@@ -117,15 +114,14 @@ def call_signature(agent: Column, tool: Column, args_json: Column) -> Column:
     return F.coalesce(F.sha2(F.to_json(call), 256), F.lit(""))
 
 
-def blocked_repeats(calls: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def blocked_repeats(calls: DataFrame) -> DataFrame:
     """Adds ``signature``, ``blocked`` and ``note`` to calls(run_id, agent,
     seq, tool, args_json): a call already made in the same run is blocked.
     ``args_json`` comes from :func:`arguments_json`."""
     signed = calls.withColumn(
         "signature", call_signature(F.col("agent"), F.col("tool"), F.col("args_json"))
     )
-    limit = {} if hot_rows is None else {"hot_rows": hot_rows}
-    flagged = flag_repeats(signed, ["run_id", "agent", "signature"], "seq", "blocked", **limit)
+    flagged = flag_repeats(signed, ["run_id", "agent", "signature"], "seq", "blocked")
     note = F.concat(
         F.lit("[Tool call blocked: repeated identical call: "), "tool",
         F.lit(" args="), "args_json", F.lit("]"),

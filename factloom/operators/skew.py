@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Rows of one key handled together before the key is split.
-HOT_ROWS = 100_000
 LOOKUP_SALTS = 16
 
 
@@ -42,8 +40,8 @@ def salted_lookup(
 def hot_groups(df: DataFrame, keys: Sequence[str], rows: int, *aggs: Column) -> DataFrame:
     """(keys, n, *aggs) for the groups above ``rows`` rows.
 
-    The counts are combined map-side, and there can be no more than
-    total/``rows`` such groups, which bounds what callers broadcast.
+    The counts are combined map-side; whether the groups are broadcast is left
+    to Spark, which knows their size.
     """
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs).where(F.col("n") > rows)
 
@@ -68,7 +66,7 @@ def in_blocks(
 
     def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
         n = F.ceil(F.col("n") / rows).cast("int")
-        return F.broadcast(hot_groups(df, [key], rows).select(key, n.alias(name)))
+        return hot_groups(df, [key], rows).select(key, n.alias(name))
 
     tasks = costly_tasks(left.sparkSession)
     left_n, right_n = blocks(left, left_rows, "_ln"), blocks(right, right_rows, "_rn")
@@ -94,24 +92,24 @@ def in_blocks(
     )
 
 
-def flag_repeats(
-    df: DataFrame, keys: Sequence[str], seq: str, flag: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Adds ``flag``: an earlier row (by ``seq``) has the same ``keys``.
+def flag_repeats(df: DataFrame, keys: Sequence[str], seq: str, flag: str) -> DataFrame:
+    """Adds ``flag``: another row with the same ``keys`` comes before this one.
 
-    Ordinary groups are numbered by a window.  A group above ``hot_rows`` rows
-    is spread over many tasks instead and compared with its first ``seq``,
-    which a map-side combined aggregate has found.
+    One definition for groups of every size: rows are in the order of ``seq``,
+    NULL first, and rows that also share ``seq`` in the order of their hash, so
+    exactly one row of a group is not flagged.  NULL keys are equal.  Ties are
+    numbered within (keys, seq); the first ``seq`` of a group comes from an
+    aggregate that combines before the shuffle, so no task sorts a whole group.
     """
-    hot = hot_groups(df, keys, hot_rows, F.min(seq).alias("_first")).select(
-        *keys, "_first", F.ceil(F.col("n") / hot_rows).cast("int").alias("_parts")
-    )
-    spread = F.when(
-        F.col("_parts").isNotNull(), F.pmod(F.xxhash64(seq), F.col("_parts"))
-    ).otherwise(F.lit(0))
-    tagged = df.join(F.broadcast(hot), list(keys), "left").withColumn("_part", spread)
-    order = Window.partitionBy(*keys, "_part").orderBy(seq)
-    repeated = F.when(F.col("_first").isNotNull(), F.col(seq) > F.col("_first")).otherwise(
-        F.row_number().over(order) > 1
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    tied = Window.partitionBy(*keys, seq).orderBy(F.xxhash64(*plain))
+    numbered = df.withColumn("_tie", F.row_number().over(tied))
+    names = [f"_k{i}" for i in range(len(keys))]
+    first = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names))).agg(
+        F.min(F.struct(seq)).alias("_first")
     )
-    return tagged.withColumn(flag, repeated).drop("_first", "_parts", "_part")
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    is_first = F.col(seq).eqNullSafe(F.col(f"_first.{seq}")) & (F.col("_tie") == 1)
+    return numbered.join(first, same).withColumn(flag, ~is_first).drop("_tie", "_first", *names)

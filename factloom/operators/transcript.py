@@ -21,13 +21,17 @@ from factloom.defaults import (
 from factloom.functions.text import WS, json_string, single_object, strip
 from factloom.operators.context import arguments_json
 from factloom.operators.targets import canonical_name, string_map
-from factloom.schemas import DECISION, KEYWORD_PLAN
+from factloom.schemas import DECISION
 
 # How a turn names a tool, its arguments and an answer.
 _ACTION = rf"(?dmiu)^{WS}*ACTION:{WS}*([^\n]+?){WS}*$"
 _ARGUMENTS = rf"(?dmisu)^{WS}*ARGUMENTS:{WS}*(\{{.*\}}){WS}*$"
 _ANSWER = rf"(?dms)^{WS}*ANSWER:{WS}*(.*)$"
 _OBJECT = r"(?s)\{.*\}"
+# Words read as true or false where a boolean is asked for.
+TRUE_WORDS = ("1", "on", "t", "true", "y", "yes")
+FALSE_WORDS = ("0", "off", "f", "false", "n", "no")
+NO_JSON, BAD_JSON, NOT_ALLOWED = "No JSON object found in text.", "Malformed JSON", "Value not allowed"
 
 
 def action_name(text: Column) -> Column:
@@ -60,7 +64,7 @@ def turn_actions(turns: DataFrame, text_col: str = "text") -> DataFrame:
     parsed = turns.withColumn("tool", action_name(text)).withColumn(
         "_raw", F.when(F.col("tool").isNotNull(), raw)
     )
-    parsed = parsed.withColumn("_args", single_object(F.col("_raw"), "map<string,string>"))
+    parsed = parsed.withColumn("_spelled", arguments_json(F.col("_raw")))
     no_args = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     return (
         parsed.withColumn(
@@ -68,13 +72,13 @@ def turn_actions(turns: DataFrame, text_col: str = "text") -> DataFrame:
             F.when(strip(text) == "", "No worker response")
             .when(F.col("tool").isNull(), "No ACTION block found")
             .when(
-                F.col("_raw").isNotNull() & F.col("_args").isNull(),
+                F.col("_raw").isNotNull() & F.col("_spelled").isNull(),
                 "Failed to parse ARGUMENTS JSON",
             ),
         )
-        .withColumn("args", F.coalesce("_args", no_args))
-        .withColumn("args_json", F.coalesce(arguments_json(F.col("_raw")), F.lit("{}")))
-        .drop("_raw", "_args")
+        .withColumn("args", F.coalesce(single_object(F.col("_spelled"), "map<string,string>"), no_args))
+        .withColumn("args_json", F.coalesce("_spelled", F.lit("{}")))
+        .drop("_raw", "_spelled")
     )
 
 
@@ -83,6 +87,72 @@ def turn_answers(turns: DataFrame, text_col: str = "text") -> DataFrame:
     return turns.withColumn("answer", answer_text(F.col(text_col)))
 
 
+def _kind(v: Column) -> Column:
+    """Type of a JSON value: STRING, BOOLEAN, VOID (null), OBJECT<...>, ARRAY<...>
+    or a number type; NULL where there is no value."""
+    return F.schema_of_variant(v)
+
+
+def _field(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _is_text(v: Column) -> Column:
+    return F.coalesce(_kind(v) == "STRING", F.lit(False))
+
+
+def _text(v: Column) -> Column:
+    return F.when(_is_text(v), F.try_variant_get(v, "$", "string"))
+
+
+def _text_or(v: Column, default: str) -> Column:
+    return F.when(v.isNull(), F.lit(default)).otherwise(_text(v))
+
+
+def _optional_text(v: Column) -> Column:
+    """Holds for a text and for a field that is not there."""
+    return v.isNull() | _is_text(v)
+
+
+def _items(v: Column) -> Column:
+    """Elements of a list; none for a field that is not there or no list."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _optional_list(v: Column) -> Column:
+    return v.isNull() | F.coalesce(_kind(v).startswith("ARRAY"), F.lit(False))
+
+
+def _texts(v: Column) -> Column:
+    return F.transform(_items(v), _text)
+
+
+def _optional_texts(v: Column) -> Column:
+    return _optional_list(v) & F.forall(_items(v), _is_text)
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False))
+
+
+def _one_of(value: Column, allowed: Sequence[str]) -> Column:
+    return F.coalesce(value.isin(*allowed), F.lit(False))
+
+
+def _with_object(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``_block``, the JSON text in a reply, and ``_v``, its object."""
+    out = df.withColumn("_block", json_block(F.col(text_col)))
+    return out.withColumn("_v", single_object(F.col("_block"), "variant"))
+
+
+def _error(refused: Column) -> Column:
+    return (
+        F.when(F.col("_block").isNull(), NO_JSON)
+        .when(F.col("_v").isNull(), BAD_JSON)
+        .when(refused, NOT_ALLOWED)
+    )
+
+
 def parsed_decisions(
     turns: DataFrame,
     text_col: str = "text",
@@ -91,44 +161,63 @@ def parsed_decisions(
     tables: Sequence[str] = STATEMENTS,
 ) -> DataFrame:
     """Adds ``decision`` (status, answer, followups, missing) read from the
-    JSON in the text, and ``error``.  Absent fields take their defaults and
-    table names become canonical; a decision with a value outside the allowed
-    status, worker or table names is refused as a whole."""
-    block = json_block(F.col(text_col))
-    out = turns.withColumn("_block", block).withColumn(
-        "_d", single_object(F.col("_block"), DECISION.simpleString())
-    )
-    status = F.coalesce("_d.status", F.lit("answer"))
-    followups = F.transform(
-        F.coalesce("_d.followups", F.array().cast(DECISION["followups"].dataType)),
-        lambda f: F.struct(
-            f["agent"].alias("agent"),
-            canonical_name(f["table"], canon).alias("table"),
-            F.coalesce(f["keywords"], F.array().cast("array<string>")).alias("keywords"),
-            F.coalesce(f["reason"], F.lit("")).alias("reason"),
-        ),
+    JSON in the text, and ``error``.
+
+    Absent fields take their defaults and table names become canonical.  A
+    decision is refused as a whole when a field has another type than its own
+    (null included, but for a follow-up's table), or a status, worker or table
+    name that is not allowed.
+    """
+    v = F.col("_v")
+    status = _text_or(_field(v, "status"), "answer")
+
+    def good(f: Column) -> Column:
+        table = _field(f, "table")
+        no_table = table.isNull() | F.coalesce(_kind(table) == "VOID", F.lit(False))
+        return (
+            _is_object(f)
+            & _one_of(_text(_field(f, "agent")), workers)
+            & (no_table | _one_of(canonical_name(_text(table), canon), tables))
+            & _optional_texts(_field(f, "keywords"))
+            & _optional_text(_field(f, "reason"))
+        )
+
+    accepted = (
+        _one_of(status, ("answer", "need_more"))
+        & _optional_text(_field(v, "answer"))
+        & _optional_texts(_field(v, "missing"))
+        & _optional_list(_field(v, "followups"))
+        & F.forall(_items(_field(v, "followups")), good)
     )
     decision = F.struct(
         status.alias("status"),
-        F.coalesce("_d.answer", F.lit("")).alias("answer"),
-        followups.alias("followups"),
-        F.coalesce("_d.missing", F.array().cast("array<string>")).alias("missing"),
+        _text_or(_field(v, "answer"), "").alias("answer"),
+        F.transform(
+            _items(_field(v, "followups")),
+            lambda f: F.struct(
+                _text(_field(f, "agent")).alias("agent"),
+                canonical_name(_text(_field(f, "table")), canon).alias("table"),
+                _texts(_field(f, "keywords")).alias("keywords"),
+                _text_or(_field(f, "reason"), "").alias("reason"),
+            ),
+        ).alias("followups"),
+        _texts(_field(v, "missing")).alias("missing"),
     )
-    allowed = F.col("_all.status").isin("answer", "need_more") & F.forall(
-        "_all.followups",
-        lambda f: F.coalesce(f["agent"].isin(*workers), F.lit(False))
-        & (f["table"].isNull() | f["table"].isin(*tables)),
+    out = _with_object(turns, text_col).withColumn("error", _error(~accepted))
+    return out.withColumn("decision", F.when(F.col("error").isNull(), decision)).drop("_block", "_v")
+
+
+def _truth(v: Column) -> Column:
+    """True or false from a boolean, 0 or 1, or a word for one of them; else NULL."""
+    kind = _kind(v)
+    word = F.when(kind.isin("STRING"), F.lower(F.try_variant_get(v, "$", "string")))
+    number = F.when(
+        kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double")
     )
     return (
-        out.withColumn("_all", F.when(F.col("_d").isNotNull(), decision))
-        .withColumn(
-            "error",
-            F.when(F.col("_block").isNull(), "No JSON object found in text.")
-            .when(F.col("_d").isNull(), "Malformed JSON")
-            .when(~allowed, "Value not allowed"),
-        )
-        .withColumn("decision", F.when(F.col("error").isNull(), F.col("_all")))
-        .drop("_block", "_d", "_all")
+        F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(word.isin(*TRUE_WORDS) | (number == 1), True)
+        .when(word.isin(*FALSE_WORDS) | (number == 0), False)
     )
 
 
@@ -140,36 +229,34 @@ def parsed_table_plans(
 ) -> DataFrame:
     """Adds ``plan`` (tables, company, time_hint, need_web) and ``error``.
 
-    A table may be given by name or as an object with a ``table`` field.  A
-    reply that cannot be read, or names an unknown table, gives the empty plan.
+    A table may be given by name or as an object with a ``table`` field; null
+    tables are none.  A reply that cannot be read, names an unknown table, or
+    has a field of another type gives the empty plan.
     """
-    read = "struct<tables:array<variant>,company:string,time_hint:string,need_web:boolean>"
-
-    def name(v: Column) -> Column:
-        given = F.coalesce(
-            F.try_variant_get(v, "$.table", "string"),
-            F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")),
-        )
-        return canonical_name(given, canon)
-
-    out = replies.withColumn("_d", single_object(json_block(F.col(text_col)), read))
-    out = out.withColumn(
-        "_tables",
-        F.transform(F.coalesce("_d.tables", F.array().cast("array<variant>")), name),
-    )
-    refused = F.exists("_tables", lambda t: ~F.coalesce(t.isin(*tables), F.lit(False)))
-    out = out.withColumn(
-        "error",
-        F.when(F.col("_d").isNull(), "Malformed JSON").when(refused, "Value not allowed"),
+    v = F.col("_v")
+    given, web = _field(v, "tables"), _field(v, "need_web")
+
+    def name(item: Column) -> Column:
+        inner = _field(item, "table")
+        return canonical_name(F.when(_is_object(item), _text(inner)).otherwise(_text(item)), canon)
+
+    names = F.transform(_items(given), name)
+    none_given = given.isNull() | F.coalesce(_kind(given).isin("VOID", "OBJECT<>") | (_text(given) == ""), F.lit(False))
+    accepted = (
+        (none_given | (_optional_list(given) & F.forall(names, lambda t: _one_of(t, tables))))
+        & _optional_text(_field(v, "company"))
+        & _optional_text(_field(v, "time_hint"))
+        & (web.isNull() | _truth(web).isNotNull())
     )
     good = F.col("error").isNull()
     plan = F.struct(
-        F.when(good, F.col("_tables")).otherwise(F.array().cast("array<string>")).alias("tables"),
-        F.coalesce(F.when(good, F.col("_d.company")), F.lit("")).alias("company"),
-        F.coalesce(F.when(good, F.col("_d.time_hint")), F.lit("")).alias("time_hint"),
-        F.coalesce(F.when(good, F.col("_d.need_web")), F.lit(False)).alias("need_web"),
+        F.when(good, names).otherwise(F.array().cast("array<string>")).alias("tables"),
+        F.when(good, _text_or(_field(v, "company"), "")).otherwise("").alias("company"),
+        F.when(good, _text_or(_field(v, "time_hint"), "")).otherwise("").alias("time_hint"),
+        F.coalesce(F.when(good, _truth(web)), F.lit(False)).alias("need_web"),
     )
-    return out.withColumn("plan", plan).drop("_d", "_tables")
+    out = _with_object(replies, text_col).withColumn("_block", F.coalesce("_block", F.lit("")))
+    return out.withColumn("error", _error(~accepted)).withColumn("plan", plan).drop("_block", "_v")
 
 
 def parsed_keyword_plans(
@@ -179,26 +266,26 @@ def parsed_keyword_plans(
     tables: Sequence[str] = STATEMENTS,
 ) -> DataFrame:
     """Adds ``targets`` array<struct<table, keywords>> and ``error``; NULL
-    targets if the reply cannot be read or names an unknown table."""
-    out = replies.withColumn(
-        "_d", single_object(json_block(F.col(text_col)), KEYWORD_PLAN.simpleString())
+    targets if the reply cannot be read, names an unknown table, or has a field
+    of another type."""
+    given = _field(F.col("_v"), "targets")
+
+    def table(t: Column) -> Column:
+        return canonical_name(_text(_field(t, "table")), canon)
+
+    accepted = _optional_list(given) & F.forall(
+        _items(given),
+        lambda t: _is_object(t) & _one_of(table(t), tables) & _optional_texts(_field(t, "keywords")),
     )
     targets = F.transform(
-        F.coalesce("_d.targets", F.array().cast(KEYWORD_PLAN["targets"].dataType)),
-        lambda t: F.struct(
-            canonical_name(t["table"], canon).alias("table"),
-            F.coalesce(t["keywords"], F.array().cast("array<string>")).alias("keywords"),
-        ),
+        _items(given),
+        lambda t: F.struct(table(t).alias("table"), _texts(_field(t, "keywords")).alias("keywords")),
     )
-    refused = F.exists("_t", lambda t: ~F.coalesce(t["table"].isin(*tables), F.lit(False)))
+    out = _with_object(replies, text_col).withColumn("_block", F.coalesce("_block", F.lit("")))
     return (
-        out.withColumn("_t", targets)
-        .withColumn(
-            "error",
-            F.when(F.col("_d").isNull(), "Malformed JSON").when(refused, "Value not allowed"),
-        )
-        .withColumn("targets", F.when(F.col("error").isNull(), F.col("_t")))
-        .drop("_d", "_t")
+        out.withColumn("error", _error(~accepted))
+        .withColumn("targets", F.when(F.col("error").isNull(), targets))
+        .drop("_block", "_v")
     )
 
 
@@ -275,10 +362,11 @@ def group_complete(expected: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def with_defaults(decisions: DataFrame) -> DataFrame:
-    """NULL lists become empty, an empty answer the default sentence."""
+    """NULL lists become empty, an empty answer the default sentence; a decision
+    that could not be read (NULL status) has the status ``error``."""
     answer = F.coalesce("answer", F.lit(""))
     return (
-        decisions.withColumn("status", F.coalesce("status", F.lit("answer")))
+        decisions.withColumn("status", F.coalesce("status", F.lit("error")))
         .withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
         .withColumn("answer", F.when(answer == "", NO_ANSWER).otherwise(answer))
     )
@@ -312,13 +400,17 @@ def trace_events(
     steps: DataFrame, data: Sequence[str], time_col: str = "ts", default_run: str = "run_unknown"
 ) -> DataFrame:
     """(run_id, seq, ts, event, agent, data): one row per step, in ``seq``
-    order, time in ISO seconds UTC and the ``data`` columns as a map."""
+    order, time in ISO seconds UTC and the ``data`` columns as a map.  A time
+    with a zone is converted from the session's zone, one without is UTC."""
+    time = F.col(time_col)
+    if dict(steps.dtypes)[time_col] == "timestamp":
+        time = F.to_utc_timestamp(time, F.current_timezone())
     pairs = [x for name in data for x in (F.lit(name), F.col(name).cast("string"))]
     extra = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
     return steps.select(
         F.coalesce(F.col("run_id").cast("string"), F.lit(default_run)).alias("run_id"),
         "seq",
-        F.date_format(time_col, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+        F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
         "event",
         F.coalesce("agent", F.lit("")).alias("agent"),
         extra.alias("data"),

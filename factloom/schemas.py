@@ -12,36 +12,13 @@ def _struct(**fields: T.DataType) -> T.StructType:
 _S, _L, _I = T.StringType(), T.LongType(), T.IntegerType()
 _STRINGS = T.ArrayType(_S)
 
-DOCUMENTS = _struct(doc_id=_L, source=_S, company=_S, text=_S)
-
 # The six text columns of a fact, preceded by its place in the documents.
 FACTS = _struct(
     doc_id=_L, table_id=_I, row_id=_I, col_id=_I,
     company=_S, heading=_S, item_code=_S, item_name=_S, value=_S, source=_S,
 )
 
-METADATA = _struct(company=_S, heading=_S, item_name=_S, source=_S)
-INDEX = _struct(
-    id=_S, heading=_S, document=_S, metadata=METADATA, embedding=T.ArrayType(T.FloatType())
-)
-
-TARGET = _struct(table=_S, keywords=_STRINGS)
-TABLE_PLAN = _struct(tables=_STRINGS, company=_S, time_hint=_S, need_web=T.BooleanType())
-KEYWORD_PLAN = _struct(targets=T.ArrayType(TARGET))
-
 FOLLOWUP = _struct(agent=_S, table=_S, keywords=_STRINGS, reason=_S)
 DECISION = _struct(
     status=_S, answer=_S, followups=T.ArrayType(FOLLOWUP), missing=_STRINGS
 )
-
-MESSAGES = _struct(run_id=_S, seq=_L, agent=_S, kind=_S, table=_S, round=_I, payload=_S)
-TRACE = T.StructType(
-    [
-        T.StructField("run_id", _S),
-        T.StructField("seq", _L),
-        T.StructField("ts", _S),
-        T.StructField("event", _S),
-        T.StructField("agent", _S),
-        T.StructField("data", T.MapType(_S, _S)),
-    ]
-)

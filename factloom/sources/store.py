@@ -7,6 +7,7 @@ intermediate results live under the directory the session names in
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,19 +19,20 @@ from pyspark.sql import functions as F
 from factloom.operators.facts import LINEAGE
 from factloom.schemas import FACTS
 
-# Sources (short strings) up to this number are sent to every task.
-MAX_BROADCAST_SOURCES = 100_000
 DOCUMENT_FIELDS = ("company", "heading", "item_name", "value", "source")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that every executor can reach."""
+    """A fresh folder that every executor can reach.
+
+    Without ``spark.checkpoint.dir`` only a local session gets one, for tests;
+    the session's configuration is left alone.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = os.path.join(tempfile.gettempdir(), "factloom-shared")
     return f"{base.rstrip('/')}/factloom/{uuid.uuid4().hex}"
 
 
@@ -91,29 +93,15 @@ def fact_presence(documents: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def pending_documents(
-    documents: DataFrame, facts: DataFrame, max_broadcast_sources: int = MAX_BROADCAST_SOURCES
-) -> DataFrame:
-    """Documents whose source has no facts yet.
+def pending_documents(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """Documents whose source has no facts yet; a NULL source is one like any other.
 
-    The decision is taken on distinct sources.  When the sources that have
-    facts are few they go to every task and no text is moved; otherwise the
-    decision is carried back by document id, which does not repeat, so that
-    a source holding many documents cannot pile up in one task.
+    One lazy plan for every size: Spark sends the sources that have facts to all
+    tasks when they are few, and otherwise splits a source that holds too many
+    documents by itself.
     """
-    done = facts.select("source").distinct()
-    if done.limit(max_broadcast_sources + 1).count() <= max_broadcast_sources:
-        return documents.join(F.broadcast(done), "source", "left_anti").select(*documents.columns)
-    todo = documents.select("source").distinct().join(done, "source", "left_anti")
-    spread = 64
-    salted = todo.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    ids = (
-        documents.select("doc_id", "source")
-        .withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int"))
-        .join(salted, ["source", "_s"], "left_semi")
-        .select("doc_id")
-    )
-    return documents.join(ids, "doc_id", "left_semi").select(*documents.columns)
+    done = facts.select(F.col("source").alias("_done")).distinct()
+    return documents.join(done, documents["source"].eqNullSafe(done["_done"]), "left_anti")
 
 
 def fact_projection(facts: DataFrame) -> DataFrame:

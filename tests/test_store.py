@@ -44,11 +44,19 @@ def test_catalog_table(spark):
     assert not spark.catalog.tableExists("facts_t")
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_pending_documents(spark, limit):
+def test_pending_documents_with_null_sources(spark):
+    docs = make(spark, 3).unionByName(make(spark, 1).withColumn("source", F.lit(None).cast("string")))
+    facts = extract_facts(make(spark, 2))
+    assert sorted((r.doc_id, r.source) for r in store.pending_documents(docs.where("doc_id > 0 OR source IS NULL"), facts)
+                  .select("doc_id", F.coalesce("source", F.lit("none")).alias("source")).collect()) == [(0, "none"), (2, "s2")]
+    nameless = facts.withColumn("source", F.lit(None).cast("string"))
+    assert store.pending_documents(docs, nameless).where("source IS NULL").count() == 0
+
+
+def test_pending_documents(spark):
     docs = make(spark, 6).unionByName(make(spark, 6, "s{}").withColumn("doc_id", F.col("doc_id") + 10))
     facts = extract_facts(make(spark, 4))
-    pending = store.pending_documents(docs, facts, max_broadcast_sources=limit)
+    pending = store.pending_documents(docs, facts)
     assert sorted(r.doc_id for r in pending.collect()) == [4, 5, 14, 15]
     assert pending.columns == docs.columns
     presence = {r.source: (r.n_facts, r.present) for r in store.fact_presence(docs, facts).collect()}

@@ -113,7 +113,7 @@ def test_final_answers(spark):
         "ANSWER: " + none + "\nThiếu:\n- a\n- b", "ANSWER: " + none,
     ]
     kept = transcript.with_defaults(df).orderBy("i").collect()
-    assert [r.answer for r in kept][2:4] == [none, none] and kept[3].status == "answer"
+    assert [r.answer for r in kept][2:4] == [none, none] and kept[3].status == "error"
     reply = texts(spark, ["a\nANSWER: b", " plain "]).select("i", transcript.decision_from_text(F.col("text")).alias("d"))
     assert [r.d.answer for r in reply.orderBy("i").collect()] == ["b", "plain"]
 
@@ -125,3 +125,31 @@ def test_trace(spark):
     )
     r = transcript.trace_events(steps, ["n", "m"]).first()
     assert (r.ts, r.agent, r.data) == ("2024-01-02T03:04:05Z", "", {"n": "5"})
+
+
+def test_trace_in_another_time_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        steps = spark.sql(
+            "SELECT 'r' AS run_id, 1 AS seq, timestamp_seconds(1704067200) AS ts, 'e' AS event, 'a' AS agent"
+        )
+        assert transcript.trace_events(steps, []).first().ts == "2024-01-01T00:00:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_replies_of_the_wrong_type_are_refused(spark):
+    cases = [
+        '{"status": null}', '{"answer": 5}', '{"missing": "x"}', '{"missing": [1, null]}', '{"followups": "x"}',
+        '{"followups": ["x"]}', '{"followups": [{"agent": "agent_bs", "keywords": "k"}]}',
+    ]
+    out = transcript.parsed_decisions(texts(spark, cases)).collect()
+    assert {(r.error, r.decision) for r in out} == {("Value not allowed", None)}
+    accepted = transcript.parsed_decisions(texts(spark, ['{"followups": [{"agent": "agent_bs", "table": null}]}'])).first()
+    assert accepted.error is None and accepted.decision.followups[0].table is None
+    cases = ['{"tables": ["BCDKT"], "company": null}', '{"company": 5}', '{"tables": "BCDKT"}', '{"need_web": "maybe"}', '{"need_web": 2}']
+    out = transcript.parsed_table_plans(texts(spark, cases)).collect()
+    assert {(r.error, tuple(r.plan.tables)) for r in out} == {("Value not allowed", ())}
+    cases = ['{"need_web": "Yes"}', '{"need_web": 1}', '{"need_web": 1.0, "tables": ""}']
+    assert all(r.plan.need_web and r.error is None for r in transcript.parsed_table_plans(texts(spark, cases)).collect())

@@ -378,15 +378,21 @@ def _replies(spark: SparkSession, sf: str, *cases: str) -> DataFrame:
 
 @query("plan_parse", """
 SELECT p_partkey AS run_id,
-  CASE p_size % 4 WHEN 0 THEN 'BẢNG CÂN ĐỐI KẾ TOÁN;BÁO CÁO LƯU CHUYỂN TIỀN TỆ' ELSE '' END AS tables,
-  CASE p_size % 4 WHEN 0 THEN p_name ELSE '' END AS company, '' AS time_hint, p_size % 4 = 0 AS need_web,
-  CASE p_size % 4 WHEN 1 THEN 'Value not allowed' WHEN 2 THEN 'Malformed JSON' END AS error FROM part""")
+  CASE p_size % 9 WHEN 0 THEN 'BẢNG CÂN ĐỐI KẾ TOÁN;BÁO CÁO LƯU CHUYỂN TIỀN TỆ'
+    WHEN 6 THEN 'BÁO CÁO LƯU CHUYỂN TIỀN TỆ' ELSE '' END AS tables,
+  CASE p_size % 9 WHEN 0 THEN p_name ELSE '' END AS company, '' AS time_hint, p_size % 9 IN (0, 6) AS need_web,
+  CASE WHEN p_size % 9 IN (1, 4, 5, 7, 8) THEN 'Value not allowed' WHEN p_size % 9 = 2 THEN 'Malformed JSON' END AS error FROM part""")
 def plan_parse(spark: SparkSession, sf: str) -> DataFrame:
     replies = _replies(
         spark, sf,
         'ok: {"tables": ["BCDKT ", {"table": "lctt"}], "company": "$", "need_web": true}',
         '{"tables": ["BCDKT", "$"]}',
         '{"tables": ["BCDKT"], $}',
+        '{"tables": null}',
+        '{"tables": ["BCDKT"], "company": null}',
+        '{"tables": "BCDKT"}',
+        '{"tables": ["lctt"], "need_web": "true"}',
+        '{"tables": ["BCDKT"], "company": 5}',
         '{"tables": null, "time_hint": null}',
     )
     return transcript.parsed_table_plans(replies).select(
@@ -396,9 +402,9 @@ def plan_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("keyword_plan_parse", """
-SELECT p_partkey AS run_id, CASE p_size % 4
+SELECT p_partkey AS run_id, CASE p_size % 7
     WHEN 0 THEN 'BÁO CÁO KẾT QUẢ HOẠT ĐỘNG KINH DOANH:' || p_name || ',b;BẢNG CÂN ĐỐI KẾ TOÁN:' WHEN 3 THEN '' END AS targets,
-  CASE p_size % 4 WHEN 1 THEN 'Value not allowed' WHEN 2 THEN 'Malformed JSON' END AS error FROM part""")
+  CASE WHEN p_size % 7 IN (1, 4, 5, 6) THEN 'Value not allowed' WHEN p_size % 7 = 2 THEN 'Malformed JSON' END AS error FROM part""")
 def keyword_plan_parse(spark: SparkSession, sf: str) -> DataFrame:
     replies = _replies(
         spark, sf,
@@ -406,6 +412,9 @@ def keyword_plan_parse(spark: SparkSession, sf: str) -> DataFrame:
         '{"targets": [{"table": "$", "keywords": []}]}',
         "no JSON here, $",
         "{}",
+        '{"targets": [{"table": "bcdkt", "keywords": "k"}]}',
+        '{"targets": "x"}',
+        '{"targets": [{"table": "bcdkt", "keywords": ["k", null]}]}',
     )
     shown = F.transform(
         "targets", lambda t: F.concat(t["table"], F.lit(":"), F.array_join(t["keywords"], ","))

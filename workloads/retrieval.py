@@ -173,10 +173,20 @@ def request_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return context.blocked_repeats(event_calls(spark, sf)).select("run_id", "seq", "blocked", "note")
 
 
-@query("request_dedupe_hot", _REPEATS_SQL)
+@query("request_dedupe_hot", """
+WITH calls AS (
+  SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id % 5 END AS run_id,
+         CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id // 3 END AS seq, event_type FROM events)
+SELECT run_id, seq, row_number() OVER (PARTITION BY run_id, event_type ORDER BY seq NULLS FIRST) > 1 AS blocked FROM calls""")
 def request_dedupe_hot(spark: SparkSession, sf: str) -> DataFrame:
-    """The same flags when nearly every repeated call counts as a hot group."""
-    return context.blocked_repeats(event_calls(spark, sf), hot_rows=1).select("run_id", "seq", "blocked")
+    """Few, large groups, with runs that are NULL and places that are NULL or tied."""
+    user, event = F.col("user_id"), F.col("event_id")
+    calls = table(spark, sf, "events").select(
+        F.when(user % 3 != 0, user % 5).alias("run_id"), F.lit("a").alias("agent"),
+        F.when(event % 4 != 0, F.floor(event / 3)).alias("seq"),
+        F.col("event_type").alias("tool"), F.lit("{}").alias("args_json"),
+    )
+    return context.blocked_repeats(calls).select("run_id", "seq", "blocked")
 
 
 # The worker and the tool call of an event.

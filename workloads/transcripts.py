@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import transcript
@@ -16,7 +16,7 @@ query = Registry()
 # but for the name of the line-break function.
 _TURN_SQL = """CASE turn % 4
   WHEN 0 THEN text || {nl} || 'ACTION: get_related_info' || {nl} || 'ARGUMENTS: {{"query": "q' || conv_id || '", "n": ' || turn || '}}'
-  WHEN 1 THEN text || {nl} || '  action:   web_search  ' || {nl} || 'arguments:' || {nl} || '{{"query": "x",' || {nl} || ' "deep": {{"k": [5]}}}}' || {nl}
+  WHEN 1 THEN text || {nl} || '  action:   web_search  ' || {nl} || 'arguments:' || {nl} || '{{"query": "x",' || {nl} || ' "deep": {{"k": [5,1.0]}}}}' || {nl}
   WHEN 2 THEN text || {nl} || 'ANSWER: {{"value": "' || conv_id || '"}}' || {nl} || text || '  '
   ELSE text || {nl} || 'ACTION: get_related_info' || {nl} || 'ARGUMENTS: {{query: ' || turn || '}}' END"""
 TURN_SPARK = _TURN_SQL.format(nl="char(10)")
@@ -34,9 +34,9 @@ SELECT conv_id, turn,
   CASE turn % 4 WHEN 0 THEN 'get_related_info' WHEN 1 THEN 'web_search' WHEN 3 THEN 'get_related_info' END AS tool,
   CASE turn % 4 WHEN 0 THEN 'q' || conv_id WHEN 1 THEN 'x' END AS arg_query,
   CASE turn % 4 WHEN 0 THEN CAST(turn AS VARCHAR) END AS arg_n,
-  CASE turn % 4 WHEN 1 THEN '{"k":[5]}' END AS arg_deep,
+  CASE turn % 4 WHEN 1 THEN '{"k":[5,1.0]}' END AS arg_deep,
   CASE turn % 4 WHEN 0 THEN '{"n": ' || turn || ', "query": "q' || conv_id || '"}'
-    WHEN 1 THEN '{"deep": {"k":[5]}, "query": "x"}' ELSE '{}' END AS args_json,
+    WHEN 1 THEN '{"deep": {"k": [5, 1.0]}, "query": "x"}' ELSE '{}' END AS args_json,
   CASE turn % 4 WHEN 2 THEN 'No ACTION block found' WHEN 3 THEN 'Failed to parse ARGUMENTS JSON' END AS error
 FROM conversations""")
 def turn_actions(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +58,7 @@ def turn_answers(spark: SparkSession, sf: str) -> DataFrame:
 @query("json_block", """
 SELECT conv_id, turn, CASE turn % 4
   WHEN 0 THEN '{"query": "q' || conv_id || '", "n": ' || turn || '}'
-  WHEN 1 THEN '{"query": "x",' || chr(10) || ' "deep": {"k": [5]}}'
+  WHEN 1 THEN '{"query": "x",' || chr(10) || ' "deep": {"k": [5,1.0]}}'
   WHEN 2 THEN '{"value": "' || conv_id || '"}' ELSE '{query: ' || turn || '}' END AS block FROM conversations
 UNION ALL SELECT conv_id, -1 - turn, NULL FROM conversations""")
 def json_block(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +72,11 @@ _DECISION_SQL = """CASE turn % 6
   WHEN 0 THEN '{{"status": "answer", "answer": "a' || conv_id || '"}}'
   WHEN 1 THEN '```json' || {nl} || '{{"status": "need_more", "missing": ["m' || conv_id || '", "b"], "followups":
     [{{"agent": "agent_bs", "table": "BCDKT", "keywords": ["k"]}}, {{"agent": "agent_web", "reason": "r"}}]}}' || {nl} || '```'
-  WHEN 2 THEN '{{"status": "maybe"}}'
+  WHEN 2 THEN CASE conv_id % 10
+    WHEN 0 THEN '{{"status": "maybe"}}' WHEN 1 THEN '{{"status": null}}' WHEN 2 THEN '{{"answer": 5}}'
+    WHEN 3 THEN '{{"missing": "x"}}' WHEN 4 THEN '{{"missing": [1, null]}}' WHEN 5 THEN '{{"followups": "x"}}'
+    WHEN 6 THEN '{{"followups": ["x"]}}' WHEN 7 THEN '{{"followups": [{{"agent": "agent_bs", "keywords": "k"}}]}}'
+    WHEN 8 THEN '{{"answer": null}}' ELSE '{{"followups": [{{"agent": "agent_bs", "reason": 1}}]}}' END
   WHEN 3 THEN '{{"status": "need_more", "followups": [{{"agent": "agent_x"}}]}}'
   WHEN 4 THEN '{{"answer": "unfinished'
   ELSE '{{"answer": "x"}} and {{"more": 1}}' END"""
@@ -179,28 +183,31 @@ def latest_per_agent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("group_complete", """
-WITH days AS (SELECT user_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS day FROM events),
-e AS (SELECT DISTINCT user_id, event_type FROM days WHERE day = 1 AND event_type <> 'error'),
-d AS (SELECT DISTINCT user_id, event_type FROM days WHERE day = 2)
-SELECT u.user_id AS run_id, count(e.event_type) AS n_expected,
+WITH days AS (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events),
+following AS (SELECT user_id, day, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS next_day
+              FROM (SELECT DISTINCT user_id, day FROM days))
+SELECT CAST(f.user_id AS VARCHAR) || '/' || strftime(f.day, '%Y-%m-%d') AS run_id, count(e.event_type) AS n_expected,
        count(e.event_type) - count(d.event_type) AS n_missing,
        count(e.event_type) > 0 AND count(e.event_type) = count(d.event_type) AS ready
-FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN e USING (user_id)
-LEFT JOIN d ON d.user_id = e.user_id AND d.event_type = e.event_type GROUP BY u.user_id""")
+FROM following f
+LEFT JOIN days e ON e.user_id = f.user_id AND e.day = f.day AND e.event_type <> 'error'
+LEFT JOIN days d ON d.user_id = f.user_id AND d.day = f.next_day AND d.event_type = e.event_type
+GROUP BY f.user_id, f.day""")
 def group_complete(spark: SparkSession, sf: str) -> DataFrame:
-    """A user's first day says what is expected, errors aside; the second day
-    what is done."""
+    """A run is one day of a user: its events, errors aside, are expected on the
+    user's next day with events."""
     events = table(spark, sf, "events").select(
-        F.col("user_id").alias("run_id"), F.to_date("ts").alias("day"), F.col("event_type").alias("agent")
+        "user_id", F.to_date("ts").alias("day"), F.col("event_type").alias("agent")
     ).distinct()
-    # the first two days of each user, found by two map-side combined minima
-    first = events.groupBy("run_id").agg(F.min("day").alias("first"))
-    dated = events.join(first, "run_id")
-    second = dated.where(F.col("day") > F.col("first")).groupBy("run_id").agg(F.min("day").alias("second"))
-    dated = dated.join(second, "run_id", "left")
-    wanted = F.when((F.col("day") == F.col("first")) & (F.col("agent") != "error"), F.col("agent"))
-    expected = dated.select("run_id", wanted.alias("agent"))
-    done = dated.where(F.col("day") == F.col("second")).select("run_id", "agent")
+    days = events.select("user_id", "day").distinct()
+    order = Window.partitionBy("user_id").orderBy("day")
+    before = days.withColumn("before", F.lag("day").over(order))
+
+    def run(day: str) -> Column:
+        return F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format(day, "yyyy-MM-dd")).alias("run_id")
+
+    expected = events.select(run("day"), F.when(F.col("agent") != "error", F.col("agent")).alias("agent"))
+    done = events.join(before.where("before IS NOT NULL"), ["user_id", "day"]).select(run("before"), "agent")
     return transcript.group_complete(expected, done)
 
 
