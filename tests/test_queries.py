@@ -3,7 +3,7 @@ import pytest
 import __spark_entry__ as driver
 import oracle
 import workloads
-from conftest import SF_SMALL
+from oracle import SF_SMALL
 
 SQL = workloads.oracle_sql()
 # Without SQL: checked against brute force in test_store and test_nearest.
