@@ -25,7 +25,12 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataF
 
 # ---------------------------------------------------------------- statements
 
-YEARS = (2000, 1999)
+def order_years(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The years of all orders, last first; a handful, whatever the data."""
+    years = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    return sorted((r["y"] for r in years.collect() if r["y"] is not None), reverse=True)
+
+
 # order priority -> (item code, label as printed, shown as negative)
 ASSETS = (
     ("1-URGENT", "110", "I. URGENT", False),
@@ -62,14 +67,16 @@ def lines_of(*lines: str) -> Column:
 
 
 def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents(doc_id, source, company, text): one report per customer.
+    """documents(doc_id, source, company, text): one report per customer, with a
+    column for every year that has orders.
 
     Orders are summed per customer map-side; a report has a fixed number of
     lines, so no group of rows is ever collected.
     """
     price, year = "CAST(o_totalprice AS DECIMAL(18,2))", "year(o_orderdate)"
+    years = order_years(spark, sf_dir)
     sums = []
-    for y in YEARS:
+    for y in years:
         sums.append(f"sum(CASE WHEN {year} = {y} THEN {price} END) AS all_{y}")
         sums.append(f"count_if({year} = {y}) AS n_{y}")
         for column, keys in (("o_orderpriority", ASSETS), ("o_orderstatus", REVENUES)):
@@ -82,15 +89,17 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = customers.join(totals, "c_custkey", "left")
 
     def of(key: str, negative: bool = False) -> list[str]:
-        return [amount(f"`{key}_{y}`", negative) for y in YEARS]
+        return [amount(f"`{key}_{y}`", negative) for y in years]
 
     def heads(label: str, *periods: str) -> list[str]:
         names = ["Mã số", label, "Thuyết minh", *periods]
         return [quoted("| " + " | ".join(names) + " |"), quoted("|" + " ----- |" * len(names))]
 
     balance = amount("CAST(c_acctbal AS DECIMAL(18,2))")
-    counts = [f"CAST(coalesce(n_{y}, 0) AS STRING)" for y in YEARS]
-    flows = heads("CHỈ TIÊU", "Năm 2000VND", "Năm 1999VND")
+    counts = [f"CAST(coalesce(n_{y}, 0) AS STRING)" for y in years]
+    flows = heads("CHỈ TIÊU", *(f"Năm {y}VND" for y in years))
+    # a share is no value, but for that of the first year
+    ratios = {y: "c_nationkey || ',50'" if y == years[-1] else "'20,29%'" for y in years}
     text = lines_of(
         "'# BÁO CÁO TÀI CHÍNH ' || c_name",
         "''",
@@ -101,7 +110,7 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'# 1. BẢNG CÂN ĐỐI KẾ TOÁN'",
         "'Tại ngày 31 tháng 12 năm 2000'",
         "''",
-        *heads("TÀI SẢN", "31/12/2000VND", "31/12/1999VND"),
+        *heads("TÀI SẢN", *(f"31/12/{y}VND" for y in years)),
         pipe_row("'100'", "'A. TỔNG CỘNG TÀI SẢN'", "''", *of("all")),
         *[
             pipe_row(quoted(code), quoted(label), "'3'", *of(key, neg))
@@ -120,7 +129,7 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'(Tiếp theo)'",
         "''",
         *flows,
-        pipe_row("'50'", "'13. Số dư tài khoản'", "'7'", balance, balance),
+        pipe_row("'50'", "'13. Số dư tài khoản'", "'7'", *[balance] * len(years)),
         "''",
         "'## BÁO CÁO LƯU CHUYỂN TIỀN TỆ'",
         "''",
@@ -130,11 +139,9 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "''",
         "'Ghi chú theo năm:'",
         "''",
-        "'|  | VND | Tỷ lệ% | VND | Tỷ lệ% |'",
-        "'| --- | --- | --- | --- | --- |'",
-        pipe_row(
-            "'Tổng'", amount("all_2000"), "'20,29%'", amount("all_1999"), "c_nationkey || ',50'"
-        ),
+        quoted("|  |" + " VND | Tỷ lệ% |" * len(years)),
+        quoted("| --- |" + " --- | --- |" * len(years)),
+        pipe_row("'Tổng'", *(x for y in years for x in (amount(f"all_{y}"), ratios[y]))),
         "'| **Tổng cộng** | **1.000** | | - | |'",
     )
     return df.select(
@@ -150,11 +157,12 @@ STATEMENT_FACTS_SQL = """
 WITH totals AS (
   SELECT o_custkey AS c, year(o_orderdate) AS y, o_orderpriority AS p, o_orderstatus AS s,
          sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v, count(*) AS n
-  FROM orders WHERE year(o_orderdate) IN (1999, 2000) GROUP BY ALL
+  FROM orders GROUP BY ALL
 ),
-years(y, col_id, note_col, bs, isv, note) AS (
-  VALUES (2000, 4, 2, '31/12/2000VND', 'Năm 2000VND', 'VND'),
-         (1999, 5, 4, '31/12/1999VND', 'Năm 1999VND', 'VND .1')
+years AS (
+  SELECT y, 3 + k AS col_id, 2 * k AS note_col, '31/12/' || y || 'VND' AS bs, 'Năm ' || y || 'VND' AS isv,
+         'VND' || CASE WHEN k > 1 THEN ' .' || (k - 1) ELSE '' END AS note, k
+  FROM (SELECT y, row_number() OVER (ORDER BY y DESC) AS k FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders))
 ),
 assets(p, row_id, code, label, neg) AS (
   VALUES ('1-URGENT', 1, '110', 'URGENT', false), ('2-HIGH', 2, '120', 'HIGH', false),
@@ -198,9 +206,9 @@ shown AS (
               ELSE replace(format('{:,}', CAST(a AS BIGINT)), ',', '.') END AS value
   FROM cells
   UNION ALL
-  SELECT c_custkey, 4, 0, 5, 'Ghi chú theo năm:', NULL, 'Tổng', 'Tỷ lệ% .1',
-         CAST(c_nationkey AS VARCHAR) || ',50'
-  FROM customer
+  SELECT c_custkey, 4, 0, 2 * k + 1, 'Ghi chú theo năm:', NULL, 'Tổng',
+         'Tỷ lệ%' || CASE WHEN k > 1 THEN ' .' || (k - 1) ELSE '' END, CAST(c_nationkey AS VARCHAR) || ',50'
+  FROM customer CROSS JOIN (SELECT max(k) AS k FROM years)
 ),
 facts AS (
   SELECT c AS doc_id, table_id, row_id, col_id, c_name AS company, heading, item_code,
