@@ -26,9 +26,10 @@ def canonical_tables(
     names: DataFrame, canon: DataFrame, name_col: str, row_id: Sequence[str]
 ) -> DataFrame:
     """Adds ``canonical`` (an unknown name stays as it is), ``known`` and
-    ``compare_form``.  ``canon`` is (key, canonical)."""
+    ``compare_form``.  ``canon`` is (key, canonical); of several entries for a
+    key the smallest counts."""
     keyed = names.withColumn("key", table_key(F.col(name_col)))
-    joined = salted_lookup(keyed, canon, ["key"], row_id)
+    joined = salted_lookup(keyed, _one_for_each(canon, "key"), ["key"], row_id)
     return (
         joined.withColumn("known", F.col("canonical").isNotNull())
         .withColumn("canonical", F.coalesce("canonical", name_col))
@@ -37,15 +38,20 @@ def canonical_tables(
     )
 
 
+def _one_for_each(mapping: DataFrame, key: str) -> DataFrame:
+    return mapping.groupBy(key).agg(F.min("canonical").alias("canonical"))
+
+
 def normalized_keywords(
     requests: DataFrame,
     aliases: DataFrame,
     keyword_col: str = "raw",
     row_id: Sequence[str] = REQUEST_KEYS,
 ) -> DataFrame:
-    """Adds ``normalized``: tidied and with variants replaced by canonicals."""
+    """Adds ``normalized``: tidied and with variants replaced by canonicals (of
+    several for a variant the smallest)."""
     tidy = requests.withColumn("variant", normalize_keyword(F.col(keyword_col)))
-    joined = salted_lookup(tidy, aliases, ["variant"], row_id)
+    joined = salted_lookup(tidy, _one_for_each(aliases, "variant"), ["variant"], row_id)
     return joined.withColumn("normalized", F.coalesce("canonical", "variant")).drop(
         "variant", "canonical"
     )
@@ -65,8 +71,9 @@ def closest_keywords(
     A small dictionary goes to every task; a larger one is cut into blocks
     that meet blocks of words.  Only the best match of a word leaves a task.
     """
-    wanted = words.select("tbl", "normalized").distinct()
-    entries = dictionary.select("tbl", "keyword").distinct()
+    # a word or keyword without a table or text is close to nothing
+    wanted = words.select("tbl", "normalized").distinct().dropna()
+    entries = dictionary.select("tbl", "keyword").distinct().dropna()
     schema = "tbl string, normalized string, suggested string, ratio double"
     Vocabulary = kernels.Vocabulary
 

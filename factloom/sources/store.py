@@ -124,6 +124,23 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("parquet.block.size", row_groups).parquet(path)
 
 
+def append_index(records: DataFrame, path: str) -> None:
+    """Add the records whose id is not stored yet; stored files stay as they are.
+
+    A record keeps its heading, so only the ids of the headings at hand are
+    read, by the statistics of the files.
+    """
+    spark = records.sparkSession
+    try:
+        stored = spark.read.schema(records.schema).parquet(path)
+        headings = records.select("heading").distinct()
+        known = stored.select("heading", "id").join(headings, "heading", "left_semi").select("id")
+        records = records.join(known, "id", "left_anti").select(*records.columns)
+    except AnalysisException:  # nothing stored yet
+        pass
+    by_heading(records).write.mode("append").parquet(path)
+
+
 def index_consistency(facts: DataFrame, index: DataFrame) -> DataFrame:
     """One row: n_facts, n_records, facts without and records without partner.
 

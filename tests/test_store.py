@@ -89,6 +89,18 @@ def test_projection_and_filter_reach_the_scan(spark):
     assert "item_code" not in text and "EqualTo(heading,H)" in text
 
 
+def test_index_append_leaves_stored_files(spark):
+    path = store.shared_folder(spark)
+    records = retrieval_records(extract_facts(make(spark, 4)))
+    store.append_index(records.where("id LIKE '0:%'"), path)
+    before = set(spark.read.parquet(path).inputFiles())
+    store.append_index(records, path)
+    store.append_index(records, path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == stored.select("id").distinct().count() == 8
+    assert before < set(stored.inputFiles())
+
+
 def test_records(spark):
     rows = [("C", "H", "i | p", "5", "s"), (None, "", "i", "", None)]
     facts = spark.createDataFrame(rows, "company string, heading string, item_name string, value string, source string")

@@ -330,6 +330,27 @@ def index_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return store.index_consistency(with_id, records.retrieval_records(_balance_sheet_facts(spark, sf)))
 
 
+@query("index_append", f"""{STATEMENT_FACTS_SQL}
+SELECT concat_ws(':', doc_id, table_id, row_id, col_id) AS id, heading, {_TEXT_SQL} AS document FROM facts""")
+def index_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches that overlap, the second one twice: no id is stored twice."""
+    path = store.shared_folder(spark)
+    store.append_index(records.retrieval_records(_balance_sheet_facts(spark, sf)), path)
+    for _ in range(2):
+        store.append_index(records.retrieval_records(statement_facts(spark, sf)), path)
+    return spark.read.parquet(path).select("id", "heading", "document")
+
+
+@query("stored_lookup", f"""{STATEMENT_FACTS_SQL}
+SELECT company, heading, item_name, value, source FROM facts WHERE heading = 'BÁO CÁO LƯU CHUYỂN TIỀN TỆ'""")
+def stored_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """One statement's facts from the stored table: five columns, filtered in the scan."""
+    path = store.shared_folder(spark)
+    store.reset_facts(statement_facts(spark, sf), path)
+    stored = spark.read.schema(FACTS).parquet(path)
+    return store.fact_projection(stored.where(F.col("heading") == STATEMENTS[2]))
+
+
 @query("embed_text")
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread_table(spark, sf, "documents", "doc_id").select("doc_id", "text")
