@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import (
     bpe, decontaminate, jaccard, language, licenses, lines, neighbours, quality, suffixes, toxicity,
@@ -62,8 +61,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op8_line_dedup")
 def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    docs = lines.dedupe_lines(table(spark, sf, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return lines.line_decisions(table(spark, sf, "documents"))
 
 
 @query("op9_nearest_vectors")
