@@ -163,14 +163,14 @@ def fit_language_model(
     per_language: int = TEXTS_PER_LANGUAGE,
     bound: int = MAX_TRAINING_TEXTS,
 ) -> LanguageModel:
-    """Fit on rows where ``train`` holds and lang and text are not NULL.
+    """Fit on rows where ``train`` holds and doc_id, lang and text are not NULL.
 
     The features are made in tasks; the driver gets sparse vectors of at most
     ``bound`` texts.  Without labelled rows the model knows no language.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text"),
-    ).where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    ).where(train & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sample = bounded_sample(rows, "lang", "doc_id", per_language, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,8 +152,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, bound: int =
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(train & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.groupBy("quality").count().toPandas().set_index("quality")["count"]
+    empty = FactorisationMachine(0.0, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, RANK), np.float32))
     if share.empty:
-        return FactorisationMachine(0.0, np.zeros(WIDTH, np.float32), np.zeros((WIDTH, RANK), np.float32))
+        return empty
     chosen = bounded_sample(known, "quality", "doc_id", bound // 2, bound)
     rows = _rows(docs).where(train).join(F.broadcast(chosen), "doc_id")
 
@@ -169,6 +170,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, bound: int =
                 )
 
     got = rows.mapInArrow(run, "doc_id long, quality int, x binary").toPandas().sort_values("doc_id")
+    if got.empty:
+        return empty
     x = np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32)
     y = (got["quality"].to_numpy() > 0).astype(np.float32)
     whole = np.array([share[q] for q in got["quality"]], float)
