@@ -6,15 +6,16 @@
    Half of all shingle hashes (those with the top bit clear) are dealt to buckets; a
    set with more than a quarter of its size among them that no other set has
    can link with nothing and leaves.  This loses no link.
-3. The remaining sets are ordered by one global order, rare shingles first.
-   Two sets that link share a shingle within the first quarter plus one of
+3. The remaining sets are put in one global order, common shingles first.  Two
+   sets that link share a shingle within the last (rarest) quarter plus one of
    each, so pairs come from equal shingles there.
 4. Sets compared with the same set are walked as a prefix tree (in order, each
    resuming at the place where it leaves the path of the one before), sharing the
    overlap counted so far, and left as soon as what remains cannot suffice.
 5. Only connectivity is asked for, so a few rounds first compare each set with the
-   one set of another component that shares most of its prefix; every pair
-   that still crosses components is compared afterwards.
+   one set of another component that shares most of its prefix; all sets that
+   share a prefix shingle across components are compared afterwards, as trees of
+   bounded blocks of sets.
 
 Equality of shingles and sets is that of 64-bit and 128-bit hashes.
 """
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm import wordhash
@@ -39,6 +40,9 @@ NUMERATOR, DENOMINATOR = 3, 4  # the least similarity
 BUCKET_BYTES = 32 << 20  # text behind one bucket
 ROUNDS = 2
 TREE_ROWS = 500  # sets walked together
+BLOCK_ROWS = 1_500  # sets of a block that are compared with another block at once
+LEVELS = 256  # levels of the tree taken together
+FILTER_BITS = 1 << 24
 
 _INK = np.ones(256, bool)
 _INK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -236,23 +240,94 @@ def _best_partner(prefix: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b")
 
 
-def _crossing(prefix: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs that share a prefix shingle and are still in two components."""
+def cross_links(ids: list[int], sizes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different parts among some sets, enough to connect them.
+
+    The prefix tree of all sets is walked level by level, common shingles first:
+    each level adds its shingles to the overlaps of all pairs at once, and a pair
+    is left as soon as what remains of both cannot suffice.
+    """
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, level, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    shared = count[level] > 1
+    level, owner, count = level[shared], owner[shared], count
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    order = np.argsort(rank[level], kind="stable")
+    column, owner = rank[level][order], owner[order]
+    sizes = sizes.astype(np.float32)
+    rest = np.bincount(owner, minlength=len(sets)).astype(np.float32)
+    need = np.ceil(NUMERATOR * (sizes[:, None] + sizes[None, :]) / (NUMERATOR + DENOMINATOR))
+    alive = np.minimum(sizes[:, None], sizes[None, :]) * DENOMINATOR >= np.maximum(sizes[:, None], sizes[None, :]) * NUMERATOR
+    alive &= parts[:, None] < parts[None, :]
+    overlap = np.zeros(alive.shape, np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, LEVELS):
+        i, j = np.searchsorted(column, [begin, begin + LEVELS])
+        x = np.zeros((len(sets), LEVELS), np.float32)
+        x[owner[i:j], column[i:j] - begin] = 1
+        overlap += x @ x.T
+        rest -= x.sum(axis=1)
+        alive &= overlap + np.minimum(rest[:, None], rest[None, :]) >= need
+        if not alive.any():
+            return []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in np.argwhere(alive & (overlap >= need)).tolist():
+        a, b = find(int(parts[i])), find(int(parts[j]))
+        if a != b:
+            root[a] = b
+            links.append((ids[i], ids[j]))
+    return links
+
+
+def _crossing(prefix: DataFrame, labels: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Links (a, b) among sets that share a prefix shingle and are still in two components.
+
+    A group of equal prefix shingles is cut into blocks of ``BLOCK_ROWS`` sets;
+    every two blocks meet once, so no pair of sets is ever a row.
+    """
     marked = prefix.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_groups = (
-        marked.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low <> high").select("shingle")
+    groups = (
+        marked.groupBy("shingle")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+        .where("low <> high").select("shingle", "blocks")
     )
-    left = marked.join(open_groups, "shingle")
-    right = left.select("shingle", *(F.col(c).alias(f"{c}_r") for c in ("id", "n", "component", "rest")))
-    need = F.ceil(F.lit(NUMERATOR) * (F.col("n") + F.col("n_r")) / (NUMERATOR + DENOMINATOR))
-    return (
-        left.join(right, "shingle")
-        .where((F.col("id") < F.col("id_r")) & (F.col("component") != F.col("component_r")) & _within("n", "n_r"))
-        .where(F.least("rest", "rest_r") >= need)  # shingles from here on, both sides
-        .select(F.col("id").alias("a"), F.col("id_r").alias("b"))
-        .distinct()
+    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "own").alias("x"), F.greatest(b, "own").alias("y")))
+    rows = marked.join(groups, "shingle").withColumn("own", own).select("shingle", "id", "component", F.explode(met).alias("m"))
+    rows = rows.select("shingle", "id", "component", "m.x", "m.y").join(ordered, "id")
+
+    def cross(table: pa.Table) -> pa.Table:
+        found = cross_links(
+            table.column("id").to_pylist(), table.column("n").to_numpy(), table.column("component").to_numpy(),
+            [x.values.to_numpy() for x in table.column("shingles")],
+        )
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("shingle", "x", "y").applyInArrow(cross, "a long, b long")
+
+
+def _bitmap_filter(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be among the chosen ones.
+
+    The bitmap has ``FILTER_BITS`` bits whatever the data, so it can go to every
+    task; it only spares the join that follows the texts it need not move.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    maps = chosen.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
     )
+    place = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    marked = docs.withColumn("bit", bit).withColumn("part", F.bitmap_bucket_number("bit"))
+    hit = F.expr("shiftright({}, cast(bitmap_bit_position(bit) % 8 as int)) & 1 = 1".format("byte"))
+    return marked.join(F.broadcast(maps), "part").withColumn("byte", byte).where(hit).select(*docs.columns)
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -278,32 +353,31 @@ def link_documents(docs: DataFrame) -> DataFrame:
     )
     chosen = saved(chosen.select("doc_id", "n", "set_id"), "chosen")
 
-    sets = rows.join(chosen, "doc_id").mapInArrow(_shingles, "id long, n long, shingles array<long>")
+    sets = _bitmap_filter(rows, chosen).join(chosen, "doc_id").mapInArrow(_shingles, "id long, n long, shingles array<long>")
     sets = saved(sets, "sets")
-    listed = sets.select("id", "n", F.explode("shingles").alias("shingle")).distinct()
-    listed = saved(listed.join(listed.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "shingle"), "listed")
-    # the global order: rare first, ties by hash; a tree is walked common first
-    place = F.sort_array(F.collect_list(F.struct("df", "shingle")))
+    listed = sets.select("id", "n", F.explode("shingles").alias("shingle"))
+    listed = listed.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
+    # the global order: common first, ties by hash
+    place = F.sort_array(F.collect_set(F.struct("df", "shingle")), asc=False)
     ordered = listed.groupBy("id").agg(F.first("n").alias("n"), place.alias("place"))
     ordered = saved(
-        ordered.select(
-            "id", "n", F.transform("place", lambda x: x["shingle"]).alias("rare_first"),
-            F.reverse(F.transform("place", lambda x: x["shingle"])).alias("shingles"),
-        ).where(F.size("shingles") * DENOMINATOR >= F.col("n") * NUMERATOR),
+        ordered.select("id", "n", F.transform("place", lambda x: x["shingle"]).alias("shingles"))
+        .where(F.size("shingles") * DENOMINATOR >= F.col("n") * NUMERATOR),
         "ordered",
     )
-    # the first quarter plus one; shingles of one set only come before all others
+    # the rarest quarter plus one; shingles of one set only are the rarest of all
     head = F.floor(F.col("n") * spare / DENOMINATOR) + 1 - (F.col("n") - F.size("shingles"))
-    prefix = ordered.select(
-        "id", "n", F.size("shingles").alias("m"), F.posexplode(F.slice("rare_first", F.lit(1), head.cast("int"))).alias("at", "shingle")
-    ).select("id", "n", "shingle", (F.col("m") - F.col("at")).alias("rest"))
-    prefix = saved(prefix, "prefix")
+    rare = F.slice("shingles", F.greatest(F.size("shingles") - head + 1, F.lit(1)).cast("int"), head.cast("int"))
+    prefix = saved(ordered.select("id", "n", F.explode(rare).alias("shingle")), "prefix")
 
     links = labels = None
     for turn in range(ROUNDS + 1):
         known = labels if labels is not None else prefix.limit(0).select("id", F.col("id").alias("component"))
-        pairs = _best_partner(prefix, known, turn) if turn < ROUNDS else _crossing(prefix, known)
-        found = saved(_verify(saved(pairs, "pairs"), ordered.select("id", "n", "shingles")), "linked")
+        if turn < ROUNDS:
+            found = _verify(saved(_best_partner(prefix, known, turn), "pairs"), ordered)
+        else:
+            found = _crossing(prefix, known, ordered)
+        found = saved(found, "linked")
         links = found if links is None else links.union(found)
         labels = connected_components(links)
 
