@@ -4,9 +4,9 @@
    inverse frequency over the passages of all documents.
 2. A randomised singular value decomposition of the TF-IDF passages, summed up in
    Spark tasks, gives the latent space.
-3. Windows of every whole document (``PASSAGE`` words, one every ``STEP`` words) are
-   placed in that space; a window near a passage by cosine, which also carries
-   enough of its weight, is a candidate.
+3. Stretches of a whole document that carry enough of an item's weight (found by
+   the words they share) are placed in that space in windows of ``PASSAGE`` words, one
+   every ``STEP`` words; the window nearest to the item by cosine is a candidate.
 4. The longest common subsequence of words between the item and the surroundings
    of a candidate decides: at least ``COVERED`` of the item, or at least
    ``COVERED_WITH_ANSWER`` when the item's last words (its answer) stand there too.
@@ -30,10 +30,12 @@ from factloom.llm.tables import text_bytes
 
 PASSAGE, STEP = 32, 8
 RANK, OVERSAMPLE = 96, 16
-COSINE, CARRIED = 0.55, 0.35
+COSINE, CARRIED = 0.5, 0.5
 COVERED, COVERED_WITH_ANSWER = 0.75, 0.6
 ANSWER_WORDS = 5
-COMMON = 0.2  # words in more than this share of the passages have no weight
+# Words in more than this share of the passages have no weight, unless a passage
+# of an item has fewer than MIN_RARE others.
+COMMON, MIN_RARE = 0.02, 4
 CHUNK_BYTES = 4 << 20
 SCHEMA = "doc_id long, item_id long, coverage double, cosine double, answer boolean"
 
@@ -103,7 +105,10 @@ class Items:
     vocabulary: Vocabulary
     basis: np.ndarray  # known words x rank, weighted
     passages: np.ndarray  # latent passages
-    owner: np.ndarray
+    owner: np.ndarray  # the item of each passage
+    indptr: np.ndarray  # for each known word the passages that hold it,
+    holders: np.ndarray
+    shares: np.ndarray  # and the share of the passage's squared weight it has
 
 
 def _cuts(n: int) -> list[tuple[int, int]]:
@@ -168,10 +173,14 @@ def read_items(docs: DataFrame, items: DataFrame) -> Items | None:
         return None
     vocabulary = Vocabulary(np.unique(np.concatenate(own)))
     frequency, total = passage_frequencies(docs, vocabulary)
-    weight = np.log((total + 1) / (frequency + 1))
-    weight[frequency > COMMON * max(total, 1)] = 0
-    if not weight.any():
-        weight[:] = 1
+    weight = np.maximum(np.log((total + 1) / (frequency + 1)), 1e-3)
+    rare = frequency <= COMMON * max(total, 1)
+    for w in own:
+        number = np.searchsorted(vocabulary.hashes, w)
+        for a, b in _cuts(len(w)):
+            if len(np.unique(number[a:b][rare[number[a:b]]])) < MIN_RARE:
+                rare[number[a:b]] = True
+    weight[~rare] = 0
     rows, owner = [], []
     for k, w in enumerate(own):
         number = np.searchsorted(vocabulary.hashes, w)
@@ -187,7 +196,12 @@ def read_items(docs: DataFrame, items: DataFrame) -> Items | None:
     passages = np.zeros((len(rows), basis.shape[1]), np.float32)
     for i, (k, (a, b)) in enumerate(_spans(own, vocabulary, weight)):
         passages[i] = scaled[np.searchsorted(vocabulary.hashes, own[k][a:b])].sum(axis=0)
-    return Items(ids, own, vocabulary, scaled, passages, np.array(owner))
+    words_of = np.concatenate([r[0] for r in rows]).astype(np.int64)
+    holders = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    shares = np.square(np.concatenate([r[1] for r in rows]))
+    order = np.argsort(words_of, kind="stable")
+    indptr = np.searchsorted(words_of[order], np.arange(len(vocabulary.hashes) + 1))
+    return Items(ids, own, vocabulary, scaled, passages, np.array(owner), indptr, holders[order], shares[order])
 
 
 def _spans(own: list[np.ndarray], vocabulary: Vocabulary, weight: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
@@ -228,41 +242,65 @@ def _candidates(words: wordhash.Words, items: Items) -> Iterator[tuple[int, int,
     at, number = at[live], number[live]
     if not len(at):
         return
-    blocks = -(-np.diff(words.first) // STEP)
-    begin = np.concatenate([[0], np.cumsum(blocks)])
+    # blocks of STEP words; a text begins a new stretch of PASSAGE words
+    wide = PASSAGE // STEP
+    stretches = -(-np.diff(words.first) // PASSAGE)
+    begin = np.concatenate([[0], np.cumsum(stretches)])
     text = np.searchsorted(words.first, at, side="right") - 1
-    block = begin[text] + (at - words.first[text]) // STEP
+    block = begin[text] * wide + (at - words.first[text]) // STEP
+    whose = np.append(np.repeat(np.arange(len(stretches)), stretches), [-1, -2])
+    stretch, passage = _heavy(block // wide, number, whose, items)
+    if not len(stretch):
+        return
     starts = np.flatnonzero(np.diff(block, prepend=-1))
-    total = np.zeros((int(begin[-1]), items.basis.shape[1]), np.float32)
-    total[block[starts]] = np.add.reduceat(items.basis[number], starts, axis=0)
-    # a window is this block and the next ones of the same text
-    whose = np.repeat(np.arange(len(blocks)), blocks)
-    window = total.copy()
-    for k in range(1, PASSAGE // STEP):
-        window[:-k] += np.where((whose[:-k] == whose[k:])[:, None], total[k:], 0)
-    norm = np.linalg.norm(window, axis=1)
+    filled, total = block[starts], np.add.reduceat(items.basis[number], starts, axis=0)
+    total = np.vstack([total, np.zeros((1, total.shape[1]), np.float32)])
     size = np.linalg.norm(items.passages, axis=1)
-    heavy = np.flatnonzero(norm >= CARRIED * max(size.min(), 1e-6))
-    for c in range(0, len(heavy), 4096):
-        some = heavy[c : c + 4096]
-        dot = window[some] @ items.passages.T
-        cosine = dot / np.maximum(norm[some][:, None] * size, 1e-9)
-        for i, j in np.argwhere((cosine >= COSINE) & (dot >= CARRIED * size * size)):
-            b = some[i]
-            t = int(whose[b])
-            yield t, int(words.first[t] + (b - begin[t]) * STEP), int(items.owner[j]), float(cosine[i, j])
+    for k in range(0, len(stretch), 4096):
+        i, j = stretch[k : k + 4096], passage[k : k + 4096]
+        blocks = i[:, None] * wide + np.arange(2 * wide)
+        place = np.minimum(np.searchsorted(filled, blocks), len(filled) - 1)
+        here = (filled[place] == blocks) & (whose[blocks // wide] == whose[i][:, None])
+        run = np.cumsum(np.pad(total[np.where(here, place, len(filled))], ((0, 0), (1, 0), (0, 0))), axis=1)
+        windows = run[:, wide:] - run[:, :-wide]
+        dot = np.einsum("nkr,nr->nk", windows, items.passages[j])
+        cosine = dot / np.maximum(np.linalg.norm(windows, axis=2) * size[j][:, None], 1e-9)
+        best = cosine.argmax(axis=1)
+        near = cosine[np.arange(len(best)), best]
+        for n in np.flatnonzero(near >= COSINE):
+            t = int(whose[i[n]])
+            first = (int(i[n]) - int(begin[t])) * PASSAGE + int(best[n]) * STEP
+            yield t, int(words.first[t]) + first, int(items.owner[j[n]]), float(near[n])
+
+
+def _heavy(stretch: np.ndarray, number: np.ndarray, whose: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, passage): a stretch and the next carry enough of a passage's weight.
+
+    Only passages that share a word with a stretch are added up.
+    """
+    size = len(items.vocabulary.hashes)
+    before = stretch - 1
+    joined = (before >= 0) & (whose[before] == whose[stretch])
+    pair = np.unique(np.concatenate([stretch, before[joined]]) * size + np.concatenate([number, number[joined]]))
+    where, word = pair // size, pair % size
+    counts = items.indptr[word + 1] - items.indptr[word]
+    slot = np.repeat(items.indptr[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    key, group = np.unique(np.repeat(where, counts) * len(items.owner) + items.holders[slot], return_inverse=True)
+    mass = np.bincount(group, items.shares[slot], minlength=len(key))
+    kept = key[mass >= CARRIED]
+    return kept // len(items.owner), kept % len(items.owner)
 
 
 def _matches(words: wordhash.Words, items: Items) -> dict[tuple[int, int], tuple[float, float, bool]]:
     found: dict[tuple[int, int], tuple[float, float, bool]] = {}
-    seen: set[tuple[int, int, int]] = set()
     for text, start, k, cosine in _candidates(words, items):
         item = items.words[k]
-        if (text, k, start) in seen or found.get((text, k), (0,))[0] == 1.0:
+        if found.get((text, k), (0,))[0] == 1.0:
             continue
-        seen.add((text, k, start))
         a = max(words.first[text], start - len(item))
         region = words.hashes[a : min(words.first[text + 1], start + PASSAGE + len(item))]
+        if np.isin(item, region).mean() < COVERED_WITH_ANSWER:
+            continue  # no common subsequence can be longer
         coverage = common_subsequence(item, region) / len(item)
         if coverage < COVERED_WITH_ANSWER:
             continue
