@@ -2,7 +2,8 @@
 
 A text is read as its words, each between two spaces of its own, so that a
 rule (a regular expression over words) needs no look-around and matches cannot
-share a space.  A rule is tried only on texts that hold its keyword.  A match
+share a space.  A rule is tried only on texts that hold one of the words of which
+every match has one (``implied_words``), so no match is lost.  A match
 is an interval of words; it is dropped when it lies inside the interval of a
 match of the same or a higher priority.
 
@@ -12,6 +13,7 @@ as they are, and their labels always stay.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A text without any of these holds no rule's keyword pair.
+# Only the SQL below looks at texts with one of these, and by ``Rule.keyword``; it
+# finds less than the operator in texts without them.
 GATE = r"(?i)licen[sc]|spdx|copyright|public domain|copyleft|hereby granted|redistribution"
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
@@ -145,8 +148,37 @@ def rules() -> list[Rule]:
     ]
 
 
+_OPTIONAL = re.compile(r"\((?:[^()]|\([^()]*\))*\)\?")
+_GROUP = re.compile(r"\(([^()]*)\)(?!\?)")
+
+
+def implied_words(rule: Rule) -> list[str]:
+    """Words of which every match of the rule holds at least one.
+
+    That is the keyword if the pattern cannot match without it; else, if it
+    stands in one of several alternatives, a word of each of them; else the
+    longest word that the pattern cannot match without.
+    """
+    pattern = rule.pattern.replace("(  )?", "?").replace("  ", " ").strip()
+    needed = _OPTIONAL.sub(" ", pattern)
+
+    def plain(part: str) -> list[str]:
+        return [w for w in part.split() if re.fullmatch("[a-z0-9]+", w)]
+
+    fixed = plain(_GROUP.sub(" ", needed))
+    if rule.keyword in fixed:
+        return [rule.keyword]
+    for group in _GROUP.findall(needed):
+        words = [plain(part) for part in group.split("|")]
+        if any(rule.keyword in w for w in words) and all(words):
+            return sorted({rule.keyword if rule.keyword in w else max(w, key=len) for w in words})
+    return [max(fixed, key=len)]
+
+
 def _rule_table(spark: SparkSession) -> DataFrame:
-    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in rule._asdict().items())) for rule in rules()))
+    """The rules, once for each implied word in place of the keyword."""
+    tried = [rule._replace(keyword=word) for rule in rules() for word in implied_words(rule)]
+    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in rule._asdict().items())) for rule in tried))
     return spark.range(1).select(F.inline(rows))
 
 
@@ -168,12 +200,12 @@ def detect(docs: DataFrame) -> DataFrame:
     at once.  Only matches are shuffled, never texts.
     """
     spark = docs.sparkSession
-    gated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gated = gated.where(F.col("text").rlike(GATE)).select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), spaced_words(F.col("text")).alias("words")
+    text = F.col("text").cast("string")
+    spaced = docs.where(text.isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), spaced_words(text).alias("words")
     )
-    keywords = F.array(*(F.lit(k) for k in sorted({rule.keyword for rule in rules()})))
-    tried = gated.withColumn("keyword", F.explode(F.array_intersect(F.split("words", " +"), keywords))).join(
+    keywords = F.array(*(F.lit(k) for k in sorted({w for rule in rules() for w in implied_words(rule)})))
+    tried = spaced.withColumn("keyword", F.explode(F.array_intersect(F.split("words", " +"), keywords))).join(
         F.broadcast(_rule_table(spark)), "keyword"  # the rules above, some 60 KB
     )
     hits = tried.where(F.regexp_like("words", F.col("pattern"))).select(

@@ -1,4 +1,6 @@
+import random
 import re
+from re import _parser as parser
 
 import oracle
 
@@ -62,3 +64,47 @@ def test_against_brute_force(spark, documents, odd):
 def test_no_python_in_the_plan(spark, documents):
     plan = licenses.scan_licenses(documents([(1, "mit license")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow(?!ToRow)", plan)
+
+
+PHRASES = [
+    "Released under the GNU GPL v3.", "Distributed under the Apache 2.0", "Creative Commons Attribution 4.0", "CC0 1.0 Universal",
+    "Altered source versions must be plainly marked as such", "merchantability, fitness for a particular purpose and noninfringement",
+    "Common Development and Distribution License", "European Union Public Licence 1.2", "Open Software License 3.0",
+    "Q Public License", "Expat License", "GNU Library General Public License", "Creative Commons Zero", "CC Zero",
+    "You may not use this file except in compliance with the License.", "Do what the fuck you want to public license",
+    "This license is copied below, and is also available with a FAQ", "Creative Commons Attribution-ShareAlike 4.0",
+]
+
+
+def test_phrases_without_the_usual_words(spark, documents):
+    docs = documents([*enumerate(PHRASES), (99, "no such words")])
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan_licenses(docs).collect()}
+    for i, text in enumerate(PHRASES):
+        assert got[i] == brute(text) and got[i][5], text
+    assert got[99] == brute("no such words") and not got[99][5]
+
+
+def test_every_match_holds_an_implied_word():
+    draw = random.Random(8)
+
+    def sample(tree):
+        out = ""
+        for kind, value in tree:
+            if kind is parser.LITERAL:
+                out += chr(value)
+            elif kind is parser.IN:
+                out += chr(draw.choice(value)[1])
+            elif kind is parser.SUBPATTERN:
+                out += sample(value[3])
+            elif kind is parser.BRANCH:
+                out += sample(draw.choice(value[1]))
+            else:
+                assert kind is parser.MAX_REPEAT
+                out += "".join(sample(value[2]) for _ in range(draw.randint(value[0], value[1])))
+        return out
+
+    for rule in licenses.rules():
+        tree = parser.parse(rule.pattern)
+        for _ in range(30):
+            text = sample(tree)
+            assert re.fullmatch(rule.pattern, text) and set(licenses.implied_words(rule)) & set(text.split()), (rule, text)
