@@ -5,8 +5,9 @@ Equal vectors form one class; classes are dealt to shards of about
 of a shard does not.  In a shard the graph starts random; every vertex searches
 the graph greedily for itself, and the vertices it met are pruned: an edge to a
 vertex goes when a closer neighbour is nearer to that vertex by the factor
-``ALPHA``, which keeps edges of diverse directions.  Beam search then answers the
-queries on every shard, in blocks, and cosines in double precision on the
+``ALPHA``, which keeps edges of diverse directions.  The graphs are written once; every
+shard then meets every block of about ``QUERY_ROWS`` queries in a task of its own,
+where beam search answers the block, and cosines in double precision on the
 original vectors decide the ranks.
 
 All vertices of a batch move in step as matrix operations.
@@ -16,18 +17,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.tables import saved
 
 K = 5
-SHARD_ROWS = 4_000
+SHARD_ROWS, QUERY_ROWS = 4_000, 4_000
 DEGREE = 32
 BUILD_BEAM, SEARCH_BEAM = 48, 96
 ALPHA = 1.2
 BATCH = 256
+GRAPH_SCHEMA = "shard int, size int, place int, v array<double>, ids array<long>, links array<int>, entry boolean"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -153,7 +154,7 @@ def usable_vectors(table: DataFrame) -> DataFrame:
     return rows.where("vec_id IS NOT NULL AND v IS NOT NULL").where(~bad & F.exists(v, lambda x: x != 0.0))
 
 
-def nearest(table: DataFrame, every: int = 50, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(table: DataFrame, every: int = 50, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every query.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
@@ -172,24 +173,19 @@ def nearest(table: DataFrame, every: int = 50, k: int = K, shard_rows: int = SHA
     classes = saved(classes.withColumn("size", F.size("v")), "vectors")
     shards = max(1, -(-classes.count() // shard_rows))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(shards)).cast("int"))
-    # queries in blocks, each block once for every shard
+    graphs = dealt.select("shard", "size", "class", "v", "ids").groupBy("shard", "size").applyInArrow(_shard_graph, GRAPH_SCHEMA)
+    graphs = saved(graphs, "graphs")
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("size")).distinct()
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    left, right = shard_blocks(graphs, asked, shards, max(1, -(-asked.count() // query_rows)))
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+    def search(own: pa.Table, ask: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            for size in sorted(set(left.column("size_l").to_pylist())):
-                own = left.filter(pc.equal(left.column("size_l"), size)).sort_by("class_l")
-                ask = right.filter(pc.equal(right.column("size_r"), size)).sort_by("query_id")
-                if ask.num_rows:
-                    _search_shard(own, ask, size, k, out)
+        if own.num_rows and ask.num_rows:
+            _search_shard(own.sort_by("place"), ask.sort_by("query_id"), k, out)
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()),
                          "score": pa.array(out["score"], pa.float64())})
 
-    left = dealt.select("shard", "class", "size", "v", "ids").toDF("shard_l", "class_l", "size_l", "v_l", "ids_l")
-    right = asked.select("shard", "size", "vec_id", "v").toDF("shard_r", "size_r", "query_id", "v_r")
-    found = left.groupBy("shard_l").cogroup(right.groupBy("shard_r")).applyInArrow(
+    found = left.groupBy("shard_l", "size_l", "block_l").cogroup(right.groupBy("shard_r", "size_r", "block_r")).applyInArrow(
         search, "query_id long, vec_id long, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -198,15 +194,43 @@ def nearest(table: DataFrame, every: int = 50, k: int = K, shard_rows: int = SHA
     )
 
 
+def shard_blocks(graphs: DataFrame, asked: DataFrame, shards: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Each shard once for every block of queries, and each block once for every shard."""
+    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        F.col("shard").alias("shard_l"), F.col("size").alias("size_l"), F.col("block").alias("block_l"),
+        "place", F.col("v").alias("v_l"), F.col("ids").alias("ids_l"), "links", "entry",
+    )
+    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
+        F.col("shard").alias("shard_r"), F.col("size").alias("size_r"),
+        F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block_r"),
+        F.col("vec_id").alias("query_id"), F.col("v").alias("v_r"),
+    )
+    return left, right
+
+
+def _shard_graph(own: pa.Table) -> pa.Table:
+    """The vertices of one shard in the order of their class, with their edges."""
+    own = own.sort_by("class")
+    graph, entry = build_graph(_unit(_matrix(own.column("v"), own.column("size")[0].as_py())))
+    places = np.arange(own.num_rows, dtype=np.int32)
+    return pa.table({
+        "shard": own.column("shard"), "size": own.column("size"), "place": pa.array(places), "v": own.column("v"),
+        "ids": own.column("ids"), "links": pa.array(list(graph.astype(np.int32)), pa.list_(pa.int32())),
+        "entry": pa.array(np.isin(places, entry)),
+    })
+
+
 def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy() for c in column.chunks]).reshape(-1, size)
 
 
-def _search_shard(own: pa.Table, ask: pa.Table, size: int, k: int, out: dict[str, list]) -> None:
+def _search_shard(own: pa.Table, ask: pa.Table, k: int, out: dict[str, list]) -> None:
+    size = own.column("size_l")[0].as_py()
     vectors, queries = _matrix(own.column("v_l"), size), _matrix(ask.column("v_r"), size)
     ids = own.column("ids_l").to_pylist()
     unit, n = _unit(vectors), len(vectors)
-    graph, entry = build_graph(unit)
+    graph = _matrix(own.column("links"), DEGREE).astype(np.int64)
+    entry = np.flatnonzero(own.column("entry").to_numpy())
     for begin in range(0, len(queries), BATCH):
         block = queries[begin : begin + BATCH]
         near, _ = beam_search(unit, graph, entry, _unit(block), max(SEARCH_BEAM, len(entry)))

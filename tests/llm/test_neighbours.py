@@ -50,3 +50,18 @@ def test_pruned_graph_is_diverse():
     ids, _ = neighbours.beam_search(unit, graph, entry, unit[:100], 32)
     exact = np.argsort(-(unit[:100] @ unit.T), axis=1, kind="stable")[:, :5]
     assert sum(len(set(a[:32]) & set(b)) for a, b in zip(ids, exact)) >= 0.9 * 500
+
+
+def test_queries_meet_shards_in_blocks_of_bounded_size(spark):
+    data = table(spark, "/root/testdata/sf0.01", "embeddings")
+    whole = sorted(map(tuple, neighbours.nearest(data, every=1, shard_rows=300).collect()))
+    assert whole == sorted(map(tuple, neighbours.nearest(data, every=1, shard_rows=300, query_rows=40).collect()))
+    graphs = spark.range(10).selectExpr(
+        "cast(id % 3 as int) AS shard", "2 AS size", "cast(id as int) AS place", "array(1D, 2D) AS v", "array(id) AS ids",
+        "array(1) AS links", "true AS entry",
+    )
+    asked = spark.range(2000).selectExpr("id AS vec_id", "array(1D, 2D) AS v", "2 AS size")
+    left, right = neighbours.shard_blocks(graphs, asked, 3, 20)
+    assert left.count() == 10 * 20 and right.count() == 2000 * 3
+    sizes = [r["count"] for r in right.groupBy("shard_r", "size_r", "block_r").count().collect()]
+    assert len(sizes) == 60 and max(sizes) < 200
