@@ -1,15 +1,18 @@
-"""Benchmark items in documents, paraphrased or not, by latent semantic retrieval.
+"""Benchmark items in documents, paraphrased or not, by shared words and subsequences.
 
 1. Items are cut into passages of ``PASSAGE`` words.  The weight of a word is its
    inverse frequency over the passages of all documents.
 2. A randomised singular value decomposition of the TF-IDF passages, summed up in
    Spark tasks, gives the latent space.
-3. Stretches of a whole document that carry enough of an item's weight (found by
-   the words they share) are placed in that space in windows of ``PASSAGE`` words, one
-   every ``STEP`` words; the window nearest to the item by cosine is a candidate.
+3. Every place of a whole document is a candidate, unless too few words of the item
+   stand near it for step 4.  That is told from the item's rarest words: if
+   ``COVERED_WITH_ANSWER`` of an item is there, so is a known number of the positions
+   of any of its words but the most common ones.  Nothing step 4 takes is lost.
 4. The longest common subsequence of words between the item and the surroundings
    of a candidate decides: at least ``COVERED`` of the item, or at least
    ``COVERED_WITH_ANSWER`` when the item's last words (its answer) stand there too.
+   The cosine of the nearest window of ``PASSAGE`` words in the latent space is
+   reported with it and decides nothing.
 
 Items are sent to the tasks in chunks of at most ``CHUNK_BYTES`` of text; a larger
 benchmark takes one pass over the documents for each chunk.
@@ -30,12 +33,12 @@ from factloom.llm.tables import text_bytes
 
 PASSAGE, STEP = 32, 8
 RANK, OVERSAMPLE = 96, 16
-COSINE, CARRIED = 0.5, 0.5
 COVERED, COVERED_WITH_ANSWER = 0.75, 0.6
 ANSWER_WORDS = 5
 # Words in more than this share of the passages have no weight, unless a passage
 # of an item has fewer than MIN_RARE others.
-COMMON, MIN_RARE = 0.02, 4
+COMMON, MIN_RARE = 0.2, 4
+SHARED = 0.2  # share of an item's positions that its rarer words must give
 CHUNK_BYTES = 4 << 20
 SCHEMA = "doc_id long, item_id long, coverage double, cosine double, answer boolean"
 
@@ -96,6 +99,45 @@ def passage_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.nda
     return out[:-1], int(out[-1])
 
 
+@dataclass
+class Gate:
+    """The rarer words of the items of up to ``reach`` words.
+
+    An item of n words of which ``needed`` must be found has ``shared`` of them among
+    any n - needed + shared of its positions; ``holders`` index those of the rarest words.
+    """
+
+    reach: int
+    indptr: np.ndarray  # for each known word the items that hold it,
+    holders: np.ndarray
+    positions: np.ndarray  # and at how many positions
+    shared: np.ndarray  # for each item
+
+
+def _gates(own: list[np.ndarray], vocabulary: Vocabulary, frequency: np.ndarray) -> list[Gate]:
+    size = len(vocabulary.hashes)
+    by_reach: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    shared = np.zeros(len(own), np.int64)
+    for k, w in enumerate(own):
+        n = len(w)
+        needed = int(np.ceil(COVERED_WITH_ANSWER * n - 1e-9))
+        shared[k] = int(np.ceil(SHARED * n - 1e-9))
+        number, positions = np.unique(np.searchsorted(vocabulary.hashes, w), return_counts=True)
+        order = np.argsort(frequency[number], kind="stable")
+        number, positions = number[order], positions[order]
+        enough = np.searchsorted(np.cumsum(positions), n - needed + shared[k]) + 1
+        reach = max(PASSAGE, 1 << (n - 1).bit_length())
+        by_reach.setdefault(reach, []).append((k, number[:enough], positions[:enough]))
+    gates = []
+    for reach, rows in sorted(by_reach.items()):
+        number = np.concatenate([r[1] for r in rows])
+        order = np.argsort(number, kind="stable")
+        holders = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])[order]
+        indptr = np.searchsorted(number[order], np.arange(size + 1))
+        gates.append(Gate(reach, indptr, holders, np.concatenate([r[2] for r in rows])[order], shared))
+    return gates
+
+
 @dataclass
 class Items:
     """A chunk of items: words, passages in the latent space, and its basis."""
@@ -106,9 +148,7 @@ class Items:
     basis: np.ndarray  # known words x rank, weighted
     passages: np.ndarray  # latent passages
     owner: np.ndarray  # the item of each passage
-    indptr: np.ndarray  # for each known word the passages that hold it,
-    holders: np.ndarray
-    shares: np.ndarray  # and the share of the passage's squared weight it has
+    gates: list[Gate]
 
 
 def _cuts(n: int) -> list[tuple[int, int]]:
@@ -196,12 +236,7 @@ def read_items(docs: DataFrame, items: DataFrame) -> Items | None:
     passages = np.zeros((len(rows), basis.shape[1]), np.float32)
     for i, (k, (a, b)) in enumerate(_spans(own, vocabulary, weight)):
         passages[i] = scaled[np.searchsorted(vocabulary.hashes, own[k][a:b])].sum(axis=0)
-    words_of = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    holders = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    shares = np.square(np.concatenate([r[1] for r in rows]))
-    order = np.argsort(words_of, kind="stable")
-    indptr = np.searchsorted(words_of[order], np.arange(len(vocabulary.hashes) + 1))
-    return Items(ids, own, vocabulary, scaled, passages, np.array(owner), indptr, holders[order], shares[order])
+    return Items(ids, own, vocabulary, scaled, passages, np.array(owner), _gates(own, vocabulary, frequency))
 
 
 def _spans(own: list[np.ndarray], vocabulary: Vocabulary, weight: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
@@ -235,82 +270,97 @@ def _holds(region: np.ndarray, phrase: np.ndarray) -> bool:
     return bool(same.any())
 
 
-def _candidates(words: wordhash.Words, items: Items) -> Iterator[tuple[int, int, int, float]]:
-    """(text, first word of a window, item, cosine)."""
-    at, number = items.vocabulary.find(words.hashes)
-    live = items.basis[number].any(axis=1) if len(number) else np.zeros(0, bool)
-    at, number = at[live], number[live]
-    if not len(at):
-        return
-    # blocks of STEP words; a text begins a new stretch of PASSAGE words
-    wide = PASSAGE // STEP
-    stretches = -(-np.diff(words.first) // PASSAGE)
-    begin = np.concatenate([[0], np.cumsum(stretches)])
-    text = np.searchsorted(words.first, at, side="right") - 1
-    block = begin[text] * wide + (at - words.first[text]) // STEP
-    whose = np.append(np.repeat(np.arange(len(stretches)), stretches), [-1, -2])
-    stretch, passage = _heavy(block // wide, number, whose, items)
-    if not len(stretch):
-        return
-    starts = np.flatnonzero(np.diff(block, prepend=-1))
-    filled, total = block[starts], np.add.reduceat(items.basis[number], starts, axis=0)
-    total = np.vstack([total, np.zeros((1, total.shape[1]), np.float32)])
-    size = np.linalg.norm(items.passages, axis=1)
-    for k in range(0, len(stretch), 4096):
-        i, j = stretch[k : k + 4096], passage[k : k + 4096]
-        blocks = i[:, None] * wide + np.arange(2 * wide)
-        place = np.minimum(np.searchsorted(filled, blocks), len(filled) - 1)
-        here = (filled[place] == blocks) & (whose[blocks // wide] == whose[i][:, None])
-        run = np.cumsum(np.pad(total[np.where(here, place, len(filled))], ((0, 0), (1, 0), (0, 0))), axis=1)
-        windows = run[:, wide:] - run[:, :-wide]
-        dot = np.einsum("nkr,nr->nk", windows, items.passages[j])
-        cosine = dot / np.maximum(np.linalg.norm(windows, axis=2) * size[j][:, None], 1e-9)
-        best = cosine.argmax(axis=1)
-        near = cosine[np.arange(len(best)), best]
-        for n in np.flatnonzero(near >= COSINE):
-            t = int(whose[i[n]])
-            first = (int(i[n]) - int(begin[t])) * PASSAGE + int(best[n]) * STEP
-            yield t, int(words.first[t]) + first, int(items.owner[j[n]]), float(near[n])
-
-
-def _heavy(stretch: np.ndarray, number: np.ndarray, whose: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, passage): a stretch and the next carry enough of a passage's weight.
-
-    Only passages that share a word with a stretch are added up.
-    """
-    size = len(items.vocabulary.hashes)
-    before = stretch - 1
-    joined = (before >= 0) & (whose[before] == whose[stretch])
-    pair = np.unique(np.concatenate([stretch, before[joined]]) * size + np.concatenate([number, number[joined]]))
-    where, word = pair // size, pair % size
-    counts = items.indptr[word + 1] - items.indptr[word]
-    slot = np.repeat(items.indptr[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    key, group = np.unique(np.repeat(where, counts) * len(items.owner) + items.holders[slot], return_inverse=True)
-    mass = np.bincount(group, items.shares[slot], minlength=len(key))
-    kept = key[mass >= CARRIED]
-    return kept // len(items.owner), kept % len(items.owner)
+def _candidates(words: wordhash.Words, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(text, first word of ``reach`` places, item): where enough of the item's rarer words are near."""
+    known, number = items.vocabulary.find(words.hashes)
+    size, n_items = len(items.vocabulary.hashes), len(items.words)
+    lengths = np.diff(words.first)
+    for gate in items.gates:
+        counts = np.diff(gate.indptr)
+        some = counts[number] > 0
+        at, word = known[some], number[some]
+        if not len(at):
+            continue
+        tiles = -(-lengths // gate.reach)
+        begin = np.concatenate([[0], np.cumsum(tiles)])
+        text = np.searchsorted(words.first, at, side="right") - 1
+        tile = begin[text] + (at - words.first[text]) // gate.reach
+        # surroundings of places in a tile reach from the tile before to the second one after
+        there = np.unique(tile * size + word)
+        whose = np.append(np.repeat(np.arange(len(tiles)), tiles), [-1, -2])
+        tile = there // size
+        near = [there + d * size for d in (-2, -1, 0, 1)]
+        pair = np.unique(np.concatenate([x[whose[x // size] == whose[tile]] for x in near]))
+        # a few million postings at a time, never cutting a tile in two
+        load = np.cumsum(counts[pair % size])
+        edges = np.flatnonzero(np.diff(pair // size, prepend=-1))
+        cuts = edges[np.unique(np.searchsorted(load[edges], np.arange(0, load[-1] + 1, 4 << 20)).clip(max=len(edges) - 1))]
+        for a, b in zip(cuts, [*cuts[1:], len(pair)]):
+            where, own = pair[a:b] // size, pair[a:b] % size
+            n = counts[own]
+            slot = np.repeat(gate.indptr[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            key, group = np.unique(np.repeat(where, n) * n_items + gate.holders[slot], return_inverse=True)
+            mass = np.bincount(group, gate.positions[slot], minlength=len(key))
+            key = key[mass >= gate.shared[key % n_items]]
+            for place, k in zip((key // n_items).tolist(), (key % n_items).tolist()):
+                t = int(np.searchsorted(begin, place, side="right")) - 1
+                yield t, int(words.first[t]) + (place - int(begin[t])) * gate.reach, k
+
+
+def _cosine(region: np.ndarray, items: Items, k: int) -> float:
+    """Of the region's windows and the item's passages the nearest two."""
+    at, number = items.vocabulary.find(region)
+    vectors = np.zeros((len(region) + 1, items.basis.shape[1]), np.float32)
+    vectors[at + 1] = items.basis[number]
+    run = np.cumsum(vectors, axis=0)
+    starts = np.arange(0, max(len(region) - PASSAGE, 0) + 1, STEP)
+    windows = run[np.minimum(starts + PASSAGE, len(region))] - run[starts]
+    passages = items.passages[items.owner == k]
+    if not len(passages):
+        return 0.0
+    size = np.linalg.norm(windows, axis=1)[:, None] * np.linalg.norm(passages, axis=1)
+    return float((windows @ passages.T / np.maximum(size, 1e-9)).max())
 
 
 def _matches(words: wordhash.Words, items: Items) -> dict[tuple[int, int], tuple[float, float, bool]]:
     found: dict[tuple[int, int], tuple[float, float, bool]] = {}
-    for text, start, k, cosine in _candidates(words, items):
-        item = items.words[k]
-        if found.get((text, k), (0,))[0] == 1.0:
-            continue
-        a = max(words.first[text], start - len(item))
-        region = words.hashes[a : min(words.first[text + 1], start + PASSAGE + len(item))]
-        if np.isin(item, region).mean() < COVERED_WITH_ANSWER:
-            continue  # no common subsequence can be longer
-        coverage = common_subsequence(item, region) / len(item)
-        if coverage < COVERED_WITH_ANSWER:
+    reach = {k: gate.reach for gate in items.gates for k in np.unique(gate.holders).tolist()}
+    own = [np.searchsorted(items.vocabulary.hashes, w) for w in items.words]
+    at, known = items.vocabulary.find(words.hashes)
+    number = np.full(len(words.hashes), len(items.vocabulary.hashes))
+    number[at] = known
+    marked = np.zeros(len(items.vocabulary.hashes) + 1, bool)
+
+    def covered(k: int, low: int, high: int) -> float:
+        """The share of the item's words that stand in a region; no common subsequence is longer."""
+        marked[number[low:high]] = True
+        share = np.count_nonzero(marked[own[k]]) / len(own[k])
+        marked[number[low:high]] = False
+        return share
+
+    for text, place, k in _candidates(words, items):
+        item, n = items.words[k], len(items.words[k])
+        head, tail = int(words.first[text]), int(words.first[text + 1])
+        low, high = max(head, place - n), min(tail, place + reach[k] + PASSAGE + n)
+        if covered(k, low, high) < COVERED_WITH_ANSWER:
             continue
-        answer = _holds(region, item[-ANSWER_WORDS:])
-        if coverage >= COVERED or answer:
-            if len(item) <= ANSWER_WORDS and not _holds(region, item):
-                continue  # a few words count only as they stand
-            best = found.get((text, k))
-            if best is None or coverage > best[0]:
-                found[text, k] = (coverage, cosine, answer)
+        for start in range(place, min(place + reach[k], tail), STEP):
+            if found.get((text, k), (0,))[0] == 1.0:
+                break
+            low, high = max(head, start - n), min(tail, start + PASSAGE + n)
+            if covered(k, low, high) < COVERED_WITH_ANSWER:
+                continue
+            region = words.hashes[low:high]
+            coverage = common_subsequence(item, region) / n
+            if coverage < COVERED_WITH_ANSWER:
+                continue
+            answer = _holds(region, item[-ANSWER_WORDS:])
+            if coverage >= COVERED or answer:
+                if n <= ANSWER_WORDS and not _holds(region, item):
+                    continue  # a few words count only as they stand
+                best = found.get((text, k))
+                if best is None or coverage > best[0]:
+                    found[text, k] = (coverage, _cosine(region, items, k), answer)
     return found
 
 

@@ -49,3 +49,35 @@ def test_odd_rows_and_empty_tables(spark, odd, documents):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, benchmark).collect()] == [(None, 1)]
     assert decontaminate.contaminated(odd, benchmark.limit(0)).collect() == []
     assert decontaminate.contaminated(documents([]), benchmark).collect() == []
+
+
+def test_paraphrases_without_the_rarest_words(spark, documents):
+    draw = random.Random(9)
+    common = ["".join(draw.choice("etaoinshrdlu") for _ in range(5)) for _ in range(60)]
+    rare = [f"rare{i}" for i in range(400)]
+    # a quarter of an item's words is rare and carries most of its weight
+    items = [[draw.choice(common) for _ in range(n)] for n in (24, 40, 100)]
+    for i, item in enumerate(items):
+        for j in range(len(item) // 4):
+            item[4 * j + 1] = rare[30 * i + j]
+    prose = lambda n: [draw.choice(common) if draw.random() < 0.5 else draw.choice(rare[120:]) for _ in range(n)]
+    rows = [prose(150) + [w if w in common else "other" for w in item] + prose(150) for item in items]
+    spread = [w for j, w in enumerate(items[1][:24] + items[1][24:]) for w in ([w, "between"] if j % 2 else [w])]
+    rows += [prose(90) + spread + prose(90), prose(60), [w for w in items[0] if w not in common] + prose(80)]
+    rows += [prose(120) for _ in range(60)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(documents([(i, " ".join(w)) for i, w in enumerate(rows)]), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (1, 1), (2, 2), (3, 1)}
+
+
+def test_gate_keeps_what_a_subsequence_can_cover():
+    draw = np.random.default_rng(6)
+    for _ in range(300):
+        words = np.sort(draw.choice(1 << 62, 40, replace=False).astype(np.uint64))
+        item = draw.choice(words, draw.integers(1, 30))
+        vocabulary = decontaminate.Vocabulary(np.unique(item))
+        (gate,) = decontaminate._gates([item], vocabulary, draw.integers(0, 9, len(vocabulary.hashes)))
+        kept = np.unique(item[draw.permutation(len(item))[: int(np.ceil(decontaminate.COVERED_WITH_ANSWER * len(item) - 1e-9))]])
+        number = np.searchsorted(vocabulary.hashes, kept)
+        mass = sum(gate.positions[gate.indptr[w] : gate.indptr[w + 1]].sum() for w in number)
+        assert mass >= gate.shared[0] >= 1
