@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import (
-    bpe, decontaminate, jaccard, language, licenses, lines, neighbours, quality, suffixes, toxicity,
+    bpe, decontaminate, filter_audit, jaccard, language, licenses, lines, neighbours, quality, suffixes, toxicity,
 )
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
@@ -77,3 +77,8 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf, "documents"))
+
+
+@query("op11_filter_audit", filter_audit.audit_sql())
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
