@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import (
-    bpe, decontaminate, filter_audit, jaccard, language, licenses, lines, neighbours, quality, suffixes, toxicity,
+    bpe, decontaminate, filter_audit, jaccard, language, licenses, lines, neighbours, prefix_trie, quality, suffixes, toxicity,
 )
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
@@ -82,3 +82,8 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_filter_audit", filter_audit.audit_sql())
 def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op12_prefix_trie", prefix_trie.trie_sql())
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations")).drop("node")
