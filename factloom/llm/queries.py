@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import (
-    bpe, decontaminate, filter_audit, jaccard, language, licenses, lines, neighbours, prefix_trie, quality, suffixes, toxicity,
+    bpe, collisions, decontaminate, filter_audit, jaccard, language, licenses, lines, neighbours, prefix_trie, quality, suffixes, toxicity,
 )
 from factloom.llm.tables import crc_mod, table
 from workloads.registry import Registry
@@ -87,3 +87,8 @@ def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_prefix_trie", prefix_trie.trie_sql())
 def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf, "conversations")).drop("node")
+
+
+@query("op13_near_vectors")
+def op13_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return collisions.near_vectors(table(spark, sf, "embeddings"))
