@@ -40,6 +40,11 @@ def to_batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pandas(frame[schema.names], schema=schema, preserve_index=False)
 
 
+def rough_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of both, by a matrix product."""
+    return np.square(x).sum(axis=1)[:, None] + np.square(y).sum(axis=1)[None, :] - 2.0 * (x @ y.T)
+
+
 def keep_best(frame: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest per request; equal distances are ordered by id."""
     return (

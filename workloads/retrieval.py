@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import defaults
-from factloom.operators import context, nearest
+from factloom.operators import context, inverted_file, nearest
 from workloads.registry import Registry
 from workloads.render import spread_table, table
 
@@ -88,6 +88,41 @@ def knn_lsh(spark: SparkSession, sf: str) -> DataFrame:
     return nearest.nearest_approximate(own_label_requests(spark, sf), vector_index(spark, sf))
 
 
+def _stored(spark: SparkSession, sf: str) -> inverted_file.Stored:
+    index = vector_index(spark, sf)
+    return inverted_file.store_index(index, inverted_file.fit_cells(index))
+
+
+@query("knn_stored", _OWN)
+def knn_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lookups over an index that is stored in blocks and read in place."""
+    return _shown(inverted_file.nearest_stored(own_label_requests(spark, sf), _stored(spark, sf)))
+
+
+@query("knn_inverted", """
+SELECT vec_id AS request_id, least(5, count(*) OVER (PARTITION BY label)) AS n_found, true AS distances_exact, true AS recall_reached
+FROM embeddings""")
+def knn_inverted(spark: SparkSession, sf: str) -> DataFrame:
+    """Approximate lookups in the nearest cells, held against the exact ones.
+
+    Per request the number of records found and whether their distances are exact, and
+    whether all requests together find at least 95 of 100 true neighbours.
+    """
+    stored, requests = _stored(spark, sf), own_label_requests(spark, sf)
+    found = inverted_file.nearest_stored(requests, stored, probes=stored.cells.probes).select("request_id", "id", "dist")
+    exact = inverted_file.nearest_stored(requests, stored).select("request_id", "id", F.col("dist").alias("wanted"))
+    asked = requests.select("request_id", F.col("embedding").alias("a"))
+    kept = vector_index(spark, sf).select("id", F.col("embedding").alias("b"))
+    measured = found.join(asked, "request_id").join(kept, "id").join(exact, ["request_id", "id"], "left")
+    same = F.abs(F.col("dist") - nearest.squared_distance(F.col("a"), F.col("b"))) < 1e-9
+    counted = measured.groupBy("request_id").agg(
+        F.count("*").alias("n_found"), F.every(same).alias("distances_exact"), F.count("wanted").alias("hits")
+    )
+    total = counted.agg(F.sum("hits").alias("hits")).join(exact.agg(F.count("*").alias("all")))
+    reached = total.select((F.col("hits") >= F.col("all") * 0.95).alias("recall_reached"))
+    return counted.join(reached).select("request_id", "n_found", "distances_exact", "recall_reached")
+
+
 _CONTEXT_SQL = _KNN_SQL.format(shift=1) + """,
 contexts AS (
   SELECT vec_id AS request_id, label,
