@@ -65,6 +65,8 @@ ALLOWED_TOOLS = {
     "agent_web": ("web_search",),
 }
 KNOWN_TOOLS = ("get_related_info", "web_search", "calculate_dti")
+# The arguments that a tool takes, all of them needed.
+TOOL_ARGUMENTS = {"get_related_info": ("query", "table"), "web_search": ("query",), "calculate_dti": ()}
 
 # The line items that may be asked for, per statement.
 KEYWORDS = {

@@ -119,15 +119,56 @@ def nearest_in_block(
     return pd.concat(results, ignore_index=True)
 
 
+def _spelled(found: dict) -> str:
+    """Half of a surrogate pair is no character; it keeps the escape it came as."""
+    return json.dumps(found, ensure_ascii=False, sort_keys=True).encode("utf-8", "backslashreplace").decode()
+
+
 def spelled_object(text: str | None) -> str | None:
     """A JSON object in its one spelling; None for anything else."""
     try:
         found = json.loads(text)
-        return json.dumps(found, ensure_ascii=False, sort_keys=True) if isinstance(found, dict) else None
+        return _spelled(found) if isinstance(found, dict) else None
     except (TypeError, ValueError, RecursionError):
         return None
 
 
+def with_fields(text: str | None, fields: dict, without: str) -> str | None:
+    """The object with some fields set and one left out, in its one spelling."""
+    if text is None:
+        return None
+    found = json.loads(text) | fields
+    found.pop(without, None)
+    return _spelled(found)
+
+
+def call_outcomes(batches, step: str, key: str, first: str, fails: str, out: str):
+    """Runs through calls sorted by run and place, and adds what becomes of each.
+
+    A call that its run has made before is ``blocked``; one that ``fails`` is an ``error``;
+    a follow-up is ``skipped`` unless its primary call was ``ok``.  Only the calls that
+    the current run has made are kept.
+    """
+    run, made, went = object(), set(), False
+    for batch in batches:
+        rows = (batch.column(c).to_pylist() for c in (step, key, first, fails))
+        outcomes = []
+        for current, signature, primary, failing in zip(*rows):
+            if current != run:
+                run, made, went = current, set(), False
+            if not primary and not went:
+                outcome = "skipped"
+            elif signature in made:
+                outcome = "blocked"
+            else:
+                made.add(signature)
+                outcome = "error" if failing else "ok"
+            if primary:
+                went = outcome == "ok"
+            outcomes.append(outcome)
+        yield batch.append_column(out, pa.array(outcomes, pa.string()))
+
+
 class Vocabulary:
     """One table's keywords, ready to find the closest one to a word."""
 

@@ -96,7 +96,8 @@ def result_history(made: DataFrame) -> DataFrame:
 def arguments_json(json: Column) -> Column:
     """One spelling for equal JSON objects: keys sorted and ', ' and ': ' between
     the parts at every depth; NULL if the text is not a single object.  Numbers
-    keep their kind and all their digits, so 1, 1.0 and "1" differ."""
+    keep their kind and all their digits, so 1, 1.0 and "1" differ; of a name that
+    repeats the last value counts; half a surrogate pair stays an escape."""
     spelled = kernels.spelled_object
 
     @F.pandas_udf("string")

@@ -34,7 +34,7 @@ def _or_empty(strings: Column) -> Column:
     return F.coalesce(strings, F.array().cast("array<string>"))
 
 
-def _targets(targets: Column) -> Column:
+def plan_targets(targets: Column) -> Column:
     return F.coalesce(targets, F.array().cast(_NO_TARGETS))
 
 
@@ -50,7 +50,7 @@ def canonical_plans(plans: DataFrame, canon: Mapping[str, str] = TABLE_CANON) ->
     ).withColumn(
         "targets",
         F.transform(
-            _targets(F.col("targets")),
+            plan_targets(F.col("targets")),
             lambda t: F.struct(
                 canonical_name(t["table"], canon).alias("table"),
                 _or_empty(t["keywords"]).alias("keywords"),
@@ -82,7 +82,7 @@ def selected_targets(plans: DataFrame) -> DataFrame:
         F.transform(
             "selected",
             lambda t: F.struct(
-                t.alias("table"), _keywords_of(_targets(F.col("targets")), t).alias("keywords")
+                t.alias("table"), _keywords_of(plan_targets(F.col("targets")), t).alias("keywords")
             ),
         ),
     )
@@ -169,7 +169,7 @@ def dispatch_rows(
 
     Plans need run_id, targets, company, time_hint, need_web, user_query.
     """
-    targets = _targets(F.col("targets"))
+    targets = plan_targets(F.col("targets"))
     tables = F.array_distinct(
         F.transform(targets, lambda t: strip(F.coalesce(t["table"], F.lit(""))))
     )
@@ -226,9 +226,9 @@ def lookup_requests(
     ones, up to ``lookups`` in all, ``followup`` lookups.  Without a keyword
     the lookup is ``blocked`` and the note says so.
     """
-    table = F.coalesce(_own_table(F.col("agent"), workers), F.col("table"), F.lit(""))
+    table = F.coalesce(own_table(F.col("agent"), workers), F.col("table"), F.lit(""))
     matching = F.filter(
-        _targets(F.col("targets")),
+        plan_targets(F.col("targets")),
         lambda t: table_compare_form(t["table"]) == table_compare_form(F.col("own_table")),
     )
     keywords = F.slice(unique_words(F.get(matching, F.lit(0))["keywords"]), 1, lookups)
@@ -267,7 +267,7 @@ def lookup_requests(
     )
 
 
-def _own_table(agent: Column, workers: Mapping[str, str]) -> Column:
+def own_table(agent: Column, workers: Mapping[str, str]) -> Column:
     return F.try_element_at(string_map({w: t for t, w in workers.items()}), agent)
 
 

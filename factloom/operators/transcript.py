@@ -76,12 +76,19 @@ def turn_actions(turns: DataFrame, text_col: str = "text") -> DataFrame:
                 "Failed to parse ARGUMENTS JSON",
             ),
         )
-        .withColumn("args", F.coalesce(single_object(F.col("_spelled"), "map<string,string>"), no_args))
+        .withColumn("args", F.coalesce(_arguments(F.col("_spelled")), no_args))
         .withColumn("args_json", F.coalesce("_spelled", F.lit("{}")))
         .drop("_raw", "_spelled")
     )
 
 
+def _arguments(spelled: Column) -> Column:
+    """Argument texts by name; numbers without a value are spelled without quotes."""
+    unquoted = {f'"{x}"': x for x in ("NaN", "Infinity", "-Infinity")}
+    found = single_object(spelled, "map<string,string>")
+    return F.transform_values(found, lambda _, v: F.coalesce(F.try_element_at(string_map(unquoted), v), v))
+
+
 def turn_answers(turns: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``answer``, NULL where the turn has none."""
     return turns.withColumn("answer", answer_text(F.col(text_col)))
@@ -140,9 +147,14 @@ def _one_of(value: Column, allowed: Sequence[str]) -> Column:
 
 
 def _with_object(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``_block``, the JSON text in a reply, and ``_v``, its object."""
+    """Adds ``_block``, the JSON text in a reply, and ``_v``, its object.
+
+    What cannot be read as it stands may still repeat a name, whose last value counts.
+    """
     out = df.withColumn("_block", json_block(F.col(text_col)))
-    return out.withColumn("_v", single_object(F.col("_block"), "variant"))
+    out = out.withColumn("_v", single_object(F.col("_block"), "variant"))
+    spelled = out.withColumn("_again", arguments_json(F.when(F.col("_v").isNull(), F.col("_block"))))
+    return spelled.withColumn("_v", F.coalesce("_v", single_object(F.col("_again"), "variant"))).drop("_again")
 
 
 def _error(refused: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import defaults
-from factloom.operators import context, inverted_file, nearest
+from factloom.operators import calls, context, inverted_file, nearest
 from workloads.registry import Registry
 from workloads.render import spread_table, table
 
@@ -248,3 +248,63 @@ def tool_policy(spark: SparkSession, sf: str) -> DataFrame:
     extra = defaults.literal_table(spark, "agent tool", [("agent_cf", "send_mail")])
     allowed = defaults.allowed_tools(spark).unionByName(extra)
     return context.checked_calls(calls, allowed, row_id=["seq"]).drop("error")
+
+
+# A turn of a run: by its kind a blank, a lookup with or without arguments, a tool that the
+# worker may not use, arguments that a tool does not take, or no action at all.  The plan of
+# a run changes with every other turn, so that a follow-up may come back as a primary call.
+_KIND_SQL = "((conv_id + turn * 5 + turn) % 9)"
+_FIRST_SQL, _SECOND_SQL = "'k' || ((turn DIV 2) % 3)", "'k' || ((turn DIV 2 + 1) % 3)"
+
+
+def planned_turns(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.expr(_KIND_SQL)
+    says = {
+        0: " ", 2: "ACTION: get_related_info", 3: 'ACTION: web_search\nARGUMENTS: {"query": "w"}',
+        4: 'ACTION: get_related_info\nARGUMENTS: {"n": 1, "query": "x"}', 5: "Nothing to do",
+    }
+    text = F.lit('ACTION: get_related_info\nARGUMENTS: {"query": "mine", "table": "other"}')
+    for k, said in says.items():
+        text = F.when(kind == k, F.lit(said)).otherwise(text)
+    words = F.when(F.col("conv_id") % 11 == 0, F.array().cast("array<string>")).otherwise(
+        F.array(F.expr(_FIRST_SQL), F.lit(" "), F.expr(_SECOND_SQL))
+    )
+    target = F.struct(F.lit(f" {defaults.BALANCE_SHEET.lower()} ").alias("table"), words.alias("keywords"))
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"), F.lit("agent_bs").alias("agent"),
+        F.when(kind == 0, text).otherwise(F.concat("text", F.lit("\n"), text)).alias("text"), F.array(target).alias("targets"),
+    )
+
+
+@query("call_step", f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS run_id, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step, conv_id % 11 = 0 AS bare,
+    {_KIND_SQL} AS kind, {_FIRST_SQL.replace("DIV", "//")} AS k1, {_SECOND_SQL.replace("DIV", "//")} AS k2 FROM conversations),
+folded AS (
+  SELECT run_id, 0::BIGINT AS step, []::VARCHAR[] AS made, ''::VARCHAR AS first, ''::VARCHAR AS second, ''::VARCHAR AS k1, ''::VARCHAR AS k2, 0::BIGINT AS seq, 0::BIGINT AS kind
+    FROM (SELECT DISTINCT run_id FROM turns)
+  UNION ALL
+  SELECT run_id, step, CASE WHEN first IN ('ok', 'error') THEN list_append(made, own1) ELSE made END
+      || CASE WHEN second = 'ok' THEN [own2] ELSE []::VARCHAR[] END, first, second, k1, k2, seq, kind
+  FROM (SELECT *, CASE WHEN first <> 'ok' THEN 'skipped' WHEN list_contains(made, own2) THEN 'blocked' ELSE 'ok' END AS second
+    FROM (SELECT *, CASE WHEN kind = 0 THEN 'no_response' WHEN kind = 5 THEN 'no_action' WHEN kind = 3 THEN 'not_allowed'
+        WHEN bare THEN 'no_keywords' WHEN list_contains(made, own1) THEN 'blocked' WHEN kind = 4 THEN 'error' ELSE 'ok' END AS first
+      FROM (SELECT t.run_id, t.step, f.made, t.k1, t.k2, t.seq, t.kind, t.bare,
+          CASE WHEN t.kind = 4 THEN 'n' ELSE '' END || t.k1 AS own1, CASE WHEN t.kind = 4 THEN 'n' ELSE '' END || t.k2 AS own2
+        FROM folded f JOIN turns t ON t.run_id = f.run_id AND t.step = f.step + 1)))),
+calls AS (
+  SELECT run_id, seq, kind, 'primary' AS call, first AS outcome, CASE WHEN first IN ('ok', 'blocked', 'error') THEN k1 END AS query FROM folded WHERE step > 0
+  UNION ALL SELECT run_id, seq, kind, 'followup', second, k2 FROM folded WHERE step > 0 AND second <> 'skipped'),
+told AS (SELECT *, CASE WHEN query IS NOT NULL THEN
+    '{{' || CASE WHEN kind = 4 THEN '"n": 1, ' ELSE '' END || '"query": "' || query || '", "table": "{defaults.BALANCE_SHEET}"}}' END AS args FROM calls)
+SELECT run_id, seq, call AS kind, outcome, query, CASE outcome
+  WHEN 'no_response' THEN '[No worker response found for agent_bs]'
+  WHEN 'no_action' THEN '[No valid tool action by agent_bs: No ACTION block found]'
+  WHEN 'not_allowed' THEN '[Tool ''web_search'' NOT allowed for agent_bs]'
+  WHEN 'no_keywords' THEN '[Tool blocked: no keywords in plan for table={defaults.BALANCE_SHEET}]'
+  WHEN 'blocked' THEN '[Tool call blocked: repeated identical call: get_related_info args=' || args || ']'
+  WHEN 'error' THEN '[Tool error: get_related_info failed: TypeError: get_related_info() got an unexpected keyword argument ''n'']' END AS note
+FROM told""")
+def call_step(spark: SparkSession, sf: str) -> DataFrame:
+    made = calls.call_step(planned_turns(spark, sf), defaults.allowed_tools(spark))
+    return made.select("run_id", "seq", "kind", "outcome", "query", "note")

@@ -229,3 +229,26 @@ def trace_events(spark: SparkSession, sf: str) -> DataFrame:
         F.col("data")["value"].alias("data_value"), F.col("data")["props"].alias("data_props"),
         F.size("data").alias("n_data"),
     )
+
+
+# Arguments and decisions that are no plain JSON, by the place of a turn: half a surrogate
+# pair, a name that repeats, a number without a value, text after the object.
+_ODD = (r'{"a": "\ud800", "b": "\u00e9"}', '{"a": 1, "a": [2.0, "2"]}', '{"b": -Infinity, "a": NaN}', '{"a": 1} and more', '{"answer": "a", "answer": "b"}')
+
+
+@query("odd_json", r"""
+SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '{"a": "\ud800", "b": "é"}' WHEN 1 THEN '{"a": [2.0, "2"]}'
+    WHEN 2 THEN '{"a": NaN, "b": -Infinity}' WHEN 4 THEN '{"answer": "b"}' ELSE '{}' END AS args_json,
+  CASE turn % 5 WHEN 1 THEN '[2.0,"2"]' WHEN 2 THEN 'NaN' END AS arg_a, CASE turn % 5 WHEN 2 THEN '-Infinity' WHEN 0 THEN 'é' END AS arg_b,
+  CASE WHEN turn % 5 = 4 THEN 'b' ELSE '' END AS answer
+FROM conversations""")
+def odd_json(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.element_at(F.array(*(F.lit(x) for x in _ODD)), (F.col("turn") % 5 + 1).cast("int"))
+    made = spread_table(spark, sf, "conversations", "conv_id").select(
+        "conv_id", "turn", F.concat("text", F.lit("\nACTION: web_search\nARGUMENTS: "), said).alias("text"), said.alias("reply")
+    )
+    read = transcript.turn_actions(made)
+    decided = transcript.parsed_decisions(read.drop("error"), "reply")
+    # half a surrogate pair has no text of its own
+    arg_a = F.when(F.col("turn") % 5 != 0, F.try_element_at("args", F.lit("a")))
+    return decided.select("conv_id", "turn", "args_json", arg_a.alias("arg_a"), F.try_element_at("args", F.lit("b")).alias("arg_b"), "decision.answer")
