@@ -10,7 +10,6 @@ from __future__ import annotations
 import difflib
 import json
 import sys
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -169,38 +168,13 @@ def call_outcomes(batches, step: str, key: str, first: str, fails: str, out: str
         yield batch.append_column(out, pa.array(outcomes, pa.string()))
 
 
-class Vocabulary:
-    """One table's keywords, ready to find the closest one to a word."""
-
-    def __init__(self, words):
-        self.words = sorted(set(words))
-        letters = sorted({ch for w in self.words for ch in w})
-        self.letter = {ch: i for i, ch in enumerate(letters)}
-        self.lengths = np.array([len(w) for w in self.words])
-        self.counts = np.zeros((len(self.words), len(letters)), dtype=np.int32)
-        for i, w in enumerate(self.words):
-            for ch, n in Counter(w).items():
-                self.counts[i, self.letter[ch]] = n
-
-    def closest(self, word: str, cutoff: float) -> tuple[str | None, float | None]:
-        """Best Ratcliff/Obershelp match of at least ``cutoff``; among equals
-        the largest string.  Shared letters bound the ratio from above, so
-        only keywords that could reach the cutoff are compared."""
-        have = np.zeros(self.counts.shape[1], dtype=np.int32)
-        for ch, n in Counter(word).items():
-            if ch in self.letter:
-                have[self.letter[ch]] = n
-        total = self.lengths + len(word)
-        bound = 2.0 * np.minimum(self.counts, have).sum(axis=1) / np.maximum(total, 1)
-        best: tuple[float, str] | None = None
-        matcher = difflib.SequenceMatcher()
-        matcher.set_seq2(word)
-        for i in np.argsort(-bound, kind="stable"):
-            floor = cutoff if best is None else max(cutoff, best[0])
-            if bound[i] < floor - 1e-12:
-                break
-            matcher.set_seq1(self.words[i])
-            ratio = matcher.ratio()
-            if ratio >= cutoff and (best is None or (ratio, self.words[i]) > best):
-                best = (ratio, self.words[i])
-        return (best[1], best[0]) if best else (None, None)
+def ratios(words, entries) -> list[float]:
+    """Ratcliff/Obershelp ratio of each pair; what is known of a word is kept for the next."""
+    matcher, last, out = difflib.SequenceMatcher(), None, []
+    for word, entry in zip(words, entries):
+        if word != last:
+            matcher.set_seq2(word)
+            last = word
+        matcher.set_seq1(entry)
+        out.append(matcher.ratio())
+    return out

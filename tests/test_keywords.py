@@ -11,10 +11,8 @@ def words(rng, n):
     return ["".join(rng.choices("abcde -é", k=rng.randint(1, 14))).strip() or "x" for _ in range(n)]
 
 
-@pytest.mark.parametrize(
-    "options", [{}, {"max_broadcast": 0}, {"max_broadcast": 0, "block_keywords": 20, "block_dictionary": 15}]
-)
-@pytest.mark.parametrize("cutoff", [0.6, 0.88])
+@pytest.mark.parametrize("options", [{}, {"grams": 1}])
+@pytest.mark.parametrize("cutoff", [0.6, 0.75, 0.88])
 def test_closest_equals_difflib(spark, options, cutoff):
     rng = random.Random(2)
     entries = {"T": sorted(set(words(rng, 120))), "U": ["ab", "ba", "aab"]}
@@ -31,6 +29,39 @@ def test_closest_equals_difflib(spark, options, cutoff):
         assert got.get((tbl, word)) == (best[0] if best else None), (tbl, word)
 
 
+def test_candidates_lose_nothing_and_are_few(spark):
+    """Every pair at or above the cutoff is a candidate; most pairs below it are not."""
+    rng = random.Random(9)
+    entries = sorted({" ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(rng.randint(1, 4))) for _ in range(150)})
+    asked = []
+    for e in entries:
+        chars = list(e)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(chars) + 1)
+            chars[at : at + rng.randint(0, 2)] = rng.choices("abcxyz ", k=rng.randint(0, 2))
+        asked.append("".join(chars) or "x")
+    d = spark.createDataFrame([("T", k) for k in entries], "tbl string, keyword string")
+    w = spark.createDataFrame([("T", a) for a in asked], "tbl string, normalized string")
+    for cutoff in (0.72, 0.88, 0.95):
+        got = {(r.normalized, r.keyword) for r in keywords.candidate_keywords(w, d, cutoff).distinct().collect()}
+        wanted = {(a, e) for a in asked for e in entries if difflib.SequenceMatcher(None, e, a).ratio() >= cutoff}
+        assert wanted <= got and len(got) < 0.1 * len(asked) * len(entries), cutoff
+
+
+def test_no_driver_collect_and_few_exchanges(spark):
+    """Each distinct word is checked once; the plan is made without a job."""
+    rows = [(i, defaults.BALANCE_SHEET, f"hàng tồn kho{i % 3}") for i in range(30)]
+    asked = spark.createDataFrame(rows, "pos int, tbl string, raw string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan only", "plan only")
+    try:
+        out = keywords.validated_keywords(asked, defaults.keyword_dictionary(spark), defaults.keyword_aliases(spark), row_id=["pos"])
+        assert len(tracker.getJobIdsForGroup("plan only")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.status for r in out.orderBy("pos").collect()] == ["repaired"] * 30
+
+
 def test_long_words_follow_difflib(spark):
     rng = random.Random(4)
     base = ["".join(rng.choices("abcdefgh ", k=260)) for _ in range(6)]

@@ -147,11 +147,8 @@ def keyword_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("keyword_fuzzy_partitioned", _FUZZY_SQL)
 def keyword_fuzzy_partitioned(spark: SparkSession, sf: str) -> DataFrame:
-    """The same matches with words and dictionary cut into small blocks."""
-    found = keywords.closest_keywords(
-        _misspelt(spark, sf), dictionary(spark, sf),
-        max_broadcast=0, block_keywords=40, block_dictionary=25,
-    )
+    """The same matches, their candidates found by letters in place of pairs of letters."""
+    found = keywords.closest_keywords(_misspelt(spark, sf), dictionary(spark, sf), grams=1)
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
