@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from factloom.operators.facts import extract_facts
 from factloom.operators.records import embed_text, retrieval_records
 from factloom.schemas import FACTS
-from factloom.sources.store import append_facts, by_heading, pending_documents
+from factloom.sources.store import append_facts, by_heading, pending_documents, stored_rows
 
 
 def build_facts(documents: DataFrame, path: str) -> None:
     """Add the facts of documents that have none yet to the folder ``path``."""
-    spark = documents.sparkSession
-    try:
-        documents = pending_documents(documents, spark.read.schema(FACTS).parquet(path))
-    except AnalysisException:  # nothing stored yet
-        pass
+    documents = pending_documents(documents, stored_rows(documents.sparkSession, path, FACTS))
     append_facts(extract_facts(documents), path)
 
 

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.facts import LINEAGE
@@ -48,13 +48,27 @@ def drop_table(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
+def stored_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The rows under ``path``, none if nothing is stored there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def unseen(new: DataFrame, existing: DataFrame, keys: Sequence[str] = LINEAGE) -> DataFrame:
-    """Rows of ``new`` whose key is not yet in ``existing``.
+    """Rows of ``new`` whose key is not yet in ``existing``, once each.
 
-    The key is a fact's place in its document, so no key repeats and the
-    anti-join spreads evenly; only the key columns of ``existing`` are read.
+    The key is a fact's place in its document, and a NULL in it is a value like any other;
+    only the key columns of ``existing`` are read.
     """
-    return new.join(existing.select(*keys), list(keys), "left_anti")
+    known = existing.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return new.dropDuplicates(list(keys)).join(known, same, "left_anti")
 
 
 def append_facts(facts: DataFrame, path: str, dedupe: bool = True) -> None:
@@ -62,8 +76,8 @@ def append_facts(facts: DataFrame, path: str, dedupe: bool = True) -> None:
     spark = facts.sparkSession
     columns = FACTS.fieldNames()
     out = facts.select(*columns)
-    if dedupe and _has_data(spark, path):
-        out = unseen(out, spark.read.schema(FACTS).parquet(path)).select(*columns)
+    if dedupe:
+        out = unseen(out, stored_rows(spark, path, FACTS)).select(*columns)
     out.write.mode("append").parquet(path)
 
 
@@ -71,13 +85,6 @@ def reset_facts(facts: DataFrame, path: str) -> None:
     facts.select(*FACTS.fieldNames()).write.mode("overwrite").parquet(path)
 
 
-def _has_data(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.schema(FACTS).parquet(path).inputFiles())
-    except AnalysisException:
-        return False
-
-
 def has_facts(facts: DataFrame) -> bool:
     """Stops at the first row found."""
     return not facts.isEmpty()
@@ -125,20 +132,19 @@ def write_index(index: DataFrame, path: str) -> None:
 
 
 def append_index(records: DataFrame, path: str) -> None:
-    """Add the records whose id is not stored yet; stored files stay as they are.
+    """Add the records whose id is not stored yet, each id once; stored files stay as they are.
 
-    A record keeps its heading, so only the ids of the headings at hand are
-    read, by the statistics of the files.
+    A record keeps its heading, so only ids under the headings at hand are compared.  Of
+    several records with one id the one with the smallest hash is added.
     """
-    spark = records.sparkSession
-    try:
-        stored = spark.read.schema(records.schema).parquet(path)
-        headings = records.select("heading").distinct()
-        known = stored.select("heading", "id").join(headings, "heading", "left_semi").select("id")
-        records = records.join(known, "id", "left_anti").select(*records.columns)
-    except AnalysisException:  # nothing stored yet
-        pass
-    by_heading(records).write.mode("append").parquet(path)
+    plain = [c for c, kind in records.dtypes if "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy("id").orderBy(F.xxhash64(*plain))
+    once = records.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    stored = stored_rows(records.sparkSession, path, records.schema).select(F.col("id").alias("_id"), F.col("heading").alias("_heading"))
+    headings = records.select(F.col("heading").alias("_wanted")).distinct()
+    known = stored.join(headings, stored["_heading"].eqNullSafe(headings["_wanted"]), "left_semi").select("_id")
+    fresh = once.join(known, once["id"].eqNullSafe(known["_id"]), "left_anti").select(*records.columns)
+    by_heading(fresh).write.mode("append").parquet(path)
 
 
 def index_consistency(facts: DataFrame, index: DataFrame) -> DataFrame:

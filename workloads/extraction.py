@@ -9,7 +9,7 @@ from factloom.defaults import BALANCE_SHEET, STATEMENTS, literal_table
 from factloom.functions.text import clean_label, is_value
 from factloom.operators import blocks, facts, metrics, records
 from factloom.schemas import FACTS
-from factloom.sources import store
+from factloom.sources import index_store, ledger, store
 from factloom.sources.documents import load_documents
 from workloads.registry import Registry
 from workloads.render import (
@@ -341,6 +341,37 @@ def index_append(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "heading", "document")
 
 
+@query("index_delete", f"""{STATEMENT_FACTS_SQL}
+SELECT concat_ws(':', doc_id, table_id, row_id, col_id) AS id, heading, {_TEXT_SQL} AS document FROM facts
+WHERE table_id <> 0 OR doc_id % 2 = 1""")
+def index_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """All records, then without those of the first table, then half of these once more."""
+    path = store.shared_folder(spark)
+    index_store.append_records(records.retrieval_records(statement_facts(spark, sf)), path)
+    first = _balance_sheet_facts(spark, sf)
+    index_store.delete_records(records.retrieval_records(first), path)
+    for _ in range(2):
+        index_store.append_records(records.retrieval_records(first.where("doc_id % 2 = 1")), path)
+    return index_store.read_records(spark, path).select("id", "heading", "document")
+
+
+@query("fact_ledger", f"""{STATEMENT_FACTS_SQL}, counted AS (SELECT doc_id, count(*) AS n FROM facts GROUP BY doc_id)
+SELECT c_custkey AS doc_id, coalesce(n, 0) AS n_facts, coalesce(n, 0) AS n_stored,
+  CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS batch FROM customer LEFT JOIN counted ON doc_id = c_custkey""")
+def fact_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the documents, then all of them twice, then the second batch again."""
+    path = store.shared_folder(spark)
+    statement_documents(spark, sf).write.parquet(f"{path}/arrived")
+    docs = spark.read.parquet(f"{path}/arrived")
+    third = docs.where("doc_id % 3 = 0")
+    for number, batch in ((1, third), (2, docs.unionByName(docs)), (2, docs)):
+        ledger.append_batch(batch, path, number)
+    stored = ledger.ledger_facts(spark, path).groupBy("doc_id").agg(F.count("*").alias("stored"))
+    return ledger.known_documents(spark, path).join(stored, "doc_id", "left").select(
+        "doc_id", "n_facts", F.coalesce("stored", F.lit(0)).alias("n_stored"), "batch"
+    )
+
+
 @query("stored_lookup", f"""{STATEMENT_FACTS_SQL}
 SELECT company, heading, item_name, value, source FROM facts WHERE heading = 'BÁO CÁO LƯU CHUYỂN TIỀN TỆ'""")
 def stored_lookup(spark: SparkSession, sf: str) -> DataFrame:
