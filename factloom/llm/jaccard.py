@@ -15,7 +15,7 @@
 5. Only connectivity is asked for, so a few rounds first compare each set with the
    one set of another component that shares most of its prefix; all sets that
    share a prefix shingle across components are compared afterwards, as trees of
-   bounded blocks of sets.
+   bounded blocks of sets, and every two blocks meet at most once.
 
 Equality of shingles and sets is that of 64-bit and 128-bit hashes.
 """
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import wordhash
@@ -240,8 +240,10 @@ def _best_partner(prefix: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b")
 
 
-def cross_links(ids: list[int], sizes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between different parts among some sets, enough to connect them.
+def cross_links(
+    ids: list[int], sizes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Links between different parts (and ``sides``) among some sets, enough to connect them.
 
     The prefix tree of all sets is walked level by level, common shingles first:
     each level adds its shingles to the overlaps of all pairs at once, and a pair
@@ -260,6 +262,8 @@ def cross_links(ids: list[int], sizes: np.ndarray, parts: np.ndarray, sets: list
     need = np.ceil(NUMERATOR * (sizes[:, None] + sizes[None, :]) / (NUMERATOR + DENOMINATOR))
     alive = np.minimum(sizes[:, None], sizes[None, :]) * DENOMINATOR >= np.maximum(sizes[:, None], sizes[None, :]) * NUMERATOR
     alive &= parts[:, None] < parts[None, :]
+    if sides is not None:
+        alive &= sides[:, None] != sides[None, :]
     overlap = np.zeros(alive.shape, np.float32)
     for begin in range(0, int(column[-1]) + 1 if len(column) else 0, LEVELS):
         i, j = np.searchsorted(column, [begin, begin + LEVELS])
@@ -286,31 +290,55 @@ def cross_links(ids: list[int], sizes: np.ndarray, parts: np.ndarray, sets: list
     return links
 
 
-def _crossing(prefix: DataFrame, labels: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Links (a, b) among sets that share a prefix shingle and are still in two components.
+def _meetings(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, component, block, x, y): the sets that meet in a task of their own, by pairs of blocks.
 
-    A group of equal prefix shingles is cut into blocks of ``BLOCK_ROWS`` sets;
-    every two blocks meet once, so no pair of sets is ever a row.
+    Only sets matter that share a prefix shingle across components.  The home of a set is
+    the largest such group that it is in, so that sets which share a passage are
+    together; a home is cut into blocks of ``BLOCK_ROWS`` sets.  A set meets every block
+    that has a set of one of its groups, once, however many shingles they share.  If
+    the next rarer prefix shingle (``rarer``) is the same for all sets of a group, these are
+    in the group of that one as well, which then stands for both.
     """
     marked = prefix.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = (
         marked.groupBy("shingle")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-        .where("low <> high").select("shingle", "blocks")
+        .agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("sets"),
+            F.count_if(F.col("rarer").isNull()).alias("rarest"), F.min("rarer").alias("first"), F.max("rarer").alias("last"),
+        )
+        .where("low <> high AND (rarest > 0 OR first <> last)").select("shingle", "sets")
     )
-    own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "own").alias("x"), F.greatest(b, "own").alias("y")))
-    rows = marked.join(groups, "shingle").withColumn("own", own).select("shingle", "id", "component", F.explode(met).alias("m"))
-    rows = rows.select("shingle", "id", "component", "m.x", "m.y").join(ordered, "id")
+    members = saved(marked.join(groups, "shingle").select("shingle", "id", "component", "sets"), "members")
+    homes = members.groupBy("id").agg(F.max(F.struct("sets", "shingle")).alias("home"))
+    part = F.pmod(F.xxhash64("id", F.lit(9)), F.ceil(F.col("home.sets") / BLOCK_ROWS))
+    homes = homes.select(F.col("id").alias("owner"), F.xxhash64("home.shingle", part).alias("block"))
+    placed = saved(members.join(homes, members["id"] == homes["owner"]).select("shingle", "id", "component", "block"), "placed")
+    present = placed.select("shingle", F.col("block").alias("other")).distinct()
+    met = placed.join(present, "shingle").select(
+        "id", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")
+    )
+    met = saved(met.distinct(), "met")
+    crossing = met.groupBy("x", "y").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return met.join(crossing.select("x", "y"), ["x", "y"])
+
+
+def _crossing(prefix: DataFrame, labels: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Links (a, b) among sets that share a prefix shingle and are still in two components.
+
+    Two blocks of sets meet once, and no pair of sets is ever a row.
+    """
+    rows = _meetings(prefix, labels).join(ordered, "id")
 
     def cross(table: pa.Table) -> pa.Table:
+        sides = table.column("block").to_numpy() if table.column("x")[0] != table.column("y")[0] else None
         found = cross_links(
             table.column("id").to_pylist(), table.column("n").to_numpy(), table.column("component").to_numpy(),
-            [x.values.to_numpy() for x in table.column("shingles")],
+            [x.values.to_numpy() for x in table.column("shingles")], sides,
         )
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("shingle", "x", "y").applyInArrow(cross, "a long, b long")
+    return rows.groupBy("x", "y").applyInArrow(cross, "a long, b long")
 
 
 def _bitmap_filter(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -356,7 +384,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     sets = _bitmap_filter(rows, chosen).join(chosen, "doc_id").mapInArrow(_shingles, "id long, n long, shingles array<long>")
     sets = saved(sets, "sets")
     listed = sets.select("id", "n", F.explode("shingles").alias("shingle"))
-    listed = listed.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
+    counts = listed.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    listed = listed.join(counts, "shingle")
     # the global order: common first, ties by hash
     place = F.sort_array(F.collect_set(F.struct("df", "shingle")), asc=False)
     ordered = listed.groupBy("id").agg(F.first("n").alias("n"), place.alias("place"))
@@ -368,7 +397,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     # the rarest quarter plus one; shingles of one set only are the rarest of all
     head = F.floor(F.col("n") * spare / DENOMINATOR) + 1 - (F.col("n") - F.size("shingles"))
     rare = F.slice("shingles", F.greatest(F.size("shingles") - head + 1, F.lit(1)).cast("int"), head.cast("int"))
-    prefix = saved(ordered.select("id", "n", F.explode(rare).alias("shingle")), "prefix")
+    prefix = ordered.select("id", "n", rare.alias("rare")).select("id", "n", "rare", F.posexplode("rare").alias("place", "shingle"))
+    prefix = saved(prefix.select("id", "n", "shingle", F.get("rare", F.col("place") + 1).alias("rarer")), "prefix")
 
     links = labels = None
     for turn in range(ROUNDS + 1):
