@@ -35,6 +35,7 @@ UNDETERMINED = "und"
 # Below this no language fits: four equal guesses would score as much.
 MIN_SCORE = 0.25
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
+MODEL_SCHEMA = "languages array<string>, first array<string>, second array<string>, weights binary, bias array<double>"
 
 # Families of ISO 639-1 codes; a code that is not listed is a family of its own.
 FAMILIES = {
@@ -165,8 +166,9 @@ def fit_language_model(
 ) -> LanguageModel:
     """Fit on rows where ``train`` holds and doc_id, lang and text are not NULL.
 
-    The features are made in tasks; the driver gets sparse vectors of at most
-    ``bound`` texts.  Without labelled rows the model knows no language.
+    The features are made in tasks, and one task fits the machines to the sparse vectors
+    of at most ``bound`` texts; the driver gets their weights.  Without labelled rows the
+    model knows no language.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text"),
@@ -185,10 +187,20 @@ def fit_language_model(
                     names=["doc_id", "lang", "places", "values"],
                 )
 
-    got = sample.mapInArrow(run, "doc_id long, lang string, places array<int>, values array<double>").toArrow()
-    ids = np.array(got.column("doc_id").to_pylist(), dtype=np.int64)
+    made = sample.mapInArrow(run, "doc_id long, lang string, places array<int>, values array<double>")
+    rows = made.groupBy(F.lit(0).alias("all")).applyInArrow(_fitted, MODEL_SCHEMA).collect()
+    if not rows:
+        return LanguageModel([], [], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
+    found = rows[0]
+    weights = np.frombuffer(found.weights, np.float32).reshape(len(found.first), 1 << BITS)
+    return LanguageModel(list(found.languages), list(zip(found.first, found.second)), weights, np.array(found.bias, float))
+
+
+def _fitted(got: pa.Table) -> pa.Table:
+    """The machines for the sparse vectors of a bounded sample, in one row."""
+    ids = got.column("doc_id").to_numpy()
     codes = got.column("lang").to_pylist()
-    places, values = got.column("places"), got.column("values")
+    places, values = got.column("places").combine_chunks(), got.column("values").combine_chunks()
     order = sorted(range(len(codes)), key=lambda i: (ids[i], codes[i]))
     data = [(places[i].values.to_numpy(), values[i].values.to_numpy()) for i in order]
     codes = [codes[i] for i in order]
@@ -205,10 +217,14 @@ def fit_language_model(
         chosen = [i for i, x in enumerate(names) if x in (a, b)]
         w = linear_svm([data[i] for i in chosen], np.array([1.0 if names[i] == a else -1.0 for i in chosen]))
         weights.append(w[:-1].astype(np.float32))
-        bias.append(w[-1])
-    return LanguageModel(
-        languages, [pair for pair, _ in tasks], np.array(weights).reshape(len(tasks), 1 << BITS), np.array(bias)
-    )
+        bias.append(float(w[-1]))
+    return pa.table({
+        "languages": pa.array([languages], pa.list_(pa.string())),
+        "first": pa.array([[pair[0] for pair, _ in tasks]], pa.list_(pa.string())),
+        "second": pa.array([[pair[1] for pair, _ in tasks]], pa.list_(pa.string())),
+        "weights": pa.array([np.array(weights, np.float32).tobytes()], pa.binary()),
+        "bias": pa.array([bias], pa.list_(pa.float64())),
+    })
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, held_out: Column | None = None) -> DataFrame:
