@@ -94,7 +94,9 @@ def _deal(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in wordhash.pieces(batch.column("text"), 16 << 20):
-                sets = {set_id(s): s for s in shingle_sets(batch.column("text").slice(a, b - a)) if len(s)}
+                text, sets = batch.column("text").slice(a, b - a), {}
+                for c, d in wordhash.pieces(text):  # sets are small, making them is not
+                    sets |= {set_id(s): s for s in shingle_sets(text.slice(c, d - c)) if len(s)}
                 if not sets:
                     continue
                 ids = list(sets)
