@@ -31,6 +31,7 @@ MAX_TRAINING_TEXTS = 12_000
 BITS = 13
 ORDERS = (2, 3, 4)
 SCALE = 20.0
+PIECE_BYTES = 1 << 20  # texts whose n-grams are in memory at once
 UNDETERMINED = "und"
 # Below this no language fits: four equal guesses would score as much.
 MIN_SCORE = 0.25
@@ -177,7 +178,7 @@ def fit_language_model(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in wordhash.pieces(batch.column("text")):
+            for a, b in wordhash.pieces(batch.column("text"), PIECE_BYTES):
                 part = batch.slice(a, b - a)
                 found = _features(wordhash.texts_of(wordhash.lowered(part.column("text"))))
                 yield pa.record_batch(
@@ -267,7 +268,7 @@ def identified(docs: DataFrame, model: LanguageModel, min_score: float = MIN_SCO
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in wordhash.pieces(batch.column("text")):
+        for a, b in wordhash.pieces(batch.column("text"), PIECE_BYTES):
             yield batch.slice(a, b - a)
 
 
