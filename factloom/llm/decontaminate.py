@@ -1,18 +1,20 @@
-"""Benchmark items in documents, paraphrased or not, by shared words and subsequences.
-
-1. Items are cut into passages of ``PASSAGE`` words.  The weight of a word is its
-   inverse frequency over the passages of all documents.
-2. A randomised singular value decomposition of the TF-IDF passages, summed up in
-   Spark tasks, gives the latent space.
-3. Every place of a whole document is a candidate, unless too few words of the item
-   stand near it for step 4.  That is told from the item's rarest words: if
-   ``COVERED_WITH_ANSWER`` of an item is there, so is a known number of the positions
-   of any of its words but the most common ones.  Nothing step 4 takes is lost.
+"""Benchmark items in documents, paraphrased or not, by latent semantic retrieval.
+
+1. Items are cut into passages of ``PASSAGE`` words.  Documents are read once: the
+   places of words that an item has are written to the shared folder, and all that
+   follows reads these.
+2. The passages of all documents, as TF-IDF rows of these words, go through a randomised
+   singular value decomposition: tasks make A'(A G), Spark sums it.  Its right
+   vectors are the latent space.
+3. Windows of ``PASSAGE`` words of whole documents, ``STEP`` words apart, are compared with
+   all passages of items in that space; a cosine of ``MIN_COSINE`` makes a candidate.
 4. The longest common subsequence of words between the item and the surroundings
    of a candidate decides: at least ``COVERED`` of the item, or at least
    ``COVERED_WITH_ANSWER`` when the item's last words (its answer) stand there too.
-   The cosine of the nearest window of ``PASSAGE`` words in the latent space is
-   reported with it and decides nothing.
+5. What the cosine search may have missed is looked up by the item's rarest words: if
+   ``COVERED_WITH_ANSWER`` of an item is there, so is a known number of the positions
+   of any of its words but the most common ones.  These candidates are verified alike, and
+   ``by_cosine`` tells which matches the search found by itself.
 
 Items are sent to the tasks in chunks of at most ``CHUNK_BYTES`` of text; a larger
 benchmark takes one pass over the documents for each chunk.
@@ -22,25 +24,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import wordhash
-from factloom.llm.tables import text_bytes
+from factloom.llm.tables import saved, text_bytes
 
 PASSAGE, STEP = 32, 8
 RANK, OVERSAMPLE = 96, 16
+MIN_COSINE = 0.5
 COVERED, COVERED_WITH_ANSWER = 0.75, 0.6
 ANSWER_WORDS = 5
 # Words in more than this share of the passages have no weight, unless a passage
 # of an item has fewer than MIN_RARE others.
 COMMON, MIN_RARE = 0.2, 4
 SHARED = 0.2  # share of an item's positions that its rarer words must give
-CHUNK_BYTES = 4 << 20
-SCHEMA = "doc_id long, item_id long, coverage double, cosine double, answer boolean"
+CHUNK_BYTES = 1 << 20
+PART_WORDS = 1 << 19  # words of documents searched at once
+BLOCK_PASSAGES = 2048
+PRODUCT_CELLS = 4 << 20  # cosines computed at once
+SCHEMA = "doc_id long, item_id long, coverage double, cosine double, answer boolean, by_cosine boolean"
 
 
 def _words(text: pa.Array) -> wordhash.Words:
@@ -71,34 +79,102 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def passage_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
-    """For each known word the number of document passages that hold it, and of passages."""
-    size = len(vocabulary.hashes)
+class Marked(NamedTuple):
+    """The words of some documents: text i has number[first[i]:first[i + 1]].
+
+    ``number`` is that of a known word, or the size of the vocabulary; ``at`` are the
+    places of known words.
+    """
+
+    first: np.ndarray
+    number: np.ndarray
+    at: np.ndarray
+
+    def passages(self, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """For places the number of their passage of so many words, and the first passage of each text."""
+        begin = np.concatenate([[0], np.cumsum(-(-np.diff(self.first) // words))])
+        text = np.searchsorted(self.first, at, side="right") - 1
+        return begin[text] + (at - self.first[text]) // words, begin
+
+
+def known_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, n_words, places, numbers): where known words stand in each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, total = np.zeros(size, np.int64), 0
         for part in _pieces(batches):
             words = _words(part.column("text"))
-            lengths = np.diff(words.first)
-            passages = -(-lengths // PASSAGE)
-            begin = np.concatenate([[0], np.cumsum(passages)])
-            total += int(begin[-1])
             at, number = vocabulary.find(words.hashes)
             text = np.searchsorted(words.first, at, side="right") - 1
-            passage = begin[text] + (at - words.first[text]) // PASSAGE
-            count += np.bincount(np.unique(passage * size + number) % size, minlength=size)
+            offsets = pa.array(np.searchsorted(at, words.first), pa.int32())
+            yield pa.record_batch(
+                [part.column("doc_id"), pa.array(np.diff(words.first), pa.int32()),
+                 pa.ListArray.from_arrays(offsets, pa.array(at - words.first[text], pa.int32())),
+                 pa.ListArray.from_arrays(offsets, pa.array(number, pa.int32()))],
+                names=["doc_id", "n_words", "places", "numbers"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n_words int, places array<int>, numbers array<int>")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, Marked]]:
+    """Documents of about ``PART_WORDS`` words at a time; a longer one is a part of its own."""
+    for batch in batches:
+        total = np.cumsum(batch.column("n_words").to_numpy().astype(np.int64))
+        a = 0
+        while a < len(total):
+            had = total[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(total, had + PART_WORDS, side="right")))
+            part = batch.slice(a, b - a)
+            first = np.concatenate([[0], total[a:b] - had])
+            own = pc.list_value_length(part.column("places")).to_numpy()
+            at = pc.list_flatten(part.column("places")).to_numpy() + np.repeat(first[:-1], own)
+            number = np.full(first[-1], size, np.int32)
+            number[at] = pc.list_flatten(part.column("numbers")).to_numpy()
+            yield part, Marked(first, number, at)
+            a = b
+
+
+def passage_frequencies(marked: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """For each known word the number of document passages that hold it, and of passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(size, np.int64), 0
+        for _, words in _parts(batches, size):
+            passage, begin = words.passages(words.at, PASSAGE)
+            total += int(begin[-1])
+            count += np.bincount(np.unique(passage * size + words.number[words.at]) % size, minlength=size)
         told = np.flatnonzero(count)
         yield pa.record_batch(
             [pa.array(np.r_[told, -1]), pa.array(np.r_[count[told], total])], names=["number", "n"]
         )
 
-    rows = docs.select("text").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    rows = marked.mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
     out = np.zeros(size + 1, np.int64)
     for number, n in rows.collect():  # at most one row for each word of a chunk of items
         out[number] = n
     return out[:-1], int(out[-1])
 
 
+def _weighted_passages(size: int, weight: np.ndarray):
+    """Sparse TF-IDF rows of unit length: (places, values, first entry of each row)."""
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for _, words in _parts(batches, size):
+            at = words.at[weight[words.number[words.at]] > 0]
+            if not len(at):
+                continue
+            passage, _ = words.passages(at, PASSAGE)
+            key, count = np.unique(passage * size + words.number[at], return_counts=True)
+            places = key % size
+            values = count * weight[places]
+            begins = np.flatnonzero(np.diff(key // size, prepend=-1))
+            norm = np.sqrt(np.add.reduceat(values**2, begins))
+            values /= np.repeat(norm, np.diff(np.append(begins, len(key))))
+            yield places, values.astype(np.float32), begins
+
+    return sparse
+
+
 @dataclass
 class Gate:
     """The rarer words of the items of up to ``reach`` words.
@@ -140,13 +216,13 @@ def _gates(own: list[np.ndarray], vocabulary: Vocabulary, frequency: np.ndarray)
 
 @dataclass
 class Items:
-    """A chunk of items: words, passages in the latent space, and its basis."""
+    """A chunk of items: words by number, passages in the latent space, and its basis."""
 
     ids: list[int]
     words: list[np.ndarray]
-    vocabulary: Vocabulary
+    size: int  # of the vocabulary
     basis: np.ndarray  # known words x rank, weighted
-    passages: np.ndarray  # latent passages
+    passages: np.ndarray  # latent passages of unit length
     owner: np.ndarray  # the item of each passage
     gates: list[Gate]
 
@@ -157,50 +233,62 @@ def _cuts(n: int) -> list[tuple[int, int]]:
     return [(min(a, n - PASSAGE), min(a, n - PASSAGE) + PASSAGE) for a in range(0, n - PASSAGE // 2, PASSAGE // 2)]
 
 
-def latent_basis(rows: DataFrame, width: int, rank: int) -> np.ndarray:
-    """Right singular vectors (width x rank) of the sparse rows (places, values).
+def latent_basis(table: DataFrame, sparse, width: int, rank: int) -> np.ndarray:
+    """Right singular vectors (width x rank) of the sparse rows A that ``sparse`` makes of Arrow batches.
 
-    Randomised: A'(A G) for a random G is summed over the tasks, once more after
-    making it orthonormal, and then A V is too; only width x (rank + oversample)
-    sums leave a task.
+    Randomised: A'(A G) for a random G, made orthonormal, is Q; the eigenvectors of
+    (A Q)'(A Q) turn it.  Only sums of rank + oversample columns leave a task; Spark adds
+    them up, one row for each column of A.
     """
-    spark_rows = rows.select("places", "values")
     kept = min(rank + OVERSAMPLE, width)
-
-    def power(test: np.ndarray) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((width, kept))
-            for batch in batches:
-                for places, values in zip(batch.column(0), batch.column(1)):
-                    p, v = places.values.to_numpy(), values.values.to_numpy()
-                    total[p] += np.outer(v, v @ test[p])
+    columns = [f"c{k}" for k in range(kept)]
+    schema = "place long, " + ", ".join(f"{c} double" for c in columns)
+
+    def blocks(batches: Iterator[pa.RecordBatch], test: np.ndarray):
+        for places, values, begins in sparse(batches):
+            side = test.astype(values.dtype)
+            for i in range(0, len(begins), BLOCK_PASSAGES):
+                a, b = begins[i], begins[i + BLOCK_PASSAGES] if i + BLOCK_PASSAGES < len(begins) else len(places)
+                p, v, heads = places[a:b], values[a:b, None], begins[i : i + BLOCK_PASSAGES] - a
+                yield p, v, heads, np.add.reduceat(v * side[p], heads)
+
+    def summed(run, height: int) -> np.ndarray:
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = run(batches)
             used = np.flatnonzero(total.any(axis=1))
-            yield pa.record_batch(
-                [pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["place", "row"]
-            )
-
-        def add(table: pa.Table) -> pa.Table:
-            row = np.sum([x.values.to_numpy() for x in table.column("row")], axis=0)
-            return pa.table({"place": table.column("place")[:1], "row": pa.array([row], pa.list_(pa.float64()))})
+            yield pa.record_batch([pa.array(used), *(pa.array(total[used, k]) for k in range(kept))], names=["place", *columns])
 
-        partial = spark_rows.mapInArrow(run, "place long, row array<double>")
-        got = partial.groupBy("place").applyInArrow(add, "place long, row array<double>").toArrow()
-        out = np.zeros((width, kept))
-        for place, row in zip(got.column("place").to_pylist(), got.column("row")):
-            out[place] = row.values.to_numpy()
+        partial = table.mapInArrow(told, schema)
+        got = partial.groupBy("place").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+        out = np.zeros((height, kept))
+        out[got.column("place").to_numpy()] = np.stack([got.column(c).to_numpy() for c in columns], axis=1)
         return out
 
+    def power(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((width, kept))
+        for p, v, heads, image in blocks(batches, test):
+            order = np.argsort(p, kind="stable")
+            row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(p))))[order]
+            first = np.flatnonzero(np.diff(p[order], prepend=-1))
+            total[p[order][first]] += np.add.reduceat(v[order] * image[row], first)
+        return total
+
+    def core(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((kept, kept))
+        for *_, image in blocks(batches, test):
+            total += image.T @ image
+        return total
+
     test = np.random.default_rng(3).normal(size=(width, kept))
-    for _ in range(2):
-        test, _ = np.linalg.qr(power(test))
-    small = test.T @ power(test)  # V'A'A V
+    test, _ = np.linalg.qr(summed(power, width))
+    small = summed(core, kept)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)[:rank]
     return test @ turn[:, order[values[order] > 1e-9 * max(values.max(), 1e-30)]]
 
 
-def read_items(docs: DataFrame, items: DataFrame) -> Items | None:
-    """The latent space of one chunk of items; None if no item has a word."""
+def read_items(docs: DataFrame, items: DataFrame) -> tuple[Items, DataFrame] | None:
+    """The latent space of one chunk of items, and where documents have their words; None if no item has a word."""
     got = items.orderBy("item_id").toArrow()
     ids, texts = got.column("item_id").to_pylist(), got.column("text").combine_chunks()
     if not ids:
@@ -212,38 +300,24 @@ def read_items(docs: DataFrame, items: DataFrame) -> Items | None:
     if not ids:
         return None
     vocabulary = Vocabulary(np.unique(np.concatenate(own)))
-    frequency, total = passage_frequencies(docs, vocabulary)
+    size = len(vocabulary.hashes)
+    numbers = [np.searchsorted(vocabulary.hashes, w) for w in own]
+    marked = saved(known_words(docs, vocabulary), "known-words")
+    frequency, total = passage_frequencies(marked, size)
     weight = np.maximum(np.log((total + 1) / (frequency + 1)), 1e-3)
     rare = frequency <= COMMON * max(total, 1)
-    for w in own:
-        number = np.searchsorted(vocabulary.hashes, w)
-        for a, b in _cuts(len(w)):
+    for number in numbers:
+        for a, b in _cuts(len(number)):
             if len(np.unique(number[a:b][rare[number[a:b]]])) < MIN_RARE:
                 rare[number[a:b]] = True
     weight[~rare] = 0
-    rows, owner = [], []
-    for k, w in enumerate(own):
-        number = np.searchsorted(vocabulary.hashes, w)
-        for a, b in _cuts(len(w)):
-            places, counts = np.unique(number[a:b], return_counts=True)
-            values = counts * weight[places]
-            if values.any():
-                rows.append((places.tolist(), (values / np.linalg.norm(values)).tolist()))
-                owner.append(k)
-    table = docs.sparkSession.createDataFrame(rows, "places array<int>, values array<double>")
-    basis = latent_basis(table, len(vocabulary.hashes), RANK)
+    basis = latent_basis(marked, _weighted_passages(size, weight), size, RANK)
     scaled = (basis * weight[:, None]).astype(np.float32)
-    passages = np.zeros((len(rows), basis.shape[1]), np.float32)
-    for i, (k, (a, b)) in enumerate(_spans(own, vocabulary, weight)):
-        passages[i] = scaled[np.searchsorted(vocabulary.hashes, own[k][a:b])].sum(axis=0)
-    return Items(ids, own, vocabulary, scaled, passages, np.array(owner), _gates(own, vocabulary, frequency))
-
-
-def _spans(own: list[np.ndarray], vocabulary: Vocabulary, weight: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
-    for k, w in enumerate(own):
-        for a, b in _cuts(len(w)):
-            if weight[np.searchsorted(vocabulary.hashes, w[a:b])].any():
-                yield k, (a, b)
+    cuts = [(k, a, b) for k, number in enumerate(numbers) for a, b in _cuts(len(number))]
+    passages = np.stack([scaled[numbers[k][a:b]].sum(axis=0) for k, a, b in cuts])
+    passages /= np.maximum(np.linalg.norm(passages, axis=1), 1e-9)[:, None]
+    owner = np.array([k for k, _, _ in cuts])
+    return Items(ids, numbers, size, scaled, passages, owner, _gates(own, vocabulary, frequency)), marked
 
 
 def common_subsequence(item: np.ndarray, region: np.ndarray) -> int:
@@ -270,10 +344,42 @@ def _holds(region: np.ndarray, phrase: np.ndarray) -> bool:
     return bool(same.any())
 
 
-def _candidates(words: wordhash.Words, items: Items) -> Iterator[tuple[int, int, int]]:
+def _near_passages(words: Marked, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(text, first of ``PASSAGE`` places, item): where a window is near a passage of the item."""
+    at = words.at[items.basis[words.number[words.at]].any(axis=1)]
+    if not len(at):
+        return
+    # texts in blocks of STEP words, with empty blocks behind so that no window spans two texts
+    span = PASSAGE // STEP
+    block, begin = words.passages(at, STEP)
+    text = np.searchsorted(words.first, at, side="right") - 1
+    block, begin = block + text * (span - 1), begin + np.arange(len(begin)) * (span - 1)
+    heads = np.flatnonzero(np.diff(block, prepend=-1))
+    windows = np.zeros((int(begin[-1]), items.basis.shape[1]), np.float32)
+    windows[block[heads]] = np.add.reduceat(items.basis[words.number[at]], heads)
+    reach = 1
+    while reach < span:  # sums of 2, then 4 blocks
+        windows[:-reach] += windows[reach:].copy()
+        reach *= 2
+    size = np.linalg.norm(windows, axis=1)
+    some = np.flatnonzero(size > 1e-6)
+    step = max(64, PRODUCT_CELLS // len(items.passages))
+    found = []
+    for a in range(0, len(some), step):
+        own = some[a : a + step]
+        near = windows[own] @ items.passages.T >= MIN_COSINE * size[own, None]
+        window, passage = np.nonzero(near)
+        t = np.searchsorted(begin, own[window], side="right") - 1
+        tile = (own[window] - begin[t]) // span
+        found.append(np.unique(np.stack([t, tile, items.owner[passage]]), axis=1))
+    for t, tile, k in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist() if found else ():
+        yield t, int(words.first[t]) + tile * PASSAGE, k
+
+
+def _sharing_rare_words(words: Marked, items: Items) -> Iterator[tuple[int, int, int]]:
     """(text, first word of ``reach`` places, item): where enough of the item's rarer words are near."""
-    known, number = items.vocabulary.find(words.hashes)
-    size, n_items = len(items.vocabulary.hashes), len(items.words)
+    known, number = words.at, words.number[words.at].astype(np.int64)
+    size, n_items = items.size, len(items.words)
     lengths = np.diff(words.first)
     for gate in items.gates:
         counts = np.diff(gate.indptr)
@@ -309,49 +415,42 @@ def _candidates(words: wordhash.Words, items: Items) -> Iterator[tuple[int, int,
 
 def _cosine(region: np.ndarray, items: Items, k: int) -> float:
     """Of the region's windows and the item's passages the nearest two."""
-    at, number = items.vocabulary.find(region)
+    at = np.flatnonzero(region < items.size)
     vectors = np.zeros((len(region) + 1, items.basis.shape[1]), np.float32)
-    vectors[at + 1] = items.basis[number]
+    vectors[at + 1] = items.basis[region[at]]
     run = np.cumsum(vectors, axis=0)
     starts = np.arange(0, max(len(region) - PASSAGE, 0) + 1, STEP)
     windows = run[np.minimum(starts + PASSAGE, len(region))] - run[starts]
-    passages = items.passages[items.owner == k]
-    if not len(passages):
-        return 0.0
-    size = np.linalg.norm(windows, axis=1)[:, None] * np.linalg.norm(passages, axis=1)
-    return float((windows @ passages.T / np.maximum(size, 1e-9)).max())
+    size = np.linalg.norm(windows, axis=1)[:, None]
+    return float((windows @ items.passages[items.owner == k].T / np.maximum(size, 1e-9)).max())
 
 
-def _matches(words: wordhash.Words, items: Items) -> dict[tuple[int, int], tuple[float, float, bool]]:
-    found: dict[tuple[int, int], tuple[float, float, bool]] = {}
+def _matches(words: Marked, items: Items) -> dict[tuple[int, int], tuple[float, float, bool, bool]]:
+    found: dict[tuple[int, int], tuple[float, float, bool, bool]] = {}
     reach = {k: gate.reach for gate in items.gates for k in np.unique(gate.holders).tolist()}
-    own = [np.searchsorted(items.vocabulary.hashes, w) for w in items.words]
-    at, known = items.vocabulary.find(words.hashes)
-    number = np.full(len(words.hashes), len(items.vocabulary.hashes))
-    number[at] = known
-    marked = np.zeros(len(items.vocabulary.hashes) + 1, bool)
+    marked = np.zeros(items.size + 1, bool)
 
     def covered(k: int, low: int, high: int) -> float:
         """The share of the item's words that stand in a region; no common subsequence is longer."""
-        marked[number[low:high]] = True
-        share = np.count_nonzero(marked[own[k]]) / len(own[k])
-        marked[number[low:high]] = False
+        marked[words.number[low:high]] = True
+        share = np.count_nonzero(marked[items.words[k]]) / len(items.words[k])
+        marked[words.number[low:high]] = False
         return share
 
-    for text, place, k in _candidates(words, items):
+    def verify(text: int, place: int, span: int, k: int, by_cosine: bool) -> None:
         item, n = items.words[k], len(items.words[k])
         head, tail = int(words.first[text]), int(words.first[text + 1])
-        low, high = max(head, place - n), min(tail, place + reach[k] + PASSAGE + n)
-        if covered(k, low, high) < COVERED_WITH_ANSWER:
-            continue
-        for start in range(place, min(place + reach[k], tail), STEP):
-            if found.get((text, k), (0,))[0] == 1.0:
-                break
+        best = found.get((text, k))
+        if best is not None and best[0] == 1.0:
+            return
+        if covered(k, max(head, place - n), min(tail, place + span + PASSAGE + n)) < COVERED_WITH_ANSWER:
+            return
+        for start in range(place, min(place + span, tail), STEP):
             low, high = max(head, start - n), min(tail, start + PASSAGE + n)
             if covered(k, low, high) < COVERED_WITH_ANSWER:
                 continue
-            region = words.hashes[low:high]
-            coverage = common_subsequence(item, region) / n
+            region = words.number[low:high]
+            coverage = common_subsequence(item, region[region < items.size]) / n
             if coverage < COVERED_WITH_ANSWER:
                 continue
             answer = _holds(region, item[-ANSWER_WORDS:])
@@ -360,14 +459,22 @@ def _matches(words: wordhash.Words, items: Items) -> dict[tuple[int, int], tuple
                     continue  # a few words count only as they stand
                 best = found.get((text, k))
                 if best is None or coverage > best[0]:
-                    found[text, k] = (coverage, _cosine(region, items, k), answer)
+                    found[text, k] = (coverage, _cosine(region, items, k), answer, by_cosine if best is None else best[3])
+                if coverage == 1.0:
+                    return
+
+    for text, place, k in _near_passages(words, items):
+        verify(text, place, PASSAGE, k, True)
+    for text, place, k in _sharing_rare_words(words, items):
+        verify(text, place, reach[k], k, False)
     return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, coverage, cosine, answer): items found in documents.
+    """(doc_id, item_id, coverage, cosine, answer, by_cosine): items found in documents.
 
-    One row for each pair of ids, with the best coverage.  NULL and empty texts
+    One row for each pair of ids, with the best coverage; ``by_cosine`` if the cosine
+    search found it by itself.  NULL and empty texts
     hold no item; items without words are in no document; items of up to
     ``ANSWER_WORDS`` words must stand there as they are.  Rows with a NULL doc_id
     are reported under NULL, items with a NULL id are left out, rows that repeat
@@ -379,27 +486,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     chunks = max(1, -(-text_bytes(given) // CHUNK_BYTES))
     out = None
     for chunk in range(chunks):
-        items = read_items(rows, given.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == chunk))
-        if items is None:
+        got = read_items(rows, given.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == chunk))
+        if got is None:
             continue
-        found = rows.mapInArrow(_searcher(items), SCHEMA)
+        items, marked = got
+        found = marked.mapInArrow(_searcher(items), SCHEMA)
         out = found if out is None else out.union(found)
     if out is None:
         return rows.sparkSession.createDataFrame([], SCHEMA)
     best = F.max(F.struct("coverage", "cosine", "answer")).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return out.groupBy("doc_id", "item_id").agg(best, F.max("by_cosine").alias("by_cosine")).select(
+        "doc_id", "item_id", "best.*", "by_cosine"
+    )
 
 
 def _searcher(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _pieces(batches):
-            found = _matches(_words(part.column("text")), items)
+        for part, words in _parts(batches, items.size):
+            found = _matches(words, items)
             pairs = list(found)
+            kinds = (pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
             yield pa.record_batch(
                 [part.column("doc_id").take(pa.array([t for t, _ in pairs], pa.int64())),
                  pa.array([items.ids[k] for _, k in pairs], pa.int64()),
-                 *(pa.array([found[p][i] for p in pairs], kind) for i, kind in enumerate((pa.float64(), pa.float64(), pa.bool_())))],
-                names=["doc_id", "item_id", "coverage", "cosine", "answer"],
+                 *(pa.array([found[p][i] for p in pairs], kind) for i, kind in enumerate(kinds))],
+                names=["doc_id", "item_id", "coverage", "cosine", "answer", "by_cosine"],
             )
 
     return run

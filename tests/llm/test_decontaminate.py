@@ -40,7 +40,13 @@ def test_basis_is_that_of_the_singular_value_decomposition(spark):
     draw = np.random.default_rng(5)
     a = draw.normal(size=(60, 4)) @ draw.normal(size=(4, 30))
     rows = spark.createDataFrame([(list(range(30)), r.tolist()) for r in a], "places array<int>, values array<double>")
-    basis = decontaminate.latent_basis(rows, 30, 10)
+
+    def sparse(batches):
+        for batch in batches:
+            places = batch.column("places").flatten().to_numpy()
+            yield places, batch.column("values").flatten().to_numpy(), np.arange(0, len(places), 30)
+
+    basis = decontaminate.latent_basis(rows, sparse, 30, 10)
     assert basis.shape[1] == 4 and np.allclose(a @ basis @ basis.T, a)
 
 
@@ -81,3 +87,59 @@ def test_gate_keeps_what_a_subsequence_can_cover():
         number = np.searchsorted(vocabulary.hashes, kept)
         mass = sum(gate.positions[gate.indptr[w] : gate.indptr[w + 1]].sum() for w in number)
         assert mass >= gate.shared[0] >= 1
+
+
+def longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            row[j + 1], last = (last + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+    return row[-1]
+
+
+def brute(rows, items):
+    """All places of all documents against all items: the rule, and nothing else."""
+    d = decontaminate
+    out = set()
+    for doc, words in enumerate(rows):
+        for k, item in enumerate(items):
+            n = len(item)
+            for start in range(0, len(words), d.STEP):
+                region = words[max(0, start - n) : start + d.PASSAGE + n]
+                share = longest(item, region) / n
+                tail = item[-d.ANSWER_WORDS :]
+                holds = any(region[i : i + len(tail)] == tail for i in range(len(region)))
+                if share >= d.COVERED or (share >= d.COVERED_WITH_ANSWER and holds):
+                    out.add((doc, k))
+    return out
+
+
+def test_against_brute_force_and_recall_of_the_cosine_search(spark, documents):
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choice("etaoinshrdlu") for _ in range(6)) for _ in range(400)]
+    prose = lambda n: [vocabulary[int(399 * draw.random() ** 2)] for _ in range(n)]
+    items = [prose(draw.choice([12, 24, 40, 75])) for _ in range(12)]
+    rows = []
+    for i in range(80):
+        own = prose(draw.choice([0, 30, 90]))
+        item = list(draw.choice(items))
+        for _ in range(int(len(item) * draw.choice([0, 0.1, 0.2, 0.3, 0.45, 0.6]))):
+            item[draw.randrange(len(item) - draw.choice([0, 5]))] = draw.choice(vocabulary)
+        rows.append(own + item + prose(draw.choice([0, 40])))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = decontaminate.contaminated(documents([(i, " ".join(w)) for i, w in enumerate(rows)]), benchmark).collect()
+    wanted = brute(rows, items)
+    assert {(r.doc_id, r.item_id) for r in found} == wanted and 20 < len(wanted) < 80
+    assert sum(r.by_cosine for r in found) >= 0.9 * len(wanted)
+
+
+def test_long_documents_and_parts(spark, documents, monkeypatch):
+    draw = random.Random(13)
+    item = [f"w{draw.randrange(900)}" for _ in range(50)]
+    prose = lambda n: [f"w{draw.randrange(900)}" for _ in range(n)]
+    rows = [(1, prose(60_000) + item + prose(9)), (2, prose(20)), (3, item), (4, item[:20])]
+    monkeypatch.setattr(decontaminate, "PART_WORDS", 1000)
+    benchmark = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    found = decontaminate.contaminated(documents([(i, " ".join(w)) for i, w in rows]), benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.coverage, r.by_cosine) for r in found} == {(1, 5, 1.0, True), (3, 5, 1.0, True)}
