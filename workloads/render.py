@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.skew import costly_tasks
 from factloom.sources.documents import spread_over_cores
 
 
@@ -70,33 +71,46 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents(doc_id, source, company, text): one report per customer, with a
     column for every year that has orders.
 
-    Orders are summed per customer map-side; a report has a fixed number of
-    lines, so no group of rows is ever collected.
+    Orders are summed map-side, in narrow rows: one for each customer, year, priority and
+    status.  Only these move.  A customer's sums are then a map by position, of at most nine
+    positions a year: all its orders, those of each priority and of each status.
     """
-    price, year = "CAST(o_totalprice AS DECIMAL(18,2))", "year(o_orderdate)"
     years = order_years(spark, sf_dir)
-    sums = []
-    for y in years:
-        sums.append(f"sum(CASE WHEN {year} = {y} THEN {price} END) AS all_{y}")
-        sums.append(f"count_if({year} = {y}) AS n_{y}")
-        for column, keys in (("o_orderpriority", ASSETS), ("o_orderstatus", REVENUES)):
-            for key, *_ in keys:
-                hit = f"{year} = {y} AND {column} = '{key}'"
-                sums.append(f"sum(CASE WHEN {hit} THEN {price} END) AS `{key}_{y}`")
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
-    totals = orders.agg(*[F.expr(x) for x in sums])
+    shown = [key for key, *_ in (*ASSETS, *REVENUES)]
+    width = len(shown) + 1
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey AS c_custkey", "year(o_orderdate) AS y", "CAST(o_totalprice AS DECIMAL(18,2)) AS v",
+        *[f"CASE WHEN {c} IN ({', '.join(quoted(k) for k, *_ in keys)}) THEN {c} END AS {name}"
+          for name, c, keys in (("p", "o_orderpriority", ASSETS), ("s", "o_orderstatus", REVENUES))],
+    ).where("c_custkey IS NOT NULL AND y IS NOT NULL")
+    cells = orders.groupBy("c_custkey", "y", "p", "s").agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    # a number of tasks that does not shrink: what follows needs no other exchange
+    placed = cells.repartition(costly_tasks(spark), "c_custkey")
+    names = F.array(*[F.lit(k) for k in shown])
+    first = (F.array_position(F.array(*[F.lit(y) for y in years]), F.col("y")) - 1) * width if years else F.lit(0)
+    at = F.array(first, *[first + F.array_position(names, F.col(c)) for c in ("p", "s")])
+    summed = (
+        placed.select("c_custkey", "v", "n", F.explode(at.cast("array<int>")).alias("at")).where("at IS NOT NULL")
+        .groupBy("c_custkey", "at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    )
+    totals = summed.groupBy("c_custkey").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", F.struct("v", "n")))).alias("sums")
+    )
     customers = spread_table(spark, sf_dir, "customer", "c_custkey")
-    df = customers.join(totals, "c_custkey", "left")
+    each = F.expr(f"transform(sequence(0, {max(1, len(years)) * width - 1}), i -> sums[i].v)")
+    df = customers.join(totals, "c_custkey", "left").withColumn("shown", each)
+    df = df.withColumn("shown", F.expr(f"transform(shown, x -> {amount('x')})"))
 
     def of(key: str, negative: bool = False) -> list[str]:
-        return [amount(f"`{key}_{y}`", negative) for y in years]
+        places = [i * width + (shown.index(key) + 1 if key in shown else 0) for i in range(len(years))]
+        return [amount(f"sums[{i}].v", True) if negative else f"shown[{i}]" for i in places]
 
     def heads(label: str, *periods: str) -> list[str]:
         names = ["Mã số", label, "Thuyết minh", *periods]
         return [quoted("| " + " | ".join(names) + " |"), quoted("|" + " ----- |" * len(names))]
 
     balance = amount("CAST(c_acctbal AS DECIMAL(18,2))")
-    counts = [f"CAST(coalesce(n_{y}, 0) AS STRING)" for y in years]
+    counts = [f"CAST(coalesce(sums[{i * width}].n, 0) AS STRING)" for i in range(len(years))]
     flows = heads("CHỈ TIÊU", *(f"Năm {y}VND" for y in years))
     # a share is no value, but for that of the first year
     ratios = {y: "c_nationkey || ',50'" if y == years[-1] else "'20,29%'" for y in years}
@@ -141,7 +155,7 @@ def statement_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "''",
         quoted("|  |" + " VND | Tỷ lệ% |" * len(years)),
         quoted("| --- |" + " --- | --- |" * len(years)),
-        pipe_row("'Tổng'", *(x for y in years for x in (amount(f"all_{y}"), ratios[y]))),
+        pipe_row("'Tổng'", *(x for y, total in zip(years, of("all")) for x in (total, ratios[y]))),
         "'| **Tổng cộng** | **1.000** | | - | |'",
     )
     return df.select(
