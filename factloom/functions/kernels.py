@@ -76,29 +76,37 @@ def nearest_in_block(
     vectors: np.ndarray,
     k: int,
     limits: np.ndarray | None = None,
+    allowed: np.ndarray | None = None,
+    query_chunk: int = _QUERY_CHUNK,
+    vector_chunk: int = _VECTOR_CHUNK,
 ) -> pd.DataFrame:
     """(request_id, id, dist, row): the k nearest vectors of each query, as far
-    as they are within ``limits``, the distances known to be reached already.
+    as they are within ``limits``, the distances known to be reached already, and
+    ``allowed`` (queries, vectors).
 
     A matrix product bounds the distances; the survivors, every tie included,
     are measured again term by term so that equal vectors get equal distances.
     """
     results = []
-    for q0 in range(0, len(queries), _QUERY_CHUNK):
-        q = queries[q0 : q0 + _QUERY_CHUNK]
-        asked = request_ids[q0 : q0 + _QUERY_CHUNK]
-        reach = np.full(len(q), np.inf) if limits is None else limits[q0 : q0 + _QUERY_CHUNK]
+    for q0 in range(0, len(queries), query_chunk):
+        q = queries[q0 : q0 + query_chunk]
+        asked = request_ids[q0 : q0 + query_chunk]
+        reach = np.full(len(q), np.inf) if limits is None else limits[q0 : q0 + query_chunk]
         q_norm = (q * q).sum(axis=1)
         best: pd.DataFrame | None = None
-        for v0 in range(0, len(vectors), _VECTOR_CHUNK):
-            v = vectors[v0 : v0 + _VECTOR_CHUNK]
+        for v0 in range(0, len(vectors), vector_chunk):
+            v = vectors[v0 : v0 + vector_chunk]
             v_norm = (v * v).sum(axis=1)
             rough = q_norm[:, None] + v_norm[None, :] - 2.0 * (q @ v.T)
+            open_to = None if allowed is None else allowed[q0 : q0 + query_chunk, v0 : v0 + vector_chunk]
+            if open_to is not None:
+                rough = np.where(open_to, rough, np.inf)
             slack = 1e-9 * (1.0 + q_norm + v_norm.max())
             limit = reach
             if len(v) > k and np.isinf(reach).any():
                 limit = np.minimum(reach, np.partition(rough, k - 1, axis=1)[:, k - 1])
-            r, c = np.nonzero(rough <= (limit + slack)[:, None])
+            near = rough <= (limit + slack)[:, None]
+            r, c = np.nonzero(near if open_to is None else near & open_to)
             if len(r) == 0:
                 continue
             found = pd.DataFrame(
@@ -118,6 +126,30 @@ def nearest_in_block(
     return pd.concat(results, ignore_index=True)
 
 
+def nearest_of_tables(asked: pa.Table, vectors: pa.Table, k: int, query_chunk: int, vector_chunk: int) -> pd.DataFrame:
+    """As :func:`nearest_in_block`, for requests and vectors as they meet in a task.
+
+    Requests with ``probed`` (bits of cells) meet only the vectors of such a ``cell``; those
+    whose nearest cell (``own``) is the same go together, so that few other vectors are measured.
+    """
+    request_ids, queries = to_numpy(asked.column("request_id")), to_matrix(asked.column("embedding"))
+    ids, x = to_numpy(vectors.column("id")), to_matrix(vectors.column("embedding"))
+    chunks = {"query_chunk": min(query_chunk, _QUERY_CHUNK), "vector_chunk": min(vector_chunk, _VECTOR_CHUNK)}
+    if "probed" not in asked.column_names:
+        return nearest_in_block(request_ids, queries, ids, x, k, **chunks)
+    words = asked.column("probed").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(queries), -1)
+    bits = np.unpackbits(words.astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(bool)
+    cells = vectors.column("cell").to_numpy()
+    order, results = np.argsort(to_numpy(asked.column("own")), kind="stable"), []
+    for q0 in range(0, len(order), _QUERY_CHUNK):
+        at = order[q0 : q0 + _QUERY_CHUNK]
+        some = np.flatnonzero(bits[at].any(axis=0)[cells])
+        found = nearest_in_block(request_ids[at], queries[at], ids[some], x[some], k, None, bits[at][:, cells[some]], **chunks)
+        found["row"] = some[found["row"].to_numpy(dtype=int)]
+        results.append(found)
+    return pd.concat(results, ignore_index=True)
+
+
 def _spelled(found: dict) -> str:
     """Half of a surrogate pair is no character; it keeps the escape it came as."""
     return json.dumps(found, ensure_ascii=False, sort_keys=True).encode("utf-8", "backslashreplace").decode()

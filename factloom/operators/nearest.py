@@ -163,8 +163,10 @@ def _scan_blocks(
     block_vectors: int,
     block_requests: int,
 ) -> DataFrame:
+    """Rows travel in blocks of at least the default size, or each would be copied for every
+    small block of the other side; blocks of the size asked for are cut from these in the task."""
     left, right = in_blocks(
-        rows, wanted, "heading", "id", "request_id", block_vectors, block_requests
+        rows, wanted, "heading", "id", "request_id", max(block_vectors, BLOCK_VECTORS), max(block_requests, BLOCK_REQUESTS)
     )
     arrow_schema = to_arrow_schema(schema)
     kernel = kernels
@@ -172,10 +174,7 @@ def _scan_blocks(
     def meet(vectors: pa.Table, asked: pa.Table) -> pa.Table:
         if vectors.num_rows == 0 or asked.num_rows == 0:
             return arrow_schema.empty_table()
-        found = kernel.nearest_in_block(
-            kernel.to_numpy(asked.column("request_id")), kernel.to_matrix(asked.column("embedding")),
-            kernel.to_numpy(vectors.column("id")), kernel.to_matrix(vectors.column("embedding")), k,
-        )
+        found = kernel.nearest_of_tables(asked, vectors, k, block_requests, block_vectors)
         found_at = found.pop("row").to_numpy(dtype=int)
         for p in payload:
             found[p] = kernel.to_numpy(vectors.column(p))[found_at]

@@ -83,3 +83,23 @@ def test_partial_results_stay_small(spark):
     assert plan.count("WindowGroupLimit") == 2
     blocked = nearest.nearest_batch(asked, index, max_broadcast_requests=0)
     assert "CartesianProduct" not in blocked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_blocks_do_not_multiply_rows(spark):
+    """Rows travel in blocks of the default size, however small the blocks that are compared."""
+    index, asked, expected = fixture(spark)
+    seen = []
+    cut = nearest.in_blocks
+
+    def counted(*args):
+        left, right = cut(*args)
+        seen.append((left.count(), right.count()))
+        return left, right
+
+    nearest.in_blocks = counted
+    try:
+        found = nearest.nearest_batch(asked, index, max_broadcast_requests=0, block_vectors=50, block_requests=6)
+    finally:
+        nearest.in_blocks = cut
+    assert by_request(found, expected) == expected
+    assert seen == [(index.count(), asked.count())]
