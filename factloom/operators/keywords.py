@@ -221,7 +221,11 @@ def validated_keywords(
 
 def invalid_report(validated: DataFrame, row_id: Sequence[str] = REQUEST_KEYS) -> DataFrame:
     """(*row_id, tbl, raw, normalized, suggested): every keyword that was not
-    in the dictionary as asked, repaired ones with their suggestion."""
+    in the dictionary as asked, repaired ones with their suggestion.
+
+    Told by what it is not, so that the requests keep a left join to their status: an inner
+    join may send the requests to the driver, whose number Spark takes for that of the plans.
+    """
     return validated.where(
-        F.col("status").isin("repaired", "invalid", "unknown_table")
+        ~F.coalesce("status", F.lit("invalid")).isin("valid", "empty")
     ).select(*row_id, "tbl", "raw", "normalized", "suggested")

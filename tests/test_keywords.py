@@ -117,3 +117,12 @@ def test_table_names(spark):
 def test_default_vocabulary_sizes():
     assert [len(set(k)) for k in defaults.KEYWORDS.values()] == [34, 20, 25]
     assert len(defaults.ALIASES) == 9 and len(defaults.TABLE_CANON) == 8
+
+
+def test_report_keeps_requests_out_of_the_driver(spark):
+    """The join to the status stays a left one, whose requests cannot be broadcast."""
+    from workloads import planning
+
+    plan = planning.keyword_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Join " in line)
+    assert "Join LeftOuter" in top
