@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame
 from factloom.operators.facts import extract_facts
 from factloom.operators.records import embed_text, retrieval_records
 from factloom.schemas import FACTS
-from factloom.sources.store import append_facts, by_heading, pending_documents, stored_rows
+from factloom.sources.store import append_facts, by_heading, pending_documents, reset_facts, shared_folder, stored_rows
 
 
 def build_facts(documents: DataFrame, path: str) -> None:
     """Add the facts of documents that have none yet to the folder ``path``."""
     documents = pending_documents(documents, stored_rows(documents.sparkSession, path, FACTS))
-    append_facts(extract_facts(documents), path)
+    draft = shared_folder(documents.sparkSession)
+    reset_facts(extract_facts(documents), draft)
+    append_facts(documents.sparkSession.read.schema(FACTS).parquet(draft), path)
 
 
 def build_index(facts: DataFrame, **embedding) -> DataFrame:

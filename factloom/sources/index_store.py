@@ -8,11 +8,11 @@ change rewrites a stored file, an id can come back after it was removed, and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.sources.store import by_heading, stored_rows
+from factloom.sources.store import by_heading, fresh_records, stored_rows
 
 
 def _kinds(spark: SparkSession, path: str, schema: T.StructType | None) -> T.StructType:
@@ -44,11 +44,7 @@ def append_records(records: DataFrame, path: str) -> None:
     """
     spark = records.sparkSession
     change = next_change(spark, path)
-    plain = [c for c, kind in records.dtypes if "map<" not in kind and "variant" not in kind]
-    order = Window.partitionBy("id").orderBy(F.xxhash64(*plain))
-    once = records.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    known = read_records(spark, path, records.schema).select(F.col("id").alias("_known"))
-    fresh = once.join(known, once["id"].eqNullSafe(known["_known"]), "left_anti").select(*records.columns)
+    fresh = fresh_records(records, read_records(spark, path, records.schema).select("id"))
     by_heading(fresh).write.mode("overwrite").parquet(f"{path}/records/change={change}")
 
 

@@ -58,26 +58,51 @@ def stored_rows(spark: SparkSession, path: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def unseen(new: DataFrame, existing: DataFrame, keys: Sequence[str] = LINEAGE) -> DataFrame:
-    """Rows of ``new`` whose key is not yet in ``existing``, once each.
-
-    The key is a fact's place in its document, and a NULL in it is a value like any other;
-    only the key columns of ``existing`` are read.
-    """
-    known = existing.select(*(F.col(k).alias(f"_{k}") for k in keys))
+def new_keys(new: DataFrame, known: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, int, int, int]:
+    """The keys of ``new`` that are not ``known``, with the numbers of rows of ``new``, of rows
+    with such keys, and of such keys.  Only keys are read and moved; NULL is a value like any other."""
+    spark = new.sparkSession
+    own, other = (df.select(*keys, F.lit(n).alias("_n"), F.lit(1 - n).alias("_known")) for df, n in ((new, 1), (known, 0)))
+    draft = shared_folder(spark)
+    counted = own.unionByName(other).groupBy(*keys).agg(F.sum("_n").alias("_n"), F.max("_known").alias("_known"))
+    counted.where("_n > 0").write.parquet(draft)
+    met = spark.read.parquet(draft)
+    rows = F.when(F.col("_known") == 0, F.col("_n"))
+    read = met.agg(F.sum("_n"), F.sum(rows), F.count(rows)).first()
+    return met.where("_known = 0").select(*keys), *(n or 0 for n in read)
+
+
+def rows_of_keys(rows: DataFrame, listed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key is listed; a NULL in it is a value like any other."""
+    listed = listed.toDF(*(f"_{k}" for k in keys))
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return new.dropDuplicates(list(keys)).join(known, same, "left_anti")
+        same = same & rows[k].eqNullSafe(listed[f"_{k}"])
+    return rows.join(listed, same, "left_semi")
+
+
+def fresh_rows(rows: DataFrame, known: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, bool]:
+    """The rows whose key is not known, and whether their keys repeat.
+
+    ``rows`` are read twice, first their keys alone.  Rows move only if some of them are known.
+    """
+    listed, total, fresh, distinct = new_keys(rows, known, keys)
+    if fresh == 0:
+        return rows.limit(0), False
+    return rows if fresh == total else rows_of_keys(rows, listed, keys), fresh > distinct
 
 
 def append_facts(facts: DataFrame, path: str, dedupe: bool = True) -> None:
-    """Append to the Parquet folder ``path``; running twice adds nothing."""
+    """Append to the Parquet folder ``path``; running twice adds nothing.
+
+    The facts are read twice, so those that cost much to make are best stored before.
+    """
     spark = facts.sparkSession
     columns = FACTS.fieldNames()
     out = facts.select(*columns)
     if dedupe:
-        out = unseen(out, stored_rows(spark, path, FACTS)).select(*columns)
+        out, repeats = fresh_rows(out, stored_rows(spark, path, FACTS), LINEAGE)
+        out = out.dropDuplicates(list(LINEAGE)) if repeats else out
     out.write.mode("append").parquet(path)
 
 
@@ -131,20 +156,29 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.mode("overwrite").option("parquet.block.size", row_groups).parquet(path)
 
 
+def fresh_records(records: DataFrame, known: DataFrame) -> DataFrame:
+    """The records whose id is not known, each id once: that with the smallest hash.
+
+    Whole records move only if some are known or ids repeat; they are read twice.
+    """
+    fresh, repeats = fresh_rows(records, known, ["id"])
+    if not repeats:
+        return fresh
+    plain = [c for c, kind in records.dtypes if "map<" not in kind and "variant" not in kind]
+    order = Window.partitionBy("id").orderBy(F.xxhash64(*plain))
+    return fresh.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def append_index(records: DataFrame, path: str) -> None:
     """Add the records whose id is not stored yet, each id once; stored files stay as they are.
 
     A record keeps its heading, so only ids under the headings at hand are compared.  Of
     several records with one id the one with the smallest hash is added.
     """
-    plain = [c for c, kind in records.dtypes if "map<" not in kind and "variant" not in kind]
-    order = Window.partitionBy("id").orderBy(F.xxhash64(*plain))
-    once = records.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     stored = stored_rows(records.sparkSession, path, records.schema).select(F.col("id").alias("_id"), F.col("heading").alias("_heading"))
     headings = records.select(F.col("heading").alias("_wanted")).distinct()
-    known = stored.join(headings, stored["_heading"].eqNullSafe(headings["_wanted"]), "left_semi").select("_id")
-    fresh = once.join(known, once["id"].eqNullSafe(known["_id"]), "left_anti").select(*records.columns)
-    by_heading(fresh).write.mode("append").parquet(path)
+    known = stored.join(headings, stored["_heading"].eqNullSafe(headings["_wanted"]), "left_semi").select(F.col("_id").alias("id"))
+    by_heading(fresh_records(records, known)).write.mode("append").parquet(path)
 
 
 def index_consistency(facts: DataFrame, index: DataFrame) -> DataFrame:

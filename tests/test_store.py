@@ -176,3 +176,16 @@ def test_shared_folder_needs_a_setting_on_clusters(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert store.shared_folder(spark).startswith(base)
     assert store.shared_folder(spark) != store.shared_folder(spark)
+
+
+def test_whole_rows_move_only_if_some_are_known(spark):
+    """Facts and records that are all new are written where they are; keys alone are compared."""
+    facts = extract_facts(make(spark, 4))
+    none = store.stored_rows(spark, store.shared_folder(spark), FACTS)
+    fresh, repeats = store.fresh_rows(facts, none, store.LINEAGE)
+    assert fresh is facts and not repeats
+    fresh, repeats = store.fresh_rows(facts, facts.where("doc_id > 0"), store.LINEAGE)
+    assert [r.doc_id for r in fresh.collect()] == [0, 0] and not repeats
+    fresh, repeats = store.fresh_rows(facts.unionByName(facts), none, store.LINEAGE)
+    assert fresh.count() == 16 and repeats
+    assert store.fresh_rows(facts, facts, store.LINEAGE)[0].isEmpty()
