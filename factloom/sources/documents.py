@@ -2,10 +2,59 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "source", "company", "text")
+FOLDERS = 256  # files of documents are dealt to so many, which tasks list side by side
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """One file ``doc_id=<id>`` per id of documents(doc_id, text) under the new folder ``path``.
+
+    Each text ends with a NUL, so that an empty one is a file too (Spark skips empty
+    files); texts of one id share its file.  On a mounted folder the tasks write the files
+    themselves, in ``FOLDERS`` folders: Spark's writer makes a folder for each file there,
+    starts a process for each file and folder to set its mode, and leaves the driver to move
+    them.  Other file systems are left to Spark's writer.
+    """
+    rows = documents.select("doc_id", "text").repartition("doc_id")
+    # whether a path is a mounted folder is known once Spark has written there
+    rows.limit(0).select("text").write.text(f"{path}/_probe")
+    root = os.path.normpath(path.removeprefix("file:"))
+    if not os.path.isdir(os.path.join(root, "_probe")):
+        rows.write.mode("append").partitionBy("doc_id").option("lineSep", "\x00").text(path)
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a file is named when it is whole: a second attempt of the task replaces it
+        files, out, last, draft, final = 0, None, None, "", ""
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(draft, final)
+
+        for batch in batches:
+            for doc_id, folder, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if out is None or doc_id != last:
+                    close()
+                    name = f"doc_id={'' if doc_id is None else doc_id}"
+                    final = os.path.join(root, f"folder={folder}", name)
+                    draft = os.path.join(root, f"folder={folder}", f".{name}.{os.urandom(8).hex()}")
+                    os.makedirs(os.path.dirname(final), exist_ok=True)
+                    out, last, files = open(draft, "wb"), doc_id, files + 1
+                out.write((text or b"") + b"\x00")
+        close()
+        yield pa.record_batch([pa.array([files], pa.int64())], names=["files"])
+
+    folder = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS)).cast("int").alias("folder")
+    placed = rows.sortWithinPartitions("doc_id").select("doc_id", folder, F.col("text").cast("binary").alias("text"))
+    placed.mapInArrow(run, "files long").agg(F.sum("files")).first()
 
 
 def load_documents(spark: SparkSession, path: str, company: str | None = None) -> DataFrame:
