@@ -89,7 +89,9 @@ def is_value(c: Column) -> Column:
 
 
 def is_stripped_value(s: Column) -> Column:
-    return (s.rlike(_PLAIN_AMOUNT) | s.rlike(_AMOUNT)) & ~s.rlike(LABEL_PREFIX)
+    # an amount's only white space is the blank, and without white space there is no prefix
+    prefixed = s.contains(" ") & s.rlike(LABEL_PREFIX)
+    return (s.rlike(_PLAIN_AMOUNT) | s.rlike(_AMOUNT)) & ~prefixed
 
 
 def clean_label(c: Column) -> Column:

@@ -156,29 +156,41 @@ def _is_blank(raw: Column) -> Column:
     return F.coalesce(raw.isin(*NULL_CELLS), F.lit(True))
 
 
-def _numbered(header: Column) -> Column:
-    """array<struct<i, name, before>>: before is how often the name came already.
+def _trimmed(text: Column, plain: Column) -> Column:
+    """Most tables are ``plain`` and need only the fast trim."""
+    return F.when(plain, F.trim(text)).otherwise(strip(text))
 
-    Equal names stand together once the header is sorted, so one walk counts
-    them; a header without repeats needs none.
+
+def _named_columns(header: Column, plain: Column) -> Column:
+    """array<struct<i, col>>: every field of a header with its name.
+
+    Fields without a name are called by their place, so only repeats of other names count;
+    a header without them, as most are, needs no counting.
     """
-    plain = F.transform(
-        header, lambda name, i: F.struct(i.alias("i"), name.alias("name"), F.lit(0).alias("before"))
+    simple = F.transform(
+        header, lambda name, i: F.struct(i.alias("i"), _column_name(header, name, i, F.lit(0), plain).alias("col"))
     )
-    by_name = F.array_sort(F.transform(header, lambda name, i: F.struct(name.alias("name"), i.alias("i"))))
-    none = F.array().cast("array<struct<i:int,name:string,before:int>>")
 
-    def count(done: Column, c: Column) -> Column:
-        before = F.when(done["name"] == c["name"], done["before"] + 1).otherwise(F.lit(0))
-        row = F.struct(c["i"].alias("i"), c["name"].alias("name"), before.alias("before"))
-        return F.struct(c["name"].alias("name"), before.alias("before"), F.concat(done["rows"], F.array(row)).alias("rows"))
+    def before(name: Column, i: Column) -> Column:
+        earlier = F.slice(header, F.lit(1), i)
+        return F.when(F.array_position(header, name) == i + 1, F.lit(0)).otherwise(
+            F.size(earlier) - F.size(F.array_remove(earlier, name))
+        )
 
-    start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("before"), none.alias("rows"))
-    counted = F.aggregate(by_name, start, count, lambda done: F.array_sort(done["rows"]))
-    return F.when(F.size(F.array_distinct(header)) == F.size(header), plain).otherwise(counted)
+    counted = F.transform(
+        F.transform(
+            header,
+            lambda name, i: F.struct(i.alias("i"), name.alias("name"), before(name, i).alias("before")),
+        ),
+        lambda c: F.struct(
+            c["i"].alias("i"), _column_name(header, c["name"], c["i"], c["before"], plain).alias("col")
+        ),
+    )
+    names = F.array_remove(header, "")
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), simple).otherwise(counted)
 
 
-def _column_name(header: Column, name: Column, i: Column, before: Column) -> Column:
+def _column_name(header: Column, name: Column, i: Column, before: Column, plain: Column) -> Column:
     """Name of column i; repeats get .1, .2, ... before padding is stripped,
     skipping a numbered name that the header already spells out."""
     spelled = F.filter(header, lambda y: F.startswith(y, F.concat(name, F.lit("."))))
@@ -191,7 +203,7 @@ def _column_name(header: Column, name: Column, i: Column, before: Column) -> Col
     )
     return (
         F.when(name == "", F.concat(F.lit("Unnamed: "), i.cast("string")))
-        .when(before == 0, strip(name))
+        .when(before == 0, _trimmed(name, plain))
         .when(F.size(spelled) == 0, strip(F.concat(name, F.lit("."), before.cast("string"))))
         .otherwise(strip(F.get(free, before - 1)))
     )
@@ -202,31 +214,33 @@ def gridded(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     width, plain, grid).  ``columns`` is array<struct<i, col>>, ``grid`` the
     raw fields of the data rows, where column i is field i + shift; ``plain``
     says that blanks are the only white space."""
-    lines = F.split("block", "\n")
-    parsed = blocks.select(
+    lines = blocks.select(
         "doc_id",
         *keep,
         "table_id",
         "heading",
         (~has_any(F.col("block"), _RARE_WS)).alias("plain"),
-        _cells_raw(F.get(lines, F.lit(0))).alias("header"),
-        _cells_raw(F.get(lines, F.lit(1))).alias("rule"),
+        F.split("block", "\n").alias("lines"),
+    )
+    parsed = lines.select(
+        "doc_id",
+        *keep,
+        "table_id",
+        "heading",
+        "plain",
+        _cells_raw(F.get("lines", F.lit(0))).alias("header"),
+        _cells_raw(F.get("lines", F.lit(1))).alias("rule"),
         F.transform(
-            F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), _cells_raw
+            F.slice("lines", F.lit(3), F.greatest(F.size("lines") - 2, F.lit(0))), _cells_raw
         ).alias("grid"),
     )
     # A rule line with more fields than the header shifts the columns right.
-    shifted = parsed.withColumn("width", F.greatest(F.size("rule"), F.size("header"))).withColumn(
-        "shift", F.col("width") - F.size("header")
-    )
+    # Sizes are never NULL: a filter for that would be pushed down and split all lines twice.
+    fields = [F.coalesce(F.size(c), F.lit(0)) for c in ("rule", "header")]
+    shifted = parsed.withColumn("width", F.greatest(*fields)).withColumn("shift", F.col("width") - fields[1])
     # Columns without any value (the outer edges of "| a | b |") are dropped.
     columns = F.filter(
-        F.transform(
-            _numbered(F.col("header")),
-            lambda c: F.struct(
-                c["i"].alias("i"), _column_name(F.col("header"), c["name"], c["i"], c["before"]).alias("col")
-            ),
-        ),
+        _named_columns(F.col("header"), F.col("plain")),
         lambda c: ~_is_blank(F.get(F.col("rule"), c["i"] + F.col("shift")))
         | F.exists(
             "grid",
@@ -237,11 +251,19 @@ def gridded(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return shifted.withColumn("columns", columns).drop("header", "rule")
 
 
+def grid_rows() -> Column:
+    """Generator of (row_id, raw) over ``grid``.
+
+    It is no plain column: of one Spark would derive a filter, push it down and split all
+    lines twice.
+    """
+    return F.posexplode(F.when(F.size("grid") > 0, F.col("grid"))).alias("row_id", "raw")
+
+
 def cell_text(raw: Column, field: Column, plain: Column) -> Column:
-    """Stripped text of one field of a raw row; missing and null cells empty.
-    Most tables are ``plain`` and need only the fast trim."""
+    """Stripped text of one field of a raw row; missing and null cells empty."""
     cell = F.get(raw, field)
-    return F.when(_is_blank(cell), "").when(plain, F.trim(cell)).otherwise(strip(cell))
+    return F.when(_is_blank(cell), "").otherwise(_trimmed(cell, plain))
 
 
 def table_rows(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -261,7 +283,7 @@ def table_rows(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         gridded(blocks, keep)
         .select(
             "doc_id", *keep, "table_id", "heading", "columns", "shift", "width", "plain",
-            F.posexplode("grid").alias("row_id", "raw"),
+            grid_rows(),
         )
         .where(F.size("raw") <= F.col("width"))
         .select("doc_id", *keep, "table_id", "heading", "row_id", cells.alias("cells"))
@@ -274,7 +296,7 @@ def rejected_rows(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         gridded(blocks, keep)
         .select(
             "doc_id", *keep, "table_id", "heading", "width",
-            F.posexplode("grid").alias("row_id", "raw"),
+            grid_rows(),
         )
         .where(F.size("raw") > F.col("width"))
         .select(

@@ -9,54 +9,57 @@ from pyspark.sql import functions as F
 
 from factloom.defaults import CODE_COLUMN, HEADING_MARKERS, IGNORED_COLUMNS
 from factloom.functions.text import clean_label, is_stripped_value, numeric_value
-from factloom.operators.blocks import cell_text, gridded, table_blocks
+from factloom.operators.blocks import cell_text, grid_rows, gridded, table_blocks
 
 LINEAGE = ("doc_id", "table_id", "row_id", "col_id")
 
 
+FIRST_COLUMNS = 2  # where labels are looked for before all columns are
+
+
 def _labelled_rows(
     blocks: DataFrame,
     keep: Sequence[str],
     ignored_columns: Sequence[str],
     code_column: str = CODE_COLUMN,
 ) -> DataFrame:
-    """One row per data row: ``used``, its non-empty cells outside the ignored
-    columns, ``label`` (empty or NULL if none) and ``item_code``.
+    """One row per data row: ``raw`` fields, ``columns`` outside the ignored ones,
+    ``label`` (empty or NULL if none) and ``item_code``.
 
     What depends on the header alone is settled once per block, before the
     rows are exploded.
     """
+    ignored = F.array(*[F.lit(c) for c in ignored_columns]).cast("array<string>")
     named = F.filter("columns", lambda c: c["col"] == code_column)
     tables = gridded(blocks, keep).select(
         "doc_id", *keep, "table_id", "heading", "width", "grid", "shift", "plain",
-        F.filter("columns", lambda c: ~F.lower(c["col"]).isin(*ignored_columns)).alias("columns"),
+        F.filter("columns", lambda c: ~F.array_contains(ignored, F.lower(c["col"]))).alias("columns"),
         (F.get(named, F.lit(0))["i"] + F.col("shift")).alias("code_field"),
     )
     rows = tables.select(
-        "doc_id", *keep, "table_id", "heading", "width", "shift", "plain", "columns", "code_field",
-        F.posexplode("grid").alias("row_id", "raw"),
+        "doc_id", *keep, "table_id", "heading", "width", "shift", "plain", "columns", "code_field", grid_rows(),
     ).where(F.size("raw") <= F.col("width"))
-    cells = F.transform(
-        "columns",
-        lambda c: F.struct(
-            c["i"].alias("col_idx"),
-            c["col"].alias("col"),
-            cell_text(F.col("raw"), c["i"] + F.col("shift"), F.col("plain")).alias("cell"),
-        ),
-    )
-    used = F.transform(
-        F.filter(cells, lambda x: x["cell"] != ""),
-        lambda x: F.struct(x.alias("x"), is_stripped_value(x["cell"]).alias("amount")),
-    )
+
+    def text(c: Column) -> Column:
+        return cell_text(F.col("raw"), c["i"] + F.col("shift"), F.col("plain"))
+
+    def is_text(cell: Column) -> Column:
+        return (cell != "") & ~is_stripped_value(cell)
+
+    # The label is the first text of a row.  Most rows have it in front, where compiled
+    # expressions find it; only for the others a lambda goes through all columns.
+    first_text = F.get(F.filter(F.transform("columns", text), is_text), F.lit(0))
+    for k in reversed(range(FIRST_COLUMNS)):
+        cell = text(F.get("columns", F.lit(k)))
+        first_text = F.when(is_text(cell), cell).otherwise(first_text)
     code = F.when(
         F.col("code_field").isNotNull(),
         cell_text(F.col("raw"), F.col("code_field"), F.col("plain")),
     )
-    first_text = F.get(F.filter("used", lambda x: ~x["amount"]), F.lit(0))["x"]["cell"]
     return rows.select(
-        "doc_id", *keep, "table_id", "heading", "row_id",
-        used.alias("used"), code.alias("item_code"),
-    ).withColumn("label", clean_label(first_text))
+        "doc_id", *keep, "table_id", "heading", "row_id", "raw", "shift", "plain", "columns",
+        code.alias("item_code"), first_text.alias("first_text"),
+    ).withColumn("label", clean_label(F.col("first_text"))).drop("first_text")
 
 
 def _is_label(label: Column, strict_labels: bool) -> Column:
@@ -91,28 +94,28 @@ def facts_from_blocks(
     ``strict_labels`` leaves out rows whose label is just a dash.
     """
     cleaned = blocks.withColumn("heading", clean_label(F.col("heading")))
-    amounts = F.filter(
-        "used",
-        lambda x: x["amount"]
-        & (x["x"]["cell"] != F.col("label"))
-        & _is_label(F.col("label"), strict_labels),
-    )
+    # Cells are rows before they are looked at, so that their rules are compiled.  The label
+    # is judged inside the generator: as a filter this would be pushed down and find it twice.
+    columns = F.when(_is_label(F.col("label"), strict_labels), F.col("columns"))
+    cell = cell_text(F.col("raw"), F.col("c.i") + F.col("shift"), F.col("plain"))
     return (
         _labelled_rows(cleaned, ("company", "source"), ignored_columns, code_column)
         .select(
             "doc_id", "table_id", "row_id", "company", "heading", "source", "label", "item_code",
-            F.explode(amounts).alias("a"),
+            "raw", "shift", "plain", F.explode(columns).alias("c"),
         )
+        .withColumn("value", cell)
+        .where(is_stripped_value(F.col("value")) & (F.col("value") != F.coalesce("label", F.lit(""))))
         .select(
             "doc_id",
             "table_id",
             "row_id",
-            F.col("a.x.col_idx").alias("col_id"),
+            F.col("c.i").alias("col_id"),
             "company",
             "heading",
             "item_code",
-            F.concat("label", F.lit(" | "), "a.x.col").alias("item_name"),
-            F.col("a.x.cell").alias("value"),
+            F.concat("label", F.lit(" | "), "c.col").alias("item_name"),
+            "value",
             "source",
         )
     )

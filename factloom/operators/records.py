@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.defaults import COMPANY_WORD, TABLE_WORD, VALUE_WORD, literal_table
+from factloom.sources.store import shared_folder
 
 DIMENSION = 384
 
@@ -63,10 +64,13 @@ def positional_ids(facts: DataFrame, buckets: int = 256) -> DataFrame:
     document, and of the document.  The last comes from prefix sums over the
     documents of a key range and over the at most ``buckets`` ranges, so the
     windows see one table's facts, one document's tables, and one range's
-    documents; no task sees all rows.
+    documents; no task sees all rows.  The facts of each table are counted once and the
+    counts kept in the shared folder, so the facts are read twice in all.
     """
     spark = facts.sparkSession
-    per_table = facts.groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).alias("n"))
+    path = shared_folder(spark)
+    facts.groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    per_table = spark.read.parquet(path)
     per_doc = per_table.groupBy("doc_id").agg(F.sum("n").alias("n"))
     edges = per_doc.agg(
         F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets + 1)], 10_000)

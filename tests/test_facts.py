@@ -118,3 +118,20 @@ def test_item_parts_and_years(spark):
     assert [(r.label, r.period, r.y) for r in rows] == [
         ("a | b", "31/12/2024VND", 2024), ("x", "", None), ("y", "Năm 2023VND", 2023),
     ]
+
+
+def test_label_behind_amounts_and_blanks(spark):
+    text = "# H\n| a | b | c | d |\n|-|-|-|-|\n| 1 | 2 | 1. x | 7 |\n| | NA | | y | 9 |\n| 3 | 4 | 5 | z | 6 |\n| 8 | | 9 |"
+    # the second and third rows are wider than the table, the last has no text
+    assert extract(spark, text) == [("H", None, "x | a", "1"), ("H", None, "x | b", "2"), ("H", None, "x | d", "7")]
+    late = "# H\n| a | b | c | d |\n|-|-|-|-|\n| 1 | | | late |\n| | | | late |"
+    assert extract(spark, late, ignored_columns=()) == [("H", None, "late | a", "1")]
+    # no text in a row, and a table with ignored columns only
+    assert extract(spark, "# H\n| Mã số |\n|-|\n| x |") == []
+
+
+def test_lines_are_split_once(spark):
+    docs = spark.createDataFrame([(1, "s.md", "C", REPORT)], SCHEMA)
+    plan = facts.extract_facts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    # header, rule line and data rows, each in one place: in no filter pushed down
+    assert plan.count("\\|, -1)") == 3

@@ -189,3 +189,12 @@ def test_whole_rows_move_only_if_some_are_known(spark):
     fresh, repeats = store.fresh_rows(facts.unionByName(facts), none, store.LINEAGE)
     assert fresh.count() == 16 and repeats
     assert store.fresh_rows(facts, facts, store.LINEAGE)[0].isEmpty()
+
+
+def test_positional_ids_count_facts_once(spark, tmp_path):
+    rows = [(d, t, r, 0) for d in range(5) for t in range(2) for r in range(3)]
+    spark.createDataFrame(rows, "doc_id long, table_id int, row_id int, col_id int").write.parquet(str(tmp_path / "facts"))
+    got = positional_ids(spark.read.parquet(str(tmp_path / "facts")))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "row_id" in line for line in plan.splitlines()) == 1
+    assert [int(r.id) for r in got.orderBy("doc_id", "table_id", "row_id").collect()] == list(range(30))
