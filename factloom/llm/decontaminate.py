@@ -46,9 +46,11 @@ ANSWER_WORDS = 5
 COMMON, MIN_RARE = 0.2, 4
 SHARED = 0.2  # share of an item's positions that its rarer words must give
 CHUNK_BYTES = 1 << 20
-PART_WORDS = 1 << 19  # words of documents searched at once
+PIECE_BYTES = 1 << 20  # text of documents hashed at once
+PART_WORDS = 1 << 17  # words of documents searched at once
 BLOCK_PASSAGES = 2048
-PRODUCT_CELLS = 4 << 20  # cosines computed at once
+PRODUCT_CELLS = 1 << 18  # cosines computed at once, few enough to stay in a cache
+CELLS = 1 << 20  # cells of other tables made at once
 SCHEMA = "doc_id long, item_id long, coverage double, cosine double, answer boolean, by_cosine boolean"
 
 
@@ -74,9 +76,30 @@ class Vocabulary:
         return at[same], number[same]
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorts ``keys`` in place."""
+    keys.sort()
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+def _batches(load: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose load adds up to about ``CELLS``."""
+    total = np.cumsum(load)
+    a = 0
+    while a < len(total):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CELLS, side="right")))
+        yield a, b
+        a = b
+
+
+def _ranges(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1 and so on, lengths[i] numbers for every i."""
+    return np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in wordhash.pieces(batch.column("text")):
+        for a, b in wordhash.pieces(batch.column("text"), PIECE_BYTES):
             yield batch.slice(a, b - a)
 
 
@@ -143,7 +166,7 @@ def passage_frequencies(marked: DataFrame, size: int) -> tuple[np.ndarray, int]:
         for _, words in _parts(batches, size):
             passage, begin = words.passages(words.at, PASSAGE)
             total += int(begin[-1])
-            count += np.bincount(np.unique(passage * size + words.number[words.at]) % size, minlength=size)
+            count += np.bincount(_distinct(passage * size + words.number[words.at]) % size, minlength=size)
         told = np.flatnonzero(count)
         yield pa.record_batch(
             [pa.array(np.r_[told, -1]), pa.array(np.r_[count[told], total])], names=["number", "n"]
@@ -234,6 +257,30 @@ def _cuts(n: int) -> list[tuple[int, int]]:
     return [(min(a, n - PASSAGE), min(a, n - PASSAGE) + PASSAGE) for a in range(0, n - PASSAGE // 2, PASSAGE // 2)]
 
 
+def _row_sums(values: np.ndarray, side: np.ndarray, at: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of values x side[at] from each head to the next.
+
+    The first entries of all sums are added, then the second ones: so many steps as the
+    longest sums have, of which those beyond ``PASSAGE`` entries are added by themselves.
+    """
+    lengths = np.diff(np.append(heads, len(at)))
+    order = np.argsort(-lengths, kind="stable")
+    sums = np.zeros((len(heads), side.shape[1]), side.dtype)
+    long = int(np.count_nonzero(lengths > PASSAGE))
+    for k in order[:long].tolist():
+        a, b = heads[k], heads[k] + lengths[k]
+        sums[k] = values[a:b, 0] @ side[at[a:b]]
+    order = order[long:]
+    begin, falling = heads[order], -lengths[order]
+    part = np.zeros((len(order), side.shape[1]), side.dtype)
+    for step in range(int(-falling[0]) if len(order) else 0):
+        n = int(np.searchsorted(falling, -step))
+        place = begin[:n] + step
+        part[:n] += values[place] * side[at[place]]
+    sums[order] = part
+    return sums
+
+
 def latent_basis(table: DataFrame, sparse, width: int, rank: int) -> np.ndarray:
     """Right singular vectors (width x rank) of the sparse rows A that ``sparse`` makes of Arrow batches.
 
@@ -251,7 +298,7 @@ def latent_basis(table: DataFrame, sparse, width: int, rank: int) -> np.ndarray:
             for i in range(0, len(begins), BLOCK_PASSAGES):
                 a, b = begins[i], begins[i + BLOCK_PASSAGES] if i + BLOCK_PASSAGES < len(begins) else len(places)
                 p, v, heads = places[a:b], values[a:b, None], begins[i : i + BLOCK_PASSAGES] - a
-                yield p, v, heads, np.add.reduceat(v * side[p], heads)
+                yield p, v, heads, _row_sums(v, side, p, heads)
 
     def summed(run, height: int) -> np.ndarray:
         def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +318,7 @@ def latent_basis(table: DataFrame, sparse, width: int, rank: int) -> np.ndarray:
             order = np.argsort(p, kind="stable")
             row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(p))))[order]
             first = np.flatnonzero(np.diff(p[order], prepend=-1))
-            total[p[order][first]] += np.add.reduceat(v[order] * image[row], first)
+            total[p[order][first]] += _row_sums(v[order], image, row, first)
         return total
 
     def core(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -345,11 +392,11 @@ def _holds(region: np.ndarray, phrase: np.ndarray) -> bool:
     return bool(same.any())
 
 
-def _near_passages(words: Marked, items: Items) -> Iterator[tuple[int, int, list[int]]]:
-    """(text, first of ``PASSAGE`` places, items): where a window is near a passage of the items."""
-    at = words.at[items.basis[words.number[words.at]].any(axis=1)]
+def _near_passages(words: Marked, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first of ``PASSAGE`` places, item): where a window is near a passage of the item; by place and item."""
+    at = words.at[items.basis.any(axis=1)[words.number[words.at]]]
     if not len(at):
-        return
+        return at, at, at
     # texts in blocks of STEP words, with empty blocks behind so that no window spans two texts
     span = PASSAGE // STEP
     block, begin = words.passages(at, STEP)
@@ -366,21 +413,40 @@ def _near_passages(words: Marked, items: Items) -> Iterator[tuple[int, int, list
     size = np.linalg.norm(windows, axis=1)
     some, n_items = np.flatnonzero(size > 1e-6), len(items.words)
     step = max(64, PRODUCT_CELLS // len(items.passages))
-    found = [np.zeros(0, np.int64)]
+    whose = np.searchsorted(begin, some, side="right") - 1
+    tiles = (begin[whose] + (some - begin[whose]) // span) * n_items
+    found, passages = [np.zeros(0, np.int64)], np.ascontiguousarray(items.passages.T)
     for a in range(0, len(some), step):
         own = some[a : a + step]
-        near = windows[own] @ items.passages.T >= MIN_COSINE * size[own, None]
-        window, passage = np.nonzero(near)
-        t = np.searchsorted(begin, own[window], side="right") - 1
-        tile = begin[t] + (own[window] - begin[t]) // span
-        found.append(np.unique(tile * n_items + items.owner[passage]))
-    key = np.unique(np.concatenate(found))
-    t = np.searchsorted(begin, key // n_items, side="right") - 1
-    first = words.first[t] + (key // n_items - begin[t]) * PASSAGE
-    edges = np.flatnonzero(np.diff(key // n_items, prepend=-1))
-    near = (key % n_items).tolist()
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(key)]):
-        yield int(t[a]), int(first[a]), near[a:b]
+        near = np.flatnonzero(windows[own] @ passages >= MIN_COSINE * size[own, None])
+        found.append(_distinct(tiles[a + near // len(items.owner)] + items.owner[near % len(items.owner)]))
+    key = _distinct(np.concatenate(found))
+    tile, item = key // n_items, key % n_items
+    t = np.searchsorted(begin, tile, side="right") - 1
+    return t, words.first[t] + (tile - begin[t]) * PASSAGE, item
+
+
+def _covered(words: Marked, items: Items, text: np.ndarray, place: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Which of the items the surroundings of the passage at a place can cover; all rows of a place stand together."""
+    sizes = np.array([len(w) for w in items.words])
+    flat, head = np.concatenate(items.words), np.cumsum(sizes) - sizes
+    edges = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    if not len(edges):
+        return np.zeros(0, bool)
+    ends = np.append(edges[1:], len(place))
+    n = np.maximum.reduceat(sizes[item], edges)
+    low = np.maximum(words.first[text[edges]], place[edges] - n)
+    high = np.minimum(words.first[text[edges] + 1], place[edges] + 2 * PASSAGE + n)
+    width, kept = items.size + 1, np.zeros(len(item), bool)
+    for a, b in _batches(width + np.add.reduceat(sizes[item], edges)):
+        held = np.zeros((b - a) * width, bool)
+        lengths = np.maximum(high[a:b] - low[a:b], 0)  # a window may begin behind the last word
+        held[np.repeat(np.arange(b - a) * width, lengths) + words.number[_ranges(low[a:b], lengths)]] = True
+        own = item[edges[a] : ends[b - 1]]
+        row = np.repeat(np.repeat(np.arange(b - a) * width, ends[a:b] - edges[a:b]), sizes[own])
+        count = np.add.reduceat(held[row + flat[_ranges(head[own], sizes[own])]], np.cumsum(sizes[own]) - sizes[own], dtype=np.int64)
+        kept[edges[a] : ends[b - 1]] = count / sizes[own] >= COVERED_WITH_ANSWER
+    return kept
 
 
 def _sharing_rare_words(words: Marked, items: Items) -> Iterator[tuple[int, int, int]]:
@@ -399,23 +465,21 @@ def _sharing_rare_words(words: Marked, items: Items) -> Iterator[tuple[int, int,
         text = np.searchsorted(words.first, at, side="right") - 1
         tile = begin[text] + (at - words.first[text]) // gate.reach
         # surroundings of places in a tile reach from the tile before to the second one after
-        there = np.unique(tile * size + word)
+        there = _distinct(tile * size + word)
         whose = np.append(np.repeat(np.arange(len(tiles)), tiles), [-1, -2])
         tile = there // size
         near = [there + d * size for d in (-2, -1, 0, 1)]
-        pair = np.unique(np.concatenate([x[whose[x // size] == whose[tile]] for x in near]))
-        # a few million postings at a time, never cutting a tile in two
-        load = np.cumsum(counts[pair % size])
-        edges = np.flatnonzero(np.diff(pair // size, prepend=-1))
-        cuts = edges[np.unique(np.searchsorted(load[edges], np.arange(0, load[-1] + 1, 4 << 20)).clip(max=len(edges) - 1))]
-        for a, b in zip(cuts, [*cuts[1:], len(pair)]):
-            where, own = pair[a:b] // size, pair[a:b] % size
-            n = counts[own]
-            slot = np.repeat(gate.indptr[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            key, group = np.unique(np.repeat(where, n) * n_items + gate.holders[slot], return_inverse=True)
-            mass = np.bincount(group, gate.positions[slot], minlength=len(key))
-            key = key[mass >= gate.shared[key % n_items]]
-            for place, k in zip((key // n_items).tolist(), (key % n_items).tolist()):
+        pair = _distinct(np.concatenate([x[whose[x // size] == whose[tile]] for x in near]))
+        where, own = pair // size, pair % size
+        edges = np.flatnonzero(np.diff(where, prepend=-1))
+        ends, n = np.append(edges[1:], len(pair)), counts[own]
+        for a, b in _batches(n_items + np.add.reduceat(n, edges)):
+            i, j = edges[a], ends[b - 1]
+            slot = _ranges(gate.indptr[own[i:j]], n[i:j])
+            row = np.repeat(np.repeat(np.arange(b - a) * n_items, ends[a:b] - edges[a:b]), n[i:j])
+            mass = np.bincount(row + gate.holders[slot], gate.positions[slot], minlength=(b - a) * n_items)
+            row, item = np.nonzero(mass.reshape(b - a, n_items) >= gate.shared)
+            for place, k in zip(where[edges[a + row]].tolist(), item.tolist()):
                 t = int(np.searchsorted(begin, place, side="right")) - 1
                 yield t, int(words.first[t]) + (place - int(begin[t])) * gate.reach, k
 
@@ -444,16 +508,6 @@ def _matches(words: Marked, items: Items) -> dict[tuple[int, int], tuple[float,
         marked[words.number[low:high]] = False
         return share
 
-    def enough(text: int, place: int, near: list[int]) -> list[int]:
-        """Those of the items that the surroundings of a passage can cover."""
-        sizes = np.array([len(items.words[k]) for k in near])
-        n = int(sizes.max())
-        region = words.number[max(words.first[text], place - n) : min(words.first[text + 1], place + 2 * PASSAGE + n)]
-        marked[region] = True
-        held = np.add.reduceat(marked[np.concatenate([items.words[k] for k in near])], np.cumsum(sizes) - sizes, dtype=np.int64)
-        marked[region] = False
-        return [near[i] for i in np.flatnonzero(held / sizes >= COVERED_WITH_ANSWER).tolist()]
-
     def verify(text: int, place: int, span: int, k: int, by_cosine: bool) -> None:
         item, n = items.words[k], len(items.words[k])
         head, tail = int(words.first[text]), int(words.first[text + 1])
@@ -480,9 +534,10 @@ def _matches(words: Marked, items: Items) -> dict[tuple[int, int], tuple[float,
                 if coverage == 1.0:
                     return
 
-    for text, place, near in _near_passages(words, items):
-        for k in enough(text, place, near):
-            verify(text, place, PASSAGE, k, True)
+    near = _near_passages(words, items)
+    kept = _covered(words, items, *near)
+    for text, place, k in zip(*(x[kept].tolist() for x in near)):
+        verify(text, place, PASSAGE, k, True)
     for text, place, k in _sharing_rare_words(words, items):
         verify(text, place, reach[k], k, False)
     return found

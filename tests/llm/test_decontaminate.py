@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -143,3 +144,52 @@ def test_long_documents_and_parts(spark, documents, monkeypatch):
     benchmark = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
     found = decontaminate.contaminated(documents([(i, " ".join(w)) for i, w in rows]), benchmark).collect()
     assert {(r.doc_id, r.item_id, r.coverage, r.by_cosine) for r in found} == {(1, 5, 1.0, True), (3, 5, 1.0, True)}
+
+
+def test_sums_of_rows_of_any_length():
+    draw = np.random.default_rng(8)
+    lengths = np.array([1, 3, 500, 32, 33, 1, 7])
+    at, values, side = draw.integers(0, 40, lengths.sum()), draw.normal(size=(lengths.sum(), 1)), draw.normal(size=(40, 6))
+    heads = np.cumsum(lengths) - lengths
+    assert np.allclose(decontaminate._row_sums(values, side, at, heads), np.add.reduceat(values * side[at], heads))
+    assert decontaminate._row_sums(values[:0], side, at[:0], heads[:0]).shape == (0, 6)
+
+
+def test_covered_items_are_those_of_each_place(monkeypatch):
+    draw = np.random.default_rng(9)
+    size = 30
+    words = [draw.integers(0, size, n) for n in (5, 12, 40)]
+    items = decontaminate.Items([1, 2, 3], words, size, np.zeros((size, 1)), np.zeros((3, 1)), np.arange(3), [])
+    lengths = np.array([10, 0, 200, 3, 90])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    number = draw.integers(0, 4 * size, first[-1]).clip(max=size)
+    marked = decontaminate.Marked(first, number, np.flatnonzero(number < size))
+    places = [(t, int(first[t]) + d) for t in (0, 2, 3, 4) for d in range(0, int(lengths[t]) + 24, 32)]  # some begin behind the text
+    rows = [(t, p, k) for t, p in places for k in sorted(draw.choice(3, draw.integers(1, 4), replace=False).tolist())]
+    wanted = []
+    for t, p, _k in rows:
+        n = max(len(words[k]) for u, q, k in rows if (u, q) == (t, p))
+        region = set(number[max(first[t], p - n) : min(first[t + 1], p + 2 * decontaminate.PASSAGE + n)].tolist())
+        wanted.append(sum(w in region for w in words[_k].tolist()) / len(words[_k]) >= decontaminate.COVERED_WITH_ANSWER)
+    for cells in (1, 1 << 20):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        assert decontaminate._covered(marked, items, *np.array(rows).T).tolist() == wanted
+    assert any(wanted) and not all(wanted)
+
+
+def test_search_makes_no_large_tables():
+    draw = np.random.default_rng(10)
+    size, n = 2000, 1 << 17
+    items = [draw.integers(0, size, 30) for _ in range(300)]
+    basis = draw.normal(size=(size, 96)).astype(np.float32)
+    passages = np.stack([basis[w].sum(axis=0) for w in items])
+    passages /= np.linalg.norm(passages, axis=1)[:, None]
+    chunk = decontaminate.Items(list(range(300)), items, size, basis, passages, np.arange(300), [])
+    assert decontaminate.PART_WORDS <= n
+    marked = decontaminate.Marked(np.array([0, n]), draw.integers(0, size, n), np.arange(n))
+    tracemalloc.start()
+    near = decontaminate._near_passages(marked, chunk)
+    assert len(near[0]) == len(decontaminate._covered(marked, chunk, *near))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
