@@ -48,6 +48,7 @@ SHARED = 0.2  # share of an item's positions that its rarer words must give
 CHUNK_BYTES = 1 << 20
 PIECE_BYTES = 1 << 20  # text of documents hashed at once
 PART_WORDS = 1 << 17  # words of documents searched at once
+FITTED_WORDS = 1 << 19  # and of those the latent space is made of
 BLOCK_PASSAGES = 2048
 PRODUCT_CELLS = 1 << 18  # cosines computed at once, few enough to stay in a cache
 CELLS = 1 << 20  # cells of other tables made at once
@@ -140,14 +141,14 @@ def known_words(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words int, places array<int>, numbers array<int>")
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, Marked]]:
-    """Documents of about ``PART_WORDS`` words at a time; a longer one is a part of its own."""
+def _parts(batches: Iterator[pa.RecordBatch], size: int, limit: int) -> Iterator[tuple[pa.RecordBatch, Marked]]:
+    """Documents of about so many words at a time; a longer one is a part of its own."""
     for batch in batches:
         total = np.cumsum(batch.column("n_words").to_numpy().astype(np.int64))
         a = 0
         while a < len(total):
             had = total[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(total, had + PART_WORDS, side="right")))
+            b = max(a + 1, int(np.searchsorted(total, had + limit, side="right")))
             part = batch.slice(a, b - a)
             first = np.concatenate([[0], total[a:b] - had])
             own = pc.list_value_length(part.column("places")).to_numpy()
@@ -163,7 +164,7 @@ def passage_frequencies(marked: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, total = np.zeros(size, np.int64), 0
-        for _, words in _parts(batches, size):
+        for _, words in _parts(batches, size, PART_WORDS):
             passage, begin = words.passages(words.at, PASSAGE)
             total += int(begin[-1])
             count += np.bincount(_distinct(passage * size + words.number[words.at]) % size, minlength=size)
@@ -183,7 +184,7 @@ def _weighted_passages(size: int, weight: np.ndarray):
     """Sparse TF-IDF rows of unit length: (places, values, first entry of each row)."""
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for _, words in _parts(batches, size):
+        for _, words in _parts(batches, size, FITTED_WORDS):
             at = words.at[weight[words.number[words.at]] > 0]
             if not len(at):
                 continue
@@ -257,30 +258,6 @@ def _cuts(n: int) -> list[tuple[int, int]]:
     return [(min(a, n - PASSAGE), min(a, n - PASSAGE) + PASSAGE) for a in range(0, n - PASSAGE // 2, PASSAGE // 2)]
 
 
-def _row_sums(values: np.ndarray, side: np.ndarray, at: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Sums of values x side[at] from each head to the next.
-
-    The first entries of all sums are added, then the second ones: so many steps as the
-    longest sums have, of which those beyond ``PASSAGE`` entries are added by themselves.
-    """
-    lengths = np.diff(np.append(heads, len(at)))
-    order = np.argsort(-lengths, kind="stable")
-    sums = np.zeros((len(heads), side.shape[1]), side.dtype)
-    long = int(np.count_nonzero(lengths > PASSAGE))
-    for k in order[:long].tolist():
-        a, b = heads[k], heads[k] + lengths[k]
-        sums[k] = values[a:b, 0] @ side[at[a:b]]
-    order = order[long:]
-    begin, falling = heads[order], -lengths[order]
-    part = np.zeros((len(order), side.shape[1]), side.dtype)
-    for step in range(int(-falling[0]) if len(order) else 0):
-        n = int(np.searchsorted(falling, -step))
-        place = begin[:n] + step
-        part[:n] += values[place] * side[at[place]]
-    sums[order] = part
-    return sums
-
-
 def latent_basis(table: DataFrame, sparse, width: int, rank: int) -> np.ndarray:
     """Right singular vectors (width x rank) of the sparse rows A that ``sparse`` makes of Arrow batches.
 
@@ -298,7 +275,7 @@ def latent_basis(table: DataFrame, sparse, width: int, rank: int) -> np.ndarray:
             for i in range(0, len(begins), BLOCK_PASSAGES):
                 a, b = begins[i], begins[i + BLOCK_PASSAGES] if i + BLOCK_PASSAGES < len(begins) else len(places)
                 p, v, heads = places[a:b], values[a:b, None], begins[i : i + BLOCK_PASSAGES] - a
-                yield p, v, heads, _row_sums(v, side, p, heads)
+                yield p, v, heads, np.add.reduceat(v * side[p], heads)
 
     def summed(run, height: int) -> np.ndarray:
         def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +295,7 @@ def latent_basis(table: DataFrame, sparse, width: int, rank: int) -> np.ndarray:
             order = np.argsort(p, kind="stable")
             row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(p))))[order]
             first = np.flatnonzero(np.diff(p[order], prepend=-1))
-            total[p[order][first]] += _row_sums(v[order], image, row, first)
+            total[p[order][first]] += np.add.reduceat(v[order] * image[row], first)
         return total
 
     def core(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -575,7 +552,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _searcher(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words in _parts(batches, items.size):
+        for part, words in _parts(batches, items.size, PART_WORDS):
             found = _matches(words, items)
             pairs = list(found)
             kinds = (pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
