@@ -37,6 +37,8 @@ from factloom.llm.tables import saved, text_bytes
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 3, 4  # the least similarity
+PIECE_BYTES = 1 << 20  # text hashed at once, which takes some fifty times as much memory
+DEALT_BYTES = 8 << 20  # text whose sets are dealt at once
 BUCKET_BYTES = 32 << 20  # text behind one bucket
 ROUNDS = 2
 TREE_ROWS = 500  # sets walked together
@@ -79,7 +81,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in wordhash.pieces(batch.column("text")):
+        for a, b in wordhash.pieces(batch.column("text"), PIECE_BYTES):
             part = batch.slice(a, b - a)
             sets = shingle_sets(part.column("text"))
             yield pa.record_batch(
@@ -93,18 +95,19 @@ def _deal(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in wordhash.pieces(batch.column("text"), 16 << 20):
+            for a, b in wordhash.pieces(batch.column("text"), DEALT_BYTES):
                 text, sets = batch.column("text").slice(a, b - a), {}
-                for c, d in wordhash.pieces(text):  # sets are small, making them is not
+                for c, d in wordhash.pieces(text, PIECE_BYTES):  # sets are small, making them is not
                     sets |= {set_id(s): s for s in shingle_sets(text.slice(c, d - c)) if len(s)}
                 if not sets:
                     continue
                 ids = list(sets)
                 codes = np.concatenate(list(sets.values()))
-                whose = np.repeat(np.arange(len(ids)), [len(s) for s in sets.values()])
+                whose = np.repeat(np.arange(len(ids), dtype=np.int32), [len(s) for s in sets.values()])
+                sets.clear()
                 half = codes < np.uint64(1 << 63)
                 codes, whose = codes[half], whose[half]
-                place = ((codes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                place = ((codes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(place, kind="stable")
                 codes, whose, place = codes[order].astype(np.uint32), whose[order], place[order]
                 cuts = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
@@ -133,12 +136,12 @@ def _alone(table: pa.Table) -> pa.Table:
                 names.append(name)
                 counts.append(int(sizes[k]))
                 codes.append(part[end - sizes[k] : end])
-    code, whose = np.concatenate(codes), np.repeat(np.arange(len(names)), counts)
-    order = np.argsort(code, kind="stable")
-    code = code[order]
-    fresh = np.r_[True, code[1:] != code[:-1]]
-    single = fresh & np.r_[fresh[1:], True]
-    alone = np.bincount(whose[order][single], minlength=len(names))
+    # code and owner in one number, sorted in place
+    owned = np.concatenate(codes).astype(np.uint64) << np.uint64(32)
+    owned |= np.repeat(np.arange(len(names), dtype=np.uint32), counts)
+    owned.sort()
+    fresh = np.r_[True, owned[1:] >> np.uint64(32) != owned[:-1] >> np.uint64(32), True]
+    alone = np.bincount((owned[fresh[:-1] & fresh[1:]] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(names))
     told = np.flatnonzero(alone)
     return pa.table({"set_id": pa.array([names[k] for k in told], pa.binary()), "alone": pa.array(alone[told], pa.int64())})
 
@@ -146,7 +149,7 @@ def _alone(table: pa.Table) -> pa.Table:
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of the texts that still have the set they were chosen for."""
     for batch in batches:
-        for a, b in wordhash.pieces(batch.column("text")):
+        for a, b in wordhash.pieces(batch.column("text"), PIECE_BYTES):
             part = batch.slice(a, b - a)
             sets = shingle_sets(part.column("text"))
             keep = [i for i, (s, name) in enumerate(zip(sets, part.column("set_id").to_pylist())) if set_id(s) == name]
@@ -245,7 +248,7 @@ def _best_partner(prefix: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
 def cross_links(
     ids: list[int], sizes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], sides: np.ndarray | None = None
 ) -> list[tuple[int, int]]:
-    """Links between different parts (and ``sides``) among some sets, enough to connect them.
+    """Links between different parts (and both ``sides``) among some sets, enough to connect them.
 
     The prefix tree of all sets is walked level by level, common shingles first:
     each level adds its shingles to the overlaps of all pairs at once, and a pair
@@ -261,19 +264,22 @@ def cross_links(
     column, owner = rank[level][order], owner[order]
     sizes = sizes.astype(np.float32)
     rest = np.bincount(owner, minlength=len(sets)).astype(np.float32)
-    need = np.ceil(NUMERATOR * (sizes[:, None] + sizes[None, :]) / (NUMERATOR + DENOMINATOR))
-    alive = np.minimum(sizes[:, None], sizes[None, :]) * DENOMINATOR >= np.maximum(sizes[:, None], sizes[None, :]) * NUMERATOR
-    alive &= parts[:, None] < parts[None, :]
+    # only cells of pairs that may link are made: all pairs once, or those of one side with the other
+    left = right = np.arange(len(sets))
     if sides is not None:
-        alive &= sides[:, None] != sides[None, :]
+        left, right = np.flatnonzero(sides == sides[0]), np.flatnonzero(sides != sides[0])
+    n, m = sizes[left, None], sizes[None, right]
+    need = np.ceil(NUMERATOR * (n + m) / (NUMERATOR + DENOMINATOR))
+    alive = np.minimum(n, m) * DENOMINATOR >= np.maximum(n, m) * NUMERATOR
+    alive &= parts[left, None] < parts[None, right] if sides is None else parts[left, None] != parts[None, right]
     overlap = np.zeros(alive.shape, np.float32)
     for begin in range(0, int(column[-1]) + 1 if len(column) else 0, LEVELS):
         i, j = np.searchsorted(column, [begin, begin + LEVELS])
         x = np.zeros((len(sets), LEVELS), np.float32)
         x[owner[i:j], column[i:j] - begin] = 1
-        overlap += x @ x.T
+        overlap += x[left] @ x[right].T
         rest -= x.sum(axis=1)
-        alive &= overlap + np.minimum(rest[:, None], rest[None, :]) >= need
+        alive &= overlap + np.minimum(rest[left, None], rest[None, right]) >= need
         if not alive.any():
             return []
     root: dict[int, int] = {}
@@ -284,7 +290,8 @@ def cross_links(
         return x
 
     links = []
-    for i, j in np.argwhere(alive & (overlap >= need)).tolist():
+    found = np.nonzero(alive & (overlap >= need))
+    for i, j in zip(left[found[0]].tolist(), right[found[1]].tolist()):
         a, b = find(int(parts[i])), find(int(parts[j]))
         if a != b:
             root[a] = b

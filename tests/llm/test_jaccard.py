@@ -1,7 +1,11 @@
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from factloom.llm import jaccard
 
@@ -103,3 +107,49 @@ def test_odd_rows(spark, documents, odd):
     assert jaccard.link_documents(documents([])).collect() == []
     rows = [(9, "one two"), (3, "One  TWO"), (4, "one"), (5, "a b c d e f"), (1, "a b c d e f"), (7, "")]
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_documents(documents(rows)).collect()) == brute(rows)
+
+
+def test_dealing_takes_little_memory():
+    draw = np.random.default_rng(4)
+    words = np.array([f"{w:05x}" for w in range(60_000)])
+    texts = [" ".join(draw.choice(words, 30_000)) for _ in range(60)]
+    batch = pa.record_batch([pa.array(range(60)), pa.array(texts)], names=["doc_id", "text"])
+    tracemalloc.start()
+    dealt = pa.Table.from_batches(jaccard._deal(12)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 << 20
+    codes = {}
+    for names, counts, part in zip(*(dealt.column(c).to_pylist() for c in ("sets", "counts", "codes"))):
+        ends = np.cumsum(np.frombuffer(counts, np.uint32))
+        for k, own in enumerate(np.split(np.frombuffer(part, np.uint32), ends[:-1])):
+            codes.setdefault(names[16 * k : 16 * k + 16], []).extend(own.tolist())
+    for s in jaccard.shingle_sets(pa.array(texts)):
+        assert sorted(codes[jaccard.set_id(s)]) == sorted(s[s < np.uint64(1 << 63)].astype(np.uint32).tolist())
+    alone = jaccard._alone(dealt.filter(pc.equal(dealt.column("bucket"), 3)))
+    count = Counter(c for own in codes.values() for c in own)
+    assert sum(alone.column("alone").to_pylist()) <= sum(n == 1 for n in count.values())
+
+
+def test_links_between_two_sides():
+    draw = np.random.default_rng(5)
+    base = [draw.choice(1 << 20, 40, replace=False) for _ in range(4)]
+    sets = [np.r_[draw.choice(base[i % 4], 37, replace=False), draw.integers(1 << 21, 1 << 30, 2)] for i in range(30)]
+    sizes, parts, sides = np.array([len(s) for s in sets]), draw.integers(0, 20, 30), draw.integers(7, 9, 30)
+    found = jaccard.cross_links(list(range(30)), sizes, parts, sets, sides)
+    root = list(range(20))
+    for i, j in found:
+        assert sides[i] != sides[j] and root[parts[i]] != root[parts[j]]
+        assert 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))
+        root = [root[parts[j]] if r == root[parts[i]] else r for r in root]
+    for i in range(30):
+        for j in range(i):
+            if sides[i] != sides[j] and 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j])):
+                assert root[parts[i]] == root[parts[j]]
+    assert found
+    # two sides of 400 need cells for their own pairs only
+    sets = [draw.choice(1 << 20, 30) for _ in range(800)]
+    tracemalloc.start()
+    jaccard.cross_links(list(range(800)), np.full(800, 30), np.arange(800), sets, np.repeat([1, 2], 400))
+    assert tracemalloc.get_traced_memory()[1] < 6 << 20
+    tracemalloc.stop()
