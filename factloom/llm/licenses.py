@@ -3,7 +3,9 @@
 A text is read as its words, each between two spaces of its own, so that a
 rule (a regular expression over words) needs no look-around and matches cannot
 share a space.  A rule is tried only on texts that hold one of the words of which
-every match has one (``implied_words``), so no match is lost.  A match
+every match has one (``implied_words``) and the characters that every match has
+(``implied_text``), so no match is lost; these words are looked for in the text as it
+is, and texts without any of them are not cut into words.  A match
 is an interval of words; it is dropped when it lies inside the interval of a
 match of the same or a higher priority.
 
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# every character is named by itself: such classes are looked up as bits, ranges are tried in turn
+_GAP = "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
@@ -172,10 +176,28 @@ def implied_words(rule: Rule) -> list[str]:
     return [max(fixed, key=len)]
 
 
+def implied_text(rule: Rule) -> str:
+    """The longest run of characters that every match of the rule has."""
+    needed = re.sub(r"\[[^]]*\]|[^()]\?", "|", _GROUP.sub("|", _OPTIONAL.sub("|", rule.pattern)))
+    return max(needed.split("|"), key=len)
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, letter by letter, so that a text is compared with few of them."""
+    if words == [""]:
+        return ""
+    heads = sorted({w[:1] for w in words} - {""})
+    parts = [head + _any_of([w[1:] for w in words if w[:1] == head]) for head in heads]
+    joined = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+    return f"(?:{joined})?+" if "" in words else joined
+
+
 def _rule_table(spark: SparkSession) -> DataFrame:
-    """The rules, once for each implied word in place of the keyword."""
-    tried = [rule._replace(keyword=word) for rule in rules() for word in implied_words(rule)]
-    rows = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in rule._asdict().items())) for rule in tried))
+    """The rules, once for each implied word in place of the keyword, with ``needed``."""
+    tried = [(rule._replace(keyword=word), implied_text(rule)) for rule in rules() for word in implied_words(rule)]
+    rows = F.array(
+        *(F.struct(*(F.lit(v).alias(n) for n, v in (*rule._asdict().items(), ("needed", text)))) for rule, text in tried)
+    )
     return spark.range(1).select(F.inline(rows))
 
 
@@ -186,7 +208,13 @@ def _spaces(c: Column) -> Column:
 def spaced_words(text: Column) -> Column:
     """The words of a text with A-Z lower-cased, each between two spaces of its own."""
     low = F.translate(text, _UPPER, _LOWER)
-    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), "  "), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, f"[{_GAP}]++", "  ")), F.lit(" "))
+
+
+def word_count(text: Column) -> Column:
+    """The number of words: each becomes one character with what follows it, and so does one put in front."""
+    counted = F.regexp_replace(F.concat(F.lit("0 "), text), f"[^{_GAP}]++[{_GAP}]*+", "1")
+    return (F.octet_length(counted) - 1).cast("long")
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -198,13 +226,18 @@ def detect(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    spaced = docs.where(text.isNotNull()).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), spaced_words(text).alias("words")
-    )
-    keywords = F.array(*(F.lit(k) for k in sorted({w for rule in rules() for w in implied_words(rule)})))
-    tried = spaced.withColumn("keyword", F.explode(F.array_intersect(F.split("words", " +"), keywords))).join(
-        F.broadcast(_rule_table(spark)), "keyword"  # the rules above, some 60 KB
+    words = sorted({w for rule in rules() for w in implied_words(rule)})
+    # the words of the rules that stand in the text; upper case does not matter, of ASCII alone
+    named = F.regexp_extract_all(text, F.lit(f"(?i)(?<![^{_GAP}]){_any_of(words)}(?![^{_GAP}])"), F.lit(0))
+    # both inside one generator, so that a text is searched once and cut into words if some stand there
+    found = F.transform(
+        F.filter(F.array(F.array_distinct(F.transform(named, F.lower))), lambda keywords: F.size(keywords) > 0),
+        lambda keywords: F.struct(spaced_words(text).alias("words"), keywords.alias("keywords")),
     )
+    spaced = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.inline(found))
+    tried = spaced.withColumn("keyword", F.explode("keywords")).join(
+        F.broadcast(_rule_table(spark)), "keyword"  # the rules above, some 80 KB
+    ).where(F.contains("words", "needed"))
     hits = tried.where(F.regexp_like("words", F.col("pattern"))).select(
         "doc_id", "text_hash", "order", "label", "priority", "base",
         F.posexplode(
@@ -255,12 +288,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.max(F.when(kept, sure)).alias("score"),
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # the same words as after lower-casing, so whole texts need not be changed
-    any_case = WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
-        F.regexp_count(text, F.lit(any_case)).cast("long").alias("n_words"),
+        word_count(text).alias("n_words"),
     )
     joined_rows = rows.alias("r").join(
         found.alias("f"), F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_hash") == F.col("f.text_hash")), "left"

@@ -108,3 +108,21 @@ def test_every_match_holds_an_implied_word():
         for _ in range(30):
             text = sample(tree)
             assert re.fullmatch(rule.pattern, text) and set(licenses.implied_words(rule)) & set(text.split()), (rule, text)
+            assert licenses.implied_text(rule) in text, (rule, text)
+
+
+def test_texts_without_a_word_of_a_rule_are_not_cut(spark, documents):
+    plan = licenses.detect(documents([(1, "mit license")]))._jdf.queryExecution().optimizedPlan().toString()
+    cut = [line for line in plan.splitlines() if "translate(" in line]
+    assert len(cut) == 1 and "Generate inline(transform(filter(" in cut[0]
+
+
+def test_words_of_rules_at_odd_places(spark, documents):
+    texts = [
+        "MIT LICENSE", "mitt license", "xmit license", "🙂mit license", "mit🙂 license", "mit license🙂", "-mit-license-", "é mit\x00license",
+        "mıt license", "GNU GENERAL PUBLIC LICENſE", "apacheK license 2.0", "\n\n mit", "0", " ", "- 0 -", "ccby 4.0 cc by 4.0",
+        "creativecommons.org/licenses/by/4.0", "commons creative commons attribution 4.0 common public license 1.0", " " * 300_000,
+    ]
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan_licenses(documents(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == brute(text), text
