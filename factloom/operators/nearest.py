@@ -163,11 +163,10 @@ def _scan_blocks(
     block_vectors: int,
     block_requests: int,
 ) -> DataFrame:
-    """Rows travel in blocks of at least the default size, or each would be copied for every
-    small block of the other side; blocks of the size asked for are cut from these in the task."""
-    left, right = in_blocks(
-        rows, wanted, "heading", "id", "request_id", max(block_vectors, BLOCK_VECTORS), max(block_requests, BLOCK_REQUESTS)
-    )
+    """Rows travel, and are compared, in blocks of at least the default size: smaller ones would
+    copy each row for every block of the other side and cost a step of Python for every few rows."""
+    block_vectors, block_requests = max(block_vectors, BLOCK_VECTORS), max(block_requests, BLOCK_REQUESTS)
+    left, right = in_blocks(rows, wanted, "heading", "id", "request_id", block_vectors, block_requests)
     arrow_schema = to_arrow_schema(schema)
     kernel = kernels
 

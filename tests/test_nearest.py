@@ -103,3 +103,19 @@ def test_small_blocks_do_not_multiply_rows(spark):
         nearest.in_blocks = cut
     assert by_request(found, expected) == expected
     assert seen == [(index.count(), asked.count())]
+
+
+def test_small_blocks_are_compared_together(spark, tmp_path, monkeypatch):
+    """A step of Python for every 6 requests and 50 vectors took most of the time."""
+    index, asked, expected = fixture(spark)
+    whole, seen = nearest.kernels.nearest_in_block, str(tmp_path / "seen")
+
+    def noted(request_ids, queries, ids, vectors, k, *args, query_chunk, vector_chunk):
+        with open(seen, "a") as f:
+            f.write(f"{query_chunk} {vector_chunk}\n")
+        return whole(request_ids, queries, ids, vectors, k, *args, query_chunk=query_chunk, vector_chunk=vector_chunk)
+
+    monkeypatch.setattr(nearest.kernels, "nearest_in_block", noted)
+    found = nearest.nearest_batch(asked, index, max_broadcast_requests=0, block_vectors=50, block_requests=6)
+    assert by_request(found, expected) == expected
+    assert {tuple(map(int, line.split())) for line in open(seen)} == {(512, 2048)}
