@@ -39,3 +39,24 @@ def test_folders_that_are_not_mounted_are_left_to_spark(spark, tmp_path, monkeyp
     documents.write_documents(spark.createDataFrame([(1, "x"), (2, "")], "doc_id long, text string"), path)
     got = documents.load_documents(spark, path).select("text").collect()
     assert sorted(r["text"] for r in got) == ["\x00", "x\x00"]
+
+
+def test_many_files_are_read_some_folders_at_a_time(spark, tmp_path):
+    """The driver kept the names of all files at once."""
+    path, keep = str(tmp_path / "all"), str(tmp_path / "kept")
+    files = documents.write_documents(spark.createDataFrame(ROWS + ODD, "doc_id long, text string"), path)
+    assert files == len({i for i, _ in ROWS + ODD})
+    got = documents.load_written(spark, path, files, keep, "Co", max_files=100)
+    assert got.columns == list(documents.DOCUMENT_COLUMNS)
+    assert sorted(got.collect(), key=str) == sorted(documents.load_documents(spark, path, "Co").collect(), key=str)
+    assert all(f.endswith(".parquet") for f in got.inputFiles())
+    few = documents.load_written(spark, path, files, str(tmp_path / "none"), "Co")
+    assert len(few.inputFiles()) == files and not os.path.exists(str(tmp_path / "none"))
+
+
+def test_all_files_of_src_documents_are_read_in_rounds(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(ROWS + ODD, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = sorted(src_documents(spark, str(tmp_path)).collect(), key=str)
+    monkeypatch.setattr(documents.load_written, "__defaults__", (None, 100))
+    found = src_documents(spark, str(tmp_path))
+    assert sorted(found.collect(), key=str) == wanted and found.inputFiles()[0].endswith(".parquet")

@@ -10,7 +10,7 @@ from factloom.functions.text import clean_label, is_value
 from factloom.operators import blocks, facts, metrics, records
 from factloom.schemas import FACTS
 from factloom.sources import index_store, ledger, store
-from factloom.sources.documents import load_documents, write_documents
+from factloom.sources.documents import load_written, write_documents
 from workloads.registry import Registry
 from workloads.render import (
     ANNOTATED_TEXT_SQL,
@@ -31,8 +31,8 @@ query = Registry()
 def src_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Write every text to a file of its own, read each file back as one document."""
     path = store.shared_folder(spark)
-    write_documents(table(spark, sf, "documents"), path)
-    docs = load_documents(spark, path, company="A company")
+    files = write_documents(table(spark, sf, "documents"), path)
+    docs = load_written(spark, path, files, store.shared_folder(spark), company="A company")
     doc_id = F.regexp_extract("source", "/doc_id=(-?[0-9]+)", 1).try_cast("long").alias("doc_id")
     return docs.select(doc_id, "company", F.regexp_replace("text", "\\x00$", "").alias("text"))
 
